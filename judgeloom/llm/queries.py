@@ -17,6 +17,32 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES = {f.__name__: f for f in (op5_audio,)}
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from . import chat
+
+    said = "</s>[INST] ok [/INST]"
+    told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = told.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], told.schema))
+    found = chat.read_back(chat.tree(both, path(chat.TOKENIZER)), path(chat.TOKENIZER))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from . import packing
+
+    return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_chat, op5_audio, op7_urls)}
 
 ORACLES: dict[str, str] = {}
