@@ -35,6 +35,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -43,6 +50,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_chat, op5_audio, op7_urls)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_chat, op5_audio, op7_urls)}
 
 ORACLES: dict[str, str] = {}
