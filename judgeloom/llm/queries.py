@@ -50,6 +50,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_chat, op5_audio, op7_urls)}
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from . import lmscore
+
+    return lmscore.score(_table(spark, sf_dir, "documents"), path(lmscore.VOCABULARY))
+
+
+QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls)}
 
 ORACLES: dict[str, str] = {}
