@@ -35,6 +35,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -58,6 +64,6 @@ def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_table(spark, sf_dir, "documents"), path(lmscore.VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls)}
 
 ORACLES: dict[str, str] = {}
