@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents differ in length by orders of magnitude, so batches stay small.
@@ -61,6 +61,46 @@ def crc_of(column: str):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+#: Bits of a filter over hashed keys: its size stays the same however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def _bit(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+
+
+def bit_filter(df: DataFrame, keys: list[str]) -> np.ndarray:
+    """One bit for every hashed key of df: FILTER_BITS / 8 bytes at most reach the driver."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    byte = df.select(_bit(keys).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << cast(bit & 7 as int)")).alias("byte"))
+    for r in byte.toLocalIterator():
+        bits[r["at"]] = r["byte"]
+    return bits
+
+
+def maybe_in(bits: np.ndarray, keys: list[str]) -> Column:
+    """Whether a row's key may be in the filtered table: false is certain."""
+
+    @F.arrow_udf("boolean")
+    def held(bit):
+        import pyarrow as pa
+
+        at = bit.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return held(_bit(keys))
+
+
+def without(df: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """df without the rows whose keys (null-safe) are in dropped. Only rows that the bit filter can't clear are shuffled."""
+    bits = bit_filter(dropped, keys)
+    marked = df.withColumn("__maybe", maybe_in(bits, keys))
+    gone = dropped.select(*(F.col(k).alias(f"__gone{i}") for i, k in enumerate(keys))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__gone{i}")) for i, k in enumerate(keys)]
+    unsure = marked.where("__maybe").join(gone, same, "left_anti")
+    return marked.where("not __maybe").unionByName(unsure).drop("__maybe")
+
+
 def texts(batch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column of an Arrow batch; null is empty."""
     import pyarrow as pa

@@ -26,13 +26,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed, mix, small_batches, written
+from .common import bit_filter, hashed, maybe_in, mix, small_batches, without, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Bits of the filter that keeps documents without any candidate out of the verification's shuffle.
-FILTER_BITS = 1 << 24
 
 _word = re.compile(r"\w+")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -144,33 +142,15 @@ def _banded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
-def _shingled(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Shingles of documents whose node may be wanted (a bit filter over nodes; a join settles it)."""
-
+def _shingled(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            bit = b.column("bit").to_numpy()
-            maybe = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            b = b.filter(pa.array(maybe))
             found = [shingles(t) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("node"), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["doc_id", "node", "hashes", "counts"])
 
-    return rows.withColumn("bit", _bit(F.col("node"))).mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, hashes array<long>, counts array<int>")
-
-
-def _bit(node: Column) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(FILTER_BITS))
-
-
-def _wanted(nodes: DataFrame) -> np.ndarray:
-    """The bit filter of nodes: FILTER_BITS / 8 bytes, however many nodes there are."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    byte = nodes.select(_bit(F.col("node")).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << cast(bit & 7 as int)")).alias("byte"))
-    for r in byte.toLocalIterator():
-        bits[r["at"]] = r["byte"]
-    return bits
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, hashes array<long>, counts array<int>")
 
 
 def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
@@ -227,7 +207,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = multi.select("node").distinct()
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
     needed = labels.select("node").join(distinct.select("node", "doc_id"), "node")
-    cut = _shingled(rows, _wanted(labels))
+    # the bit filter keeps documents without any candidate out of the shuffle; the join settles the rest
+    cut = _shingled(rows.where(maybe_in(bit_filter(labels, ["node"]), ["node"])))
     cut = written(cut.alias("c").join(needed.alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts"), "shingles")
     compared, links = None, None
     for step in range(3):
@@ -266,10 +247,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns; documents with a null text stay."""
     found, _ = classes(docs, id_col, text_col)
-    winners = found.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("__winner"), F.col("doc_id").alias("__winner_id"))
-    named = docs.withColumn("__node", node_of(F.col(f"`{text_col}`").cast("string")))
-    met = named.join(winners, (F.col("__node") == F.col("__winner")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__winner_id")))
-    # repeated rows: one stays
-    place = F.row_number().over(Window.partitionBy("__node", "__winner").orderBy(F.lit(1)))
-    kept = met.withColumn("__place", place).where("__place = 1").select(*docs.columns)
-    return kept.unionByName(named.where(F.col("__node").isNull()).select(*docs.columns))
+    text = F.col(f"`{text_col}`").cast("string")
+    named = docs.withColumn("__node", node_of(text)).withColumn("__id", F.col(f"`{id_col}`"))
+    copies = _sources(docs, id_col, text_col).select("node", "doc_id").where("node is not null").groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    judged = copies.join(found.select("node", F.col("doc_id").alias("best"), "class_node"), "node")
+    wins = (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("best"))
+    judged = written(judged.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), wins.alias("wins"), "n"), "judged")
+    kept = without(named, judged.where("not wins or n > 1"), ["__node", "__id"])
+    # repeated rows of a winner: one comes back
+    again = judged.where("wins and n > 1").select(F.col("__node").alias("__again"), F.col("__id").alias("__again_id"))
+    near = named.where(maybe_in(bit_filter(again.select(F.col("__again").alias("__node"), F.col("__again_id").alias("__id")), ["__node", "__id"]), ["__node", "__id"]))
+    met = near.join(again, (F.col("__node") == F.col("__again")) & F.col("__id").eqNullSafe(F.col("__again_id")))
+    place = F.row_number().over(Window.partitionBy("__again", "__again_id").orderBy(F.lit(1)))
+    one = met.withColumn("__place", place).where("__place = 1")
+    return kept.select(*docs.columns).unionByName(one.select(*docs.columns))
