@@ -64,12 +64,18 @@ def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_table(spark, sf_dir, "documents"), path(lmscore.VOCABULARY))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import htmlextract
+
+    return htmlextract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op9_decontam)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam)}
 
 ORACLES: dict[str, str] = {}
