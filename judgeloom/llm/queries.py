@@ -76,6 +76,13 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.detect(docs, pii.train(docs)))
+
+
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii)}
 
 ORACLES: dict[str, str] = {}
