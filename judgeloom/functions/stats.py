@@ -30,7 +30,7 @@ def wilson(k: Column, n: Column, ci: float = 0.95) -> tuple[Column, Column]:
     p = k / n
     mid, low = (p + z * z / (2 * n)) / (1 + z * z / n), 1 + z * z / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / low
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half))
 
 
 def effect_size(delta: Column) -> Column:
