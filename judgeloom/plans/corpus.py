@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import corpus, planning, tables
 from ..schemas import schema
 from ..sources import fixtures
-from .ratings import rounded
+from .ratings import nudged, rounded
 
 CASES = """cs AS (SELECT doc_id AS ord, doc_id::VARCHAR AS item_id, 'CASE OF ' || source || ' v. ' || upper(lang) AS case_name, source, lang, text,
   CASE WHEN doc_id%3=0 THEN 'No violation of Article 8; Violation of Article 3; Violation of Article P1-1' WHEN doc_id%3=1 THEN 'Violation of Article 6-1' ELSE 'Struck out of the list' END AS conclusion,
@@ -308,4 +308,4 @@ SUMMARIES_LONG = "WITH v AS (SELECT doc_id, text, 0 AS version, substr(text,1,20
 
 _WITH_SQL = "conclusion_pairs truncation truncation_stats repair respondents placeholders prompts ratings_from_text json_answers search_metadata dated_cases published_cases merged_corpus truly_new high_water_mark newest stratified_sample corpus_stats most_common two_turns experiment_costs progress summaries_long".split()
 QUERIES = {name: globals()[name] for name in [*_WITH_SQL, "html_lines", "seeded_sample"]}
-ORACLES = {name: globals()[name.upper()] for name in _WITH_SQL}
+ORACLES = {name: nudged(globals()[name.upper()]) for name in _WITH_SQL}

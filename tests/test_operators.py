@@ -11,7 +11,7 @@ from judgeloom.sources import readers, responder, search
 from judgeloom.streaming import refresh
 
 
-def test_schemas_parse():
+def test_schemas_parse(spark):
     assert all(schemas.schema(n).fields for n in schemas.NAMES)
 
 
