@@ -6,10 +6,11 @@ registers; a register keeps its earliest arrival, and a shingle stops once no la
 documents agree in a register with their probability Jaccard similarity.
 
 Texts are first reduced to distinct ones. Bands of registers name buckets. In each bucket a leader is compared with
-the others (two rounds, other leaders each time), which contracts groups of near copies into components;
-buckets that still hold several components then compare all pairs of members of different ones. So
-every pair of candidates is either compared or already in one component, and no group of copies is
-ever expanded into all pairs. A pair is linked if its exact probability Jaccard, or the plain Jaccard of its shingle
+the others, over rounds with finer buckets (two bands together) and other leaders - first those that meet most texts of
+other components, the middles of groups - which contracts groups of near copies into components. Buckets that still hold several components then compare members of different ones, each
+pair in the first bucket it shares. Before any exact comparison a pair has to agree in so many registers (four bits
+of each) as all but one in some ten thousand pairs of THRESHOLD would. So every pair of candidates is either
+compared or already in one component, and no group of copies is expanded into all pairs. A pair is linked if its exact probability Jaccard, or the plain Jaccard of its shingle
 sets, is THRESHOLD or more. Classes are the connected components, found by contraction of tables.
 
 Cases: a null text is a class of its own; equal texts (empty ones too) are one class; a text of fewer than WIDTH
@@ -31,6 +32,10 @@ from .common import bit_filter, hashed, maybe_in, mix, small_batches, without, w
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Registers, by four bits each, that a pair has to agree in: four standard deviations below what THRESHOLD gives.
+_CHANCE = THRESHOLD + (1 - THRESHOLD) / 16
+AGREE = int(REGISTERS * _CHANCE - 4 * (REGISTERS * _CHANCE * (1 - _CHANCE)) ** 0.5)
+SKETCH = 8  # words of 64 bits
 
 _word = re.compile(r"\w+")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -90,6 +95,27 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each register, 16 registers a 64-bit word; unused places stay zero."""
+    four = mix(signature ^ _C3) >> np.uint64(60)
+    wide = np.zeros((len(signature), SKETCH * 16), np.uint64)
+    wide[:, :REGISTERS] = four
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(wide.reshape(len(signature), SKETCH, 16) << shift, axis=2).view(np.int64)
+
+
+def _agreeing(x: str, y: str) -> Column:
+    """Registers whose four bits agree, of the sketch columns s0, s1, ... of two aliases."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(REGISTERS)
+    for k in range(SKETCH):
+        d = F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))
+        folded = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2))
+        total = total - F.bit_count(folded.bitwiseAND(ones))
+    return total
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Exact probability Jaccard and plain Jaccard of two weighted shingle sets (hashes ascending)."""
     if not len(a[0]) or not len(b[0]):
@@ -125,21 +151,22 @@ def _banded(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            named = []
+            named, drawn = [], []
             found = [shingles(t) for t in b.column("text").to_pylist()]
             # wide batches of long documents are signed in parts
             at = 0
             while at < len(found):
                 end, size = at, 0
-                while end < len(found) and (end == at or size + len(found[end][0]) <= 400_000):
+                while end < len(found) and (end == at or size + len(found[end][0]) <= 200_000):
                     size += len(found[end][0])
                     end += 1
-                got = bands(signatures(found[at:end]))
-                named += [x if len(f[0]) else [] for x, f in zip(got.tolist(), found[at:end], strict=True)]
+                signed = signatures(found[at:end])
+                named += [x if len(f[0]) else [] for x, f in zip(bands(signed).tolist(), found[at:end], strict=True)]
+                drawn += sketches(signed).tolist()
                 at = end
-            yield pa.record_batch([b.column("doc_id"), b.column("node"), pa.array(named, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.record_batch([b.column("doc_id"), b.column("node"), pa.array(named, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "node", "bands", "sketch"])
 
-    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
+    return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>, sketch array<long>")
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
@@ -195,40 +222,56 @@ def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def _shared(dealt: DataFrame) -> DataFrame:
+    """The rows (node, bucket) of buckets with several nodes."""
+    several = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return dealt.join(several, "bucket").select("bucket", "node")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tables node, doc_id (its least), class_node, class_id; and the verified links between different texts."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = _sources(docs, id_col, text_col).where(F.col("node").isNotNull())
-    distinct = written(_banded(rows).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "distinct")
-    dealt = distinct.select("node", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    multi = written(dealt.join(shared, "bucket").select("bucket", "node"), "buckets")
+    distinct = written(_banded(rows).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch")), "distinct")
+    multi = written(_shared(distinct.select("node", F.explode("bands").alias("bucket"))), "buckets")
     nodes = multi.select("node").distinct()
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
-    needed = labels.select("node").join(distinct.select("node", "doc_id"), "node")
+    needed = labels.select("node").join(distinct.select("node", "doc_id", "bands", "sketch"), "node")
+    needed = written(needed.select("node", "doc_id", "bands", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "candidates")
     # the bit filter keeps documents without any candidate out of the shuffle; the join settles the rest
     cut = _shingled(rows.where(maybe_in(bit_filter(labels, ["node"]), ["node"])))
     cut = written(cut.alias("c").join(needed.alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts"), "shingles")
-    compared, links = None, None
-    for step in range(3):
-        held = multi.join(labels, "node")
-        order = F.col("node") if step == 0 else F.unhex(F.md5(F.concat(F.lit(f"{step}").cast("binary"), "node")))
-        open_ = held.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        if step < 2:
+    # buckets of two bands together hold closer texts
+    double = F.transform("bands", lambda x, i: F.xxhash64(x, F.element_at("bands", F.pmod(i + 1, F.lit(BANDS)) + 1), i))
+    fine = written(_shared(needed.select("node", F.explode(double).alias("bucket"))), "fine")
+    links = None
+    for step, (buckets, central) in enumerate(((fine, True), (multi, True), (None, False))):
+        held = (multi if buckets is None else buckets).join(labels, "node")
+        order = F.unhex(F.md5(F.concat(F.lit(f"{step}").cast("binary"), "node")))
+        lead = F.min(F.struct(order.alias("o"), "node", "label"))
+        if central:
+            # the text that meets most others of other components over all its buckets is the likeliest middle of a group
+            sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("own"))
+            whole = sizes.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+            others = sizes.join(whole, "bucket").select("bucket", "label", (F.col("all") - F.col("own")).alias("others"))
+            held = written(held.join(others, ["bucket", "label"]), f"held{step}")
+            meets = held.groupBy("node").agg(F.sum("others").alias("meets"))
+            held = held.join(meets, "node")
+            lead = F.max(F.struct("meets", order.alias("o"), "node", "label"))
+        open_ = held.groupBy("bucket").agg(lead.alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        if buckets is not None:
             met = held.join(open_.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label")), "bucket").where("label != leader_label")
-            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            pairs = pairs.join(needed.alias("x"), F.col("a") == F.col("x.node")).join(needed.alias("y"), F.col("b") == F.col("y.node")).where(_agreeing("x", "y") >= AGREE).select("a", "b")
         else:
-            rest = written(held.join(open_.select("bucket"), "bucket").select("bucket", "node", "label"), "open")
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs{step}")
-        found = _verified(pairs, cut, f"links{step}")
+            rest = held.join(open_.select("bucket"), "bucket").select("bucket", "node", "label").join(needed.drop("doc_id"), "node")
+            rest = written(rest, "open")
+            shared = F.element_at(F.filter(F.transform("x.bands", lambda v, i: F.when(v == F.element_at("y.bands", i + 1), v)), lambda v: v.isNotNull()), 1)
+            other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (_agreeing("x", "y") >= AGREE) & (shared == F.col("x.bucket"))
+            pairs = rest.alias("x").join(rest.alias("y"), other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        found = _verified(written(pairs, f"pairs{step}"), cut, f"links{step}")
         labels = merged(labels, found, f"merge{step}")
-        compared = pairs if compared is None else compared.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
     placed = distinct.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))

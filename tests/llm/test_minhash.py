@@ -26,6 +26,17 @@ def test_registers_agree_as_often_as_probability_jaccard():
     assert abs(np.mean(hits) - exact) < 0.02
 
 
+def test_sketches_agree_as_registers_do(spark):
+    draw = np.random.RandomState(2)
+    a = draw.randint(1, 2**62, (1, minhash.REGISTERS)).astype(np.uint64)
+    b = np.where(draw.rand(*a.shape) < 0.7, a, draw.randint(1, 2**62, a.shape).astype(np.uint64))
+    four = lambda x: minhash.mix(x ^ minhash._C3) >> np.uint64(60)
+    rows = [dict(zip([f"s{k}" for k in range(minhash.SKETCH)], minhash.sketches(x)[0].tolist())) for x in (a, b)]
+    x, y = (spark.createDataFrame([r]) for r in rows)
+    got = x.alias("x").crossJoin(y.alias("y")).select(minhash._agreeing("x", "y").alias("n")).first()["n"]
+    assert got == int((four(a) == four(b)).sum())
+
+
 def test_small_and_large_documents_sign_alone_and_together():
     docs = [minhash.shingles(t) for t in ["one", "", "two words", " ".join(words(1, 3000)), "a a a a a a a a a"]]
     together = minhash.signatures(docs)
