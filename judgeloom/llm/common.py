@@ -71,11 +71,15 @@ def _bit(keys: list[str]) -> Column:
 
 def bit_filter(df: DataFrame, keys: list[str]) -> np.ndarray:
     """One bit for every hashed key of df: FILTER_BITS / 8 bytes at most reach the driver."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    byte = df.select(_bit(keys).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << cast(bit & 7 as int)")).alias("byte"))
-    for r in byte.toLocalIterator():
-        bits[r["at"]] = r["byte"]
-    return bits
+    return bitmap(df.select(_bit(keys).alias("bit")), FILTER_BITS)
+
+
+def bitmap(bit: DataFrame, size: int) -> np.ndarray:
+    """The numbers below size in column bit, as a bitmap: Spark ors them into bytes, which arrive as one Arrow table."""
+    byte = bit.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << cast(bit & 7 as int)")).alias("byte")).toArrow()
+    out = np.zeros(size // 8, np.uint8)
+    out[byte.column("at").to_numpy()] = byte.column("byte").to_numpy()
+    return out
 
 
 def maybe_in(bits: np.ndarray, keys: list[str]) -> Column:
@@ -123,7 +127,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound and computed anew after that."""
 
-    bound = 400_000
+    bound = 250_000
 
     def __missing__(self, word: str) -> int:
         import xxhash

@@ -22,13 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, without, written
+from .common import bitmap, mix, small_batches, without, written
 
 WIDTH, MIN_WORDS, MIN_LITERAL = 8, 5, 4
 #: A leak has this share of the item's windows on one alignment, or so many of them.
 MIN_SHARE, MIN_HITS = 0.5, 8
 #: The filter over benchmark windows has about 32 bits a window, between these powers of two.
-LEAST_BITS, MOST_BITS = 18, 27
+LEAST_BITS, MOST_BITS = 18, 25
 UNITS = frozenset(
     "mm cm m km in ft mi mg g kg t lb lbs oz ml l s sec secs min mins h hr hrs ms hz khz mhz ghz v w kw j kj n pa kpa mol ha "
     "meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms "
@@ -143,10 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = written(benchmark_windows(benchmark, item_col, item_text_col), "items")
     size = items.agg(F.count_distinct("window").alias("n"), F.collect_set("width").alias("widths")).first()
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * max(1, size["n"])).bit_length()))
-    filter_ = np.zeros(1 << (bits - 3), np.uint8)
-    place = F.pmod(F.col("window"), F.lit(1 << bits))
-    for r in items.select(place.alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("1 << cast(bit & 7 as int)")).alias("byte")).toLocalIterator():
-        filter_[r["at"]] = r["byte"]
+    filter_ = bitmap(items.select(F.pmod(F.col("window"), F.lit(1 << bits)).alias("bit")), 1 << bits)
     shared, widths = spark.sparkContext.broadcast(filter_), sorted(size["widths"] or [])
     mask = np.uint64((1 << bits) - 1)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -47,8 +47,7 @@ BOILER = re.compile(
 )
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _attr = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])")
-#: An open element of the key closes when one of these starts.
-_P_ENDS = BLOCKS
+#: An open element of the key closes when one of these starts, unless one of its barriers is in between; a p closes at any block.
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "option": frozenset(["option"])}
 _BARRIER = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "option": frozenset(["select"])}
 
@@ -118,7 +117,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
                 yield stack[-1][1], *done
             # implied ends
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" and tag in _P_ENDS:
+                if stack[k][0] == "p" and tag in BLOCKS:
                     close(k)
                     break
                 if stack[k][0] in BLOCKS:

@@ -172,7 +172,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(-(-1_000_000 * SAMPLE // size))).otherwise(share)
-    sample = training.where(place < share).select("text", "lang", "crc").coalesce(1)
+    sample = training.where(place < share).select("text", "lang", "crc").repartition(1)
 
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
