@@ -4,12 +4,12 @@ The pieces and their ranks come from an existing vocabulary file. A document's m
 distribution over pieces and a document end: the probability of a text is the product over its words of the word's
 marginal probability, summed over all its segmentations into pieces (log-space forward recursion),
 times the end's. Piece probabilities start from the vocabulary's own scores (ranks, read as a
-Zipf-Mandelbrot law) and are re-estimated by expectation-maximisation on the HEAD most frequent words of the
-training documents, with their counts over all of them.
+Zipf-Mandelbrot law) and are re-estimated by expectation-maximisation on every distinct word of the training
+documents with its count: each pass runs over the table of counts, and only sums by piece come back.
 
-Counts of every distinct word are gathered from all documents as a table that grows with the corpus. The
-HEAD most frequent short words (a bound on size) are shipped to the workers; all other occurrences meet
-their counts in a join on the word.
+Counts of every distinct word are gathered from all documents as a table that grows with the corpus. The scores of the
+HEAD most frequent short words (a bound on size) are shipped to the workers, which changes no score; all other occurrences
+meet their counts in a join on the word.
 
 Cases: a null text is empty and is its end token alone; words of any length are scored whole; a vocabulary
 miss falls back to byte pieces, so every text has a finite score; repeated rows are scored each and
@@ -18,8 +18,9 @@ count each; an empty training set gives counts of zero; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import math
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ from .common import crc_of, small_batches, texts, written
 VOCABULARY = "piece_bpe_32k.model"
 #: Most frequent training words that are shipped to the workers, and their longest: a bound of HEAD * (HEAD_BYTES + 32) bytes.
 HEAD, HEAD_BYTES = 65_536, 256
-#: EM passes over the head, and the weight of the vocabulary's own scores as pseudo-counts (share of all).
+#: EM passes over the counts, and the weight of the vocabulary's own scores as pseudo-counts (share of all).
 ROUNDS, PRIOR = 3, 0.02
 #: Zipf-Mandelbrot reading of ranks.
 SHIFT, POWER = 10.0, 1.0
@@ -38,8 +39,10 @@ SHIFT, POWER = 10.0, 1.0
 HELD = 200_000
 #: Distinct words whose lattices a task builds at once.
 TOGETHER = 32_768
-#: Words of at most so many characters are scored together, longer ones one by one.
+#: Words of at most so many characters are scored and counted together, longer ones one by one.
 WIDE = 24
+#: Bits of a hash that say whether any piece begins so.
+PREFIX_BITS = 21
 MARK = "▁"
 
 
@@ -69,6 +72,8 @@ class Lattice:
         self.names, self.logp, self.bytes = names, logp, byte_logp
         self.index = {p: i for i, p in enumerate(names)}
         self.longest = max(map(len, names), default=1)
+        #: Whether a piece may begin with a hash of these leading bits: false is certain.
+        self.begins = np.zeros(1 << PREFIX_BITS, bool)
         hashes = self._hash(names)
         self.bits = max(4, (4 * max(1, len(names)) - 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
@@ -93,12 +98,16 @@ class Lattice:
 
     def _hash(self, names: list[str]) -> np.ndarray:
         out = np.zeros(len(names), np.uint64)
-        for k, name in enumerate(names):
-            h = np.zeros(1, np.uint64)
-            for c in name:
-                h = self._step(h, np.uint64(ord(c)))
+        sizes = np.array([len(name) for name in names], np.int64)
+        for size in set(sizes.tolist()) - {0}:
+            at = np.flatnonzero(sizes == size)
+            codes = np.array([names[k] for k in at], f"<U{size}").view(np.uint32).reshape(len(at), size).astype(np.uint64)
+            h = np.zeros(len(at), np.uint64)
+            for j in range(size):
+                h = self._step(h, codes[:, j])
                 h = h ^ (h >> np.uint64(29))
-            out[k] = h[0]
+                self.begins[h >> np.uint64(64 - PREFIX_BITS)] = True
+            out[at] = h
         return out
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -120,37 +129,69 @@ class Lattice:
         """Log score of one character spelled in byte pieces."""
         return float(self.bytes[list(c.encode("utf-8", "surrogatepass"))].sum())
 
-    def _trellis(self, codes: np.ndarray) -> tuple[list[list[tuple[int, np.ndarray, np.ndarray]]], list[np.ndarray]]:
-        """For words of one length (rows, the mark first): edges into each position, and the byte spelling of each character."""
+    def _trellis(self, codes: np.ndarray) -> tuple[list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]], list[np.ndarray]]:
+        """For words of one length (rows, the mark first): edges into each position (from where, rows, pieces, log scores), and the byte spelling of each character."""
         n, size = codes.shape
-        into: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        into: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            h = np.zeros(n, np.uint64)
+            h, rows = np.zeros(n, np.uint64), np.arange(n)
             for j in range(i, min(size, i + self.longest)):
-                h = self._step(h, codes[:, j])
+                h = self._step(h, codes[rows, j])
                 h = h ^ (h >> np.uint64(29))
+                on = self.begins[h >> np.uint64(64 - PREFIX_BITS)]
+                h, rows = h[on], rows[on]
+                if not len(rows):
+                    break
                 found = self._find(h)
-                if (found >= 0).any():
-                    into[j + 1].append((i, found, np.where(found >= 0, self.logp[found], -np.inf)))
+                hit = found >= 0
+                if hit.any():
+                    into[j + 1].append((i, rows[hit], found[hit], self.logp[found[hit]]))
         spelled = []
         for j in range(size):
             kinds, back = np.unique(codes[:, j], return_inverse=True)
             spelled.append(np.array([self._char(chr(int(c))) for c in kinds])[back])
         return into, spelled
 
+    @cached_property
+    def prefixes(self) -> frozenset[str]:
+        return frozenset(p[:k] for p in self.names for k in range(1, len(p) + 1))
+
+    def _onward(self, text: str, i: int) -> Iterator[tuple[int, int]]:
+        """End and number of each piece of a marked word that starts at i; the mark stands for itself only there."""
+        for j in range(i + 1, min(len(text), i + self.longest) + 1):
+            part = text[i:j]
+            if part not in self.prefixes or (i and part[-1] == MARK):
+                return
+            k = self.index.get(part)
+            if k is not None:
+                yield j, k
+
+    def _forward_alone(self, text: str) -> list[float]:
+        alpha = [0.0] + [-math.inf] * len(text)
+        for i, c in enumerate(text):
+            alpha[i + 1] = _plus(alpha[i + 1], alpha[i] + self._char(c))
+            for j, k in self._onward(text, i):
+                alpha[j] = _plus(alpha[j], alpha[i] + self.logp[k])
+        return alpha
+
     def _alone(self, word: str) -> float:
         """One word of any length: the same recursion with a window of the longest piece."""
-        text = MARK + word
-        last = [0.0]
-        for j in range(1, len(text) + 1):
-            terms = [last[j - 1] + self._char(text[j - 1])]
-            for i in range(max(0, j - self.longest), j):
-                k = self.index.get(text[i:j])
-                if k is not None and (i == 0 or MARK not in text[i:j]):
-                    terms.append(last[i] + self.logp[k])
-            top = max(terms)
-            last.append(top + np.log(sum(np.exp(t - top) for t in terms)))
-        return float(last[-1])
+        return float(self._forward_alone(MARK + word)[-1])
+
+    def _expected_alone(self, word: str, count: float, uses: np.ndarray) -> float:
+        """Adds one word's expected uses of pieces to uses; its byte pieces' are returned."""
+        text, spelled_uses = MARK + word, 0.0
+        alpha = self._forward_alone(text)
+        beta = [-math.inf] * len(text) + [0.0]
+        for i in range(len(text) - 1, -1, -1):
+            spelled = self._char(text[i]) + beta[i + 1]
+            spelled_uses += count * math.exp(alpha[i] + spelled - alpha[-1])
+            beta[i] = spelled
+            for j, k in self._onward(text, i):
+                there = self.logp[k] + beta[j]
+                uses[k] += count * math.exp(alpha[i] + there - alpha[-1])
+                beta[i] = _plus(beta[i], there)
+        return spelled_uses
 
     @staticmethod
     def _by_length(words: list[str]) -> dict[int, list[int]]:
@@ -181,16 +222,17 @@ class Lattice:
         alpha = [np.zeros(len(spelled[0]))]
         for j in range(1, len(spelled) + 1):
             a = alpha[j - 1] + spelled[j - 1]
-            for i, _, logp in into[j]:
-                a = np.logaddexp(a, alpha[i] + logp)
+            for i, rows, _, logp in into[j]:
+                a[rows] = np.logaddexp(a[rows], alpha[i][rows] + logp)
             alpha.append(a)
         return alpha
 
     def expected(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """Expected uses of each piece over words with counts, and of byte pieces together (WIDE words only)."""
+        """Expected uses of each piece over words with counts, and of byte pieces together."""
         uses, spelled_uses = np.zeros(len(self.names)), 0.0
         for size, at in self._by_length(words).items():
             if size < 0:
+                spelled_uses += sum(self._expected_alone(words[i], float(counts[i]), uses) for i in at)
                 continue
             for k in range(0, len(at), 8192):
                 part = at[k : k + 8192]
@@ -199,25 +241,37 @@ class Lattice:
                 alpha = self._sum(into, spelled)
                 beta = [np.full(len(part), -np.inf) for _ in range(size + 2)]
                 beta[size + 1] = np.zeros(len(part))
+                used, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
                 for j in range(size + 1, 0, -1):
-                    for i, found, logp in into[j]:
-                        share = np.exp(alpha[i] + logp + beta[j] - alpha[-1]) * weight
-                        ok = found >= 0
-                        uses += np.bincount(found[ok], share[ok], len(uses))
-                        beta[i] = np.logaddexp(beta[i], logp + beta[j])
+                    for i, rows, found, logp in into[j]:
+                        there = logp + beta[j][rows]
+                        used.append(found)
+                        shares.append(np.exp(alpha[i][rows] + there - alpha[-1][rows]) * weight[rows])
+                        beta[i][rows] = np.logaddexp(beta[i][rows], there)
                     spelled_uses += float((np.exp(alpha[j - 1] + spelled[j - 1] + beta[j] - alpha[-1]) * weight).sum())
                     beta[j - 1] = np.logaddexp(beta[j - 1], spelled[j - 1] + beta[j])
+                uses += np.bincount(np.concatenate(used), np.concatenate(shares), len(uses))
         return uses, spelled_uses
 
 
+def _plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b)) of numbers of which one at least is finite."""
+    return a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
+
+
 def fitted(path: str, words: list[str], counts: np.ndarray, documents: int) -> tuple[Lattice, float]:
     """Piece probabilities after EM on words with counts, and the end's natural-log probability."""
+    return estimated(path, lambda model: model.expected(words, counts), documents, ROUNDS if len(words) else 0)
+
+
+def estimated(path: str, expected: Callable[[Lattice], tuple[np.ndarray, float]], documents: int, rounds: int) -> tuple[Lattice, float]:
+    """The same, with the expected uses of pieces and of byte pieces under a model from a function."""
     names, logp, byte_logp = pieces(path)
     prior, byte_prior = np.exp(logp), np.exp(byte_logp)
     model = Lattice(names, logp, byte_logp)
     end = np.log(0.01)
-    for _ in range(ROUNDS if len(words) else 0):
-        uses, spelled = model.expected(words, counts)
+    for _ in range(rounds):
+        uses, spelled = expected(model)
         mass = uses.sum() + spelled
         uses, byte_uses = uses + PRIOR * mass * prior, spelled / 256 + PRIOR * mass * byte_prior
         whole = uses.sum() + byte_uses.sum() + documents
@@ -225,6 +279,46 @@ def fitted(path: str, words: list[str], counts: np.ndarray, documents: int) -> t
     return model, float(end)
 
 
+def together(batches: Iterator) -> Iterator:
+    """Tables of TOGETHER rows or more: the trellis runs over many words of one length at once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _decoded(words) -> list[str]:
+    return [w.decode("utf-8", "surrogateescape") for w in words.to_pylist()]
+
+
+def expected_uses(counts: DataFrame, model: Lattice) -> tuple[np.ndarray, float]:
+    """Lattice.expected over a table of words with counts: every task sums by piece, so the vocabulary bounds what is shuffled and collected."""
+    parts = (model.names, model.logp, model.bytes)
+
+    def expect(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        lattice = Lattice(*parts)
+        uses, spelled = np.zeros(len(lattice.names)), 0.0
+        for table in together(batches):
+            more, bytes_ = lattice.expected(_decoded(table.column("word")), table.column("trained").to_numpy().astype(np.float64))
+            uses, spelled = uses + more, spelled + bytes_
+        at = np.flatnonzero(uses)
+        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(uses[at], spelled), pa.float64())], ["piece", "uses"])
+
+    got = counts.select("word", "trained").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    out = np.zeros(len(model.names) + 1)
+    out[got.column("piece").to_numpy()] = got.column("uses").to_numpy()
+    return out[:-1], float(out[-1])
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return raw.lower().split()
@@ -288,8 +382,9 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     head_only = _in_head(counts)
     head = counts.where(head_only).collect()
     floor = -np.log10(tokens + distinct + 1)
-    words, known = [bytes(r["word"]).decode("utf-8", "surrogateescape") for r in head], np.array([r["trained"] for r in head], np.float64)
-    model, end = fitted(vocabulary_path, words, known, documents)
+    words = [bytes(r["word"]).decode("utf-8", "surrogateescape") for r in head]
+    trained = counts.where("trained > 0")
+    model, end = estimated(vocabulary_path, lambda m: expected_uses(trained, m), documents, ROUNDS if sums["n"] else 0)
     to10 = 1 / np.log(10)
     shipped = {bytes(r["word"]): (float(np.log10(r["trained"] + 1) + floor), s) for r, s in zip(head, (model.forward(words) * to10).tolist(), strict=True)}
     parts = (model.names, model.logp, model.bytes)
@@ -299,22 +394,8 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         lattice = Lattice(*parts)
-
-        def done(held):
-            table = pa.Table.from_batches(held).combine_chunks()
-            names = [w.decode("utf-8", "surrogateescape") for w in table.column("word").to_pylist()]
-            yield from table.append_column("score", pa.array(lattice.forward(names) * to10, pa.float64())).to_batches()
-
-        # the trellis runs over many words of one length at once: small Arrow batches are put together
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= TOGETHER:
-                yield from done(held)
-                held, size = [], 0
-        if held:
-            yield from done(held)
+        for table in together(batches):
+            yield from table.append_column("score", pa.array(lattice.forward(_decoded(table.column("word"))) * to10, pa.float64())).to_batches()
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa

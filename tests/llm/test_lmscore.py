@@ -68,5 +68,34 @@ def test_scores_against_counting(spark, monkeypatch, head):
     assert len({round(s, 9) for s in same}) == 1
 
 
+def test_every_word_teaches_the_pieces(spark, monkeypatch):
+    """The model is that of a plain EM over all training words, long ones too, whatever is shipped."""
+    rows = [(i, f"there thing rare{i} {'tion' * (i % 9 + 3)} od▁d") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    c = Counter(w for t in kept for w in t.split())
+    model, end = lmscore.fitted(WHERE, list(c), np.array([float(n) for n in c.values()]), len(kept))
+    want = {d: (model.forward(t.split()).sum() + end) / math.log(10) for d, t in rows}
+    for head in (0, 3, 65_536):
+        monkeypatch.setattr(lmscore, "HEAD", head)
+        got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, WHERE).collect()}
+        assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want), head
+
+
+def test_long_words_count_as_short_ones_do(monkeypatch):
+    names, logp, byte_logp = lmscore.pieces(WHERE)
+    model = lmscore.Lattice(names, logp, byte_logp)
+    words, counts = ["there", "x😀y", "tion" * 8, "", "ü" * 30], np.array([5.0, 2, 3, 1, 4])
+    alone = np.zeros(len(names))
+    spelled = sum(model._expected_alone(w, n, alone) for w, n in zip(words, counts, strict=True))
+    got = model.expected(words, counts)
+    monkeypatch.setattr(lmscore, "WIDE", 100)
+    want = model.expected(words, counts)
+    for uses, bytes_ in ((alone, spelled), got):
+        assert np.allclose(uses, want[0], rtol=1e-9, atol=1e-12) and math.isclose(bytes_, want[1], rel_tol=1e-9)
+    once = model.expected(["tion" * 8], np.array([1.0]))
+    assert once[0].sum() + once[1] > 1
+
+
 def test_no_rows(spark):
     assert lmscore.score(spark.createDataFrame([], "doc_id long, text string"), WHERE).count() == 0
