@@ -108,12 +108,13 @@ def _widths(n: int) -> int:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (a hash of its text), total, window, width, pos, slots: one row per window."""
+    """item_id, item (a hash of its template and slots), total, window, width, pos, slots: one row per window."""
     small_batches(benchmark.sparkSession)
     source = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         names = ["item", "total", "window", "width", "pos", "slots"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
@@ -126,7 +127,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
                 if not width:
                     continue
                 h, good = windows(kind, value, width)
-                own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
+                filled = xxhash.xxh3_64_intdigest("\t".join(slots(kind, at, chunks, 0, len(kind))).encode("utf-8", "surrogatepass"))
+                own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True) ^ np.uint64(filled)).view(np.int64)[0])
                 for p in np.flatnonzero(good).tolist():
                     ids.append(i.as_py())
                     out.append((own, int(good.sum()), int(h[p : p + 1].view(np.int64)[0]), width, p, slots(kind, at, chunks, p, width)))

@@ -51,6 +51,16 @@ def test_planted_items_are_found_and_others_left(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [12, 15, 16, 17, 19]
 
 
+def test_items_of_one_template_are_judged_each(spark):
+    """Items that differ in slots alone don't spoil each other: a leak of one is found, and is a re-parameterised leak of the other."""
+    other = ITEMS[0][1].replace("12", "15").replace("Tom", "Max").replace("3 km", "4 miles")
+    docs = spark.createDataFrame([(1, prose(1) + ". " + ITEMS[0][1]), (2, prose(2) + ". " + other + " " + prose(3)), (3, DOCS[11][0]), (4, DOCS[12][0])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEMS[0][1]), (2, other), (3, ITEMS[0][1])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (2, 2, False), (2, 3, True), (3, 1, True), (3, 2, True), (3, 3, True)}
+    assert [r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()] == [4]
+
+
 def test_templates_by_hand():
     kind, _, at = decontam.template("Then Ann Lee paid 3 dollars. Then she left".split())
     assert kind.tolist() == [0, decontam.NAME, 0, decontam.NUMBER, decontam.UNIT, 0, 0, 0]
