@@ -3,9 +3,11 @@
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence, runs of
 them together) and units after numbers are typed placeholders, any other word is itself in lower case. Windows of WIDTH
 template tokens of the benchmark and of the documents meet in a hash join. Hits of one document and item on one alignment
-are counted, and their slots checked: each slot value of the item must always stand for the same value in
-the document, and the other way round. So a question with other names and numbers is still found, and a
-text that merely has numbers in the same places is not.
+are counted, and their slots checked: a slot value of the item stands for one value in the document, and the other way
+round. Of the pairs of values that one such map can't hold together, those in most windows are kept. The hits are a leak
+where the map holds most of all pairs, or where enough windows have pairs of the map alone, or enough have the item's own
+values. So a question with other names and numbers is still found, also where some of them coincide, and a text that merely
+has numbers in the same places is not.
 
 Cases: null and empty texts have no windows; items of MIN_WORDS to WIDTH - 1 tokens are one window of their
 own length; shorter ones are not searched; windows with fewer than MIN_LITERAL words that are no
@@ -16,17 +18,21 @@ table on either side gives no leak; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import bitmap, mix, small_batches, without, written
 
 WIDTH, MIN_WORDS, MIN_LITERAL = 8, 5, 4
 #: A leak has this share of the item's windows on one alignment, or so many of them.
 MIN_SHARE, MIN_HITS = 0.5, 8
+#: Its map of slot values holds more than this share of the distinct pairs, or the windows inside the map are enough.
+MOST_PAIRS = 0.5
 #: The filter over benchmark windows has about 32 bits a window, between these powers of two.
 LEAST_BITS, MOST_BITS = 18, 25
 UNITS = frozenset(
@@ -103,6 +109,32 @@ def slots(kind: np.ndarray, at: np.ndarray, chunks: list[str], start: int, width
     return out
 
 
+def fits(found: list[list[tuple[str, str]]], total: int) -> bool:
+    """Whether windows (the pairs of values in the item and in the document of each) of an item with total windows are a leak."""
+    support = Counter(p for w in found for p in set(w))
+    held: set[tuple[str, str]] = set()
+    there, here = set(), set()
+    for p in sorted(support, key=lambda p: (-support[p], p)):
+        if p[0] not in there and p[1] not in here:
+            held.add(p)
+            there.add(p[0])
+            here.add(p[1])
+
+    def enough(n: int) -> bool:
+        return n >= MIN_HITS or n >= MIN_SHARE * total
+
+    if len(held) == len(support) or len(held) > MOST_PAIRS * len(support):
+        return enough(len(found))
+    return enough(sum(all(p in held for p in w) for w in found)) or enough(sum(all(a == b for a, b in w) for w in found))
+
+
+@F.arrow_udf(BooleanType())
+def _fits(found, total):
+    import pyarrow as pa
+
+    return pa.array([fits([[(p["there"] or "", p["here"] or "") for p in w] for w in f.as_py()], t) for f, t in zip(found, total.to_pylist(), strict=True)], pa.bool_())
+
+
 def _widths(n: int) -> int:
     return WIDTH if n >= WIDTH else n if n >= MIN_WORDS else 0
 
@@ -181,12 +213,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = hits.join(one, "window")
     pair = F.arrays_zip(F.col("item_slots").alias("there"), F.col("slots").alias("here"))
     aligned = met.groupBy("part", "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.count_distinct("item_pos").alias("hits"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+        F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.count_distinct("item_pos").alias("hits"), F.collect_list(pair).alias("found")
     )
-    there, here = F.array_distinct(F.transform("pairs", lambda p: p["there"])), F.array_distinct(F.transform("pairs", lambda p: p["here"]))
-    consistent = (F.size("pairs") == F.size(there)) & (F.size("pairs") == F.size(here))
     share = F.col("hits") / F.col("total")
-    good = aligned.where(consistent & ((share >= MIN_SHARE) | (F.col("hits") >= MIN_HITS))).select("part", "row", "doc_id", "item", "hits", share.alias("share"), F.exists("pairs", lambda p: p["there"] != p["here"]).alias("changed"))
+    enough = aligned.where((share >= MIN_SHARE) | (F.col("hits") >= MIN_HITS))
+    changed = F.exists("found", lambda w: F.exists(w, lambda p: p["there"] != p["here"]))
+    good = enough.where(_fits("found", "total")).select("part", "row", "doc_id", "item", "hits", share.alias("share"), changed.alias("changed"))
     best = good.groupBy("part", "row", "item").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("hits", "share", (~F.col("changed")).alias("same"))).alias("best"))
     names = items.select("item", "item_id").distinct()
     return best.join(names, "item").select("doc_id", "item_id", F.col("best.hits").alias("hits"), F.col("best.share").alias("share"), (~F.col("best.same")).alias("reparameterised"))

@@ -61,6 +61,32 @@ def test_items_of_one_template_are_judged_each(spark):
     assert [r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()] == [4]
 
 
+def test_a_collision_of_values_loses_no_leak(spark):
+    """Two values that become one, one value that becomes two, an edited number: still leaks. A question with all values collapsed is none."""
+    twice = ITEMS[0][1].replace(" 5 ", " 12 ")
+    said = [
+        (1, "The farmer Bob has 7 apples and gives 7 of them to Eve Stone, who walks 8 miles to the market and sells them."),
+        (2, ITEMS[0][1].replace("12", "5")),
+        (3, ITEMS[0][1].replace(" 5 ", " 12 ")),
+        (4, DOCS[12][0]),
+    ]
+    docs = spark.createDataFrame([(d, prose(d) + ". " + t if d != 4 else t) for d, t in said], "doc_id long, text string")
+    found = lambda item: {(r["doc_id"], r["reparameterised"]) for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found(ITEMS[0][1]) == {(1, True), (2, True), (3, True)}
+    assert found(twice) >= {(1, True), (2, True), (3, False)}
+    split = spark.createDataFrame([(1, DOCS[11][0])], "doc_id long, text string")
+    assert decontam.leaks(split, spark.createDataFrame([(1, twice)], "item_id long, text string")).count() == 1
+
+
+def test_fits_by_hand():
+    same, moved, clash = [("1 12", "1 12")], [("1 5", "1 7")], [("1 12", "1 7")]
+    assert decontam.fits([[]] * 8, 100) and not decontam.fits([[]] * 7, 100)
+    assert decontam.fits([same, moved], 4) and not decontam.fits([same, moved], 5)
+    assert not decontam.fits([moved, clash], 4)  # half of the pairs, one window of four
+    assert decontam.fits([moved] * 8 + [clash], 100)  # eight windows inside the map
+    assert decontam.fits([same] * 2 + [clash + moved] * 3, 4)  # two windows of four as in the item
+
+
 def test_templates_by_hand():
     kind, _, at = decontam.template("Then Ann Lee paid 3 dollars. Then she left".split())
     assert kind.tolist() == [0, decontam.NAME, 0, decontam.NUMBER, decontam.UNIT, 0, 0, 0]
