@@ -411,13 +411,13 @@ SELECT evaluator, round(quantile_cont(mean,0.025),6) AS low, round(quantile_cont
 def bootstrap_multinomial(spark, sf_dir):
     """The same interval over all pairs with multinomial replicates: no SQL counterpart, tested for its distribution."""
     counts = pairing.comparison(_versus(spark, sf_dir, "normative", "factual"), ["evaluator", "framing"])
-    return rounded(bootstrap.multinomial(counts, ["evaluator", "framing"], 2000))
+    return rounded(bootstrap.multinomial(counts, ["evaluator", "framing"]))
 
 
 def bootstrap_seeded(spark, sf_dir):
-    """The same interval as NumPy's legacy generator gives it: no SQL counterpart, tested against a plain loop."""
-    rows = _versus(spark, sf_dir, "factual").where("case_id % 20 < 2").select("evaluator", "case_id", "art", "is_accurate_base", "is_accurate_other")
-    return rounded(bootstrap.seeded(rows, ["evaluator"], ["case_id", "art"], 200))
+    """The interval over all pairs as NumPy's legacy generator gives it: no SQL counterpart, tested against a plain loop."""
+    rows = _versus(spark, sf_dir, "factual").select("evaluator", "case_id", "art", "is_accurate_base", "is_accurate_other")
+    return rounded(bootstrap.seeded(rows, ["evaluator"], ["case_id", "art"]))
 
 
 def grid_requests(spark, sf_dir):

@@ -63,6 +63,23 @@ def test_seeded_sample_against_plain_loop(spark):
     assert got == want
 
 
+def test_bootstraps_read_every_pair_10000_times(spark):
+    import numpy as np
+
+    groups = {}
+    for r in ratings._versus(spark, DATA, "factual").collect():
+        groups.setdefault(r["evaluator"], []).append((r["case_id"], r["art"], int(r["is_accurate_other"]) - int(r["is_accurate_base"])))
+    want = {}
+    for evaluator, rows in groups.items():
+        d, rng = np.array([x for *_, x in sorted(rows)]), np.random.RandomState(42)
+        want[evaluator] = np.percentile([d[rng.choice(len(d), size=len(d), replace=True)].mean() for _ in range(10_000)], [2.5, 97.5])
+    got = {r["evaluator"]: (r["low"], r["high"]) for r in ratings.bootstrap_seeded(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[e], want[e], rtol=0, atol=1e-6) for e in want)
+    counts = ratings.pairing.comparison(ratings._versus(spark, DATA, "normative", "factual"), ["evaluator", "framing"])
+    drawn = ratings.rounded(ratings.bootstrap.multinomial(counts, ["evaluator", "framing"], 10_000)).collect()
+    assert sorted(drawn) == sorted(ratings.bootstrap_multinomial(spark, DATA).collect())
+
+
 def test_shape_of_the_plans(spark):
     """Samples reduce in one shuffle by case, and scans read only the columns they need."""
     plan = ratings.condition_summary(spark, DATA)._jdf.queryExecution().executedPlan().toString()
