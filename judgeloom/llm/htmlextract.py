@@ -3,7 +3,10 @@
 Every page's containers are scored by the text of their blocks, less links. A page votes for its best
 container, named by a generalised tag-class path (digits gone, classes lower-cased). Spark counts the votes of each
 host; a host's winning paths are those with a good share of them. Then every page is read again with
-its host's winning paths, or its own best container where it has none of them.
+its host's winning paths, or its own best container where it has none of them. A container found so names the article, and
+is not its edge: the text is that of the outermost article or main around it; where there is none, blocks that stand
+directly in a container around it (titles, leads) and sections beside it belong to it too, but no div or cell beside it, which may
+be anything, and no block that is mostly links.
 
 What is never text: scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader
 comments, and hidden elements - by tag, role, class or id. White space inside a block is one space; blocks
@@ -36,6 +39,8 @@ STEPS, STEP_CHARS = 12, 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend option".split())
+#: Elements that hold a whole article, and parts of one that never stand for something else of the page.
+WHOLE, PARTS = frozenset(["article", "main"]), frozenset(["section", "blockquote", "center"])
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 SKIPPED = frozenset("head nav header footer aside form button select menu template svg math canvas object dialog audio video map search datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -171,25 +176,48 @@ def best_path(page: str) -> str | None:
     return min(scores, key=lambda p: (-scores[p], first[p])) if scores else None
 
 
+def _article(found: list[tuple[Node, str, int]], path: str) -> list[str]:
+    """The texts of the article around the containers of a path, in page order; none without such a container."""
+    # for each container: the outermost article or main around it (or itself), and whether it is inside one of the path
+    outer: dict[int, tuple[Node | None, bool]] = {0: (None, False)}
+
+    def of(node: Node | None) -> tuple[Node | None, bool]:
+        chain = []
+        while node is not None and id(node) not in outer:
+            chain.append(node)
+            node = node.parent
+        at = outer[id(node)] if node is not None else outer[0]
+        for n in reversed(chain):
+            at = outer[id(n)] = (at[0] or (n if n.tag in WHOLE else None), at[1] or n.path == path)
+        return at
+
+    inside = [of(node) for node, _, _ in found]
+    if not any(held for _, held in inside):
+        return []
+    wholes = {id(whole) for whole, held in inside if held and whole is not None}
+    # containers around those of the path that are in no article or main
+    around: set[int] = set()
+    for (node, _, _), (whole, held) in zip(found, inside, strict=True):
+        if held and whole is None:
+            while node is not None and id(node) not in around:
+                around.add(id(node))
+                node = node.parent
+
+    def beside(node: Node, said: str, linked: int) -> bool:
+        if len(said) <= 2 * linked:
+            return False
+        while id(node) not in around and node.tag in PARTS:
+            node = node.parent
+        return id(node) in around
+
+    return [said for (node, said, linked), (whole, held) in zip(found, inside, strict=True) if held or (id(whole) in wholes if whole is not None else beside(node, said, linked))]
+
+
 def main_text(page: str, paths: list[str]) -> str:
-    """The blocks inside the first of the paths that the page has, or inside its own best container."""
+    """The article around the first of the paths that the page has, or around its own best container."""
     found = list(blocks(page))
     for path in [*paths, best_path(page)]:
-        inside: dict[int, bool] = {}
-
-        def under(node, path=path, inside=inside):
-            chain = []
-            while node is not None and id(node) not in inside:
-                chain.append(node)
-                if node.path == path:
-                    break
-                node = node.parent
-            held = node is not None and (node.path == path or inside.get(id(node), False))
-            for n in chain:
-                inside[id(n)] = held
-            return held
-
-        said = [text for node, text, _ in found if under(node)]
+        said = _article(found, path)
         if said:
             return "\n\n".join(said)
     return ""

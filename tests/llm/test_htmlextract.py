@@ -15,6 +15,24 @@ def test_main_text_by_hand():
     assert htmlextract.main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", []).startswith("deep")
 
 
+def test_nothing_of_the_article_is_dropped(spark):
+    long = "Body text of the story. " * 40
+    body = long.strip()
+    pages = {
+        "nested": (f"<article><h1>Title</h1><p>Lead.</p><div class='content'><p>{long}</p></div><p>After.</p></article><div class='more'><p>Else.</p></div>", ["Title", "Lead.", body, "After."]),
+        "sections": (f"<main><section class='a'><p>{long}</p></section><section class='b'><p>Short.</p></section></main>", [body, "Short."]),
+        "main around article": (f"<main><h1>Title</h1><article><div class='x'><div class='y'><p>{long}</p></div></div><div class='z'><p>End.</p></div></article></main>", ["Title", body, "End."]),
+        "no article": (f"<div id='wrap'><h1>Title</h1><p>Lead.</p><p><a href='/'>only a link</a></p><div class='content'><p>{long}</p></div><section class='b'><blockquote>Said.</blockquote></section><p>After.</p><div class='more'><p>Else.</p></div></div>", ["Title", "Lead.", body, "Said.", "After."]),
+        "bare sections": (f"<section class='a'><p>{long}</p></section><section class='b'><p>Short.</p></section>", [body, "Short."]),
+        "boilerplate inside": (f"<article><div class='share'>Share!</div><div class='content'><p>{long}</p></div><footer>f</footer></article>", [body]),
+    }
+    for name, (page, want) in pages.items():
+        assert htmlextract.main_text(page, []) == "\n\n".join(want), name
+    for name, (page, want) in pages.items():
+        rows = spark.createDataFrame([(i, f"http://h.test/{i}", page) for i in range(5)], "page_id long, url string, html string")
+        assert {r["text"] for r in htmlextract.extract(rows).collect()} == {"\n\n".join(want)}, name
+
+
 def test_consensus_decides(spark):
     """A short article loses on its own page to a long teaser list, and is found by its host's path."""
     short = "<div id='wrap'><div class='story s1'><p>Tiny.</p></div><div class='more'><p>A teaser that is very much longer than the story and would win here alone.</p></div></div>"
