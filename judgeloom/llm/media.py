@@ -140,6 +140,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return source.mapInArrow(store, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def blocks_of(mel: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First frames, ends and padded values (one row each) of the tensors of a recording, 64 at a time."""
+    for at in range(0, len(mel), TENSOR_FRAMES * 64):
+        part = mel[at : at + TENSOR_FRAMES * 64]
+        blocks = -(-len(part) // TENSOR_FRAMES)
+        held = np.full((blocks * TENSOR_FRAMES, MELS), np.float32(np.log(FLOOR)))
+        held[: len(part)] = part
+        starts = at + np.arange(blocks) * TENSOR_FRAMES
+        yield starts, np.minimum(starts + TENSOR_FRAMES, len(mel)), held.reshape(blocks, TENSOR_FRAMES * MELS)
+
+
 def features(media: DataFrame) -> DataFrame:
     """doc_id, block, start_ms, end_ms, log_mel: TENSOR_FRAMES x MELS floats a row (``tensors`` views them as Arrow tensors)."""
 
@@ -148,22 +159,14 @@ def features(media: DataFrame) -> DataFrame:
 
         for b in batches:
             for doc, wav in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                mel = log_mel(samples_of(wav)[0])
-                for at in range(0, len(mel), TENSOR_FRAMES * 64):
-                    part = mel[at : at + TENSOR_FRAMES * 64]
-                    blocks = -(-len(part) // TENSOR_FRAMES)
-                    held = np.full((blocks * TENSOR_FRAMES, MELS), np.float32(np.log(FLOOR)))
-                    held[: len(part)] = part
-                    starts = at + np.arange(blocks) * TENSOR_FRAMES
-                    ends = np.minimum(starts + TENSOR_FRAMES, len(mel))
-                    offsets = np.arange(blocks + 1, dtype=np.int32) * (TENSOR_FRAMES * MELS)
+                for starts, ends, held in blocks_of(log_mel(samples_of(wav)[0])):
                     yield pa.record_batch(
                         [
-                            pa.array([doc] * blocks, b.column("doc_id").type),
+                            pa.array([doc] * len(held), b.column("doc_id").type),
                             pa.array(starts // TENSOR_FRAMES, pa.int64()),
                             pa.array([milliseconds(int(x)) for x in starts], pa.int64()),
                             pa.array([milliseconds(int(x)) for x in ends], pa.int64()),
-                            pa.ListArray.from_arrays(offsets, held.ravel()),
+                            _lists(held),
                         ],
                         ["doc_id", "block", "start_ms", "end_ms", "log_mel"],
                     )
@@ -171,6 +174,24 @@ def features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, block long, start_ms long, end_ms long, log_mel array<float>")
 
 
+def _lists(held: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.arange(len(held) + 1, dtype=np.int32) * held.shape[1], held.ravel())
+
+
+def tensor_digest(mel: np.ndarray) -> tuple[int, str]:
+    """How many tensors a recording has, and a hash of their time spans and values as Arrow tensors hold them."""
+    n, seen = 0, hashlib.sha256()
+    for starts, ends, held in blocks_of(mel):
+        stored = tensors(_lists(held)).to_numpy_ndarray()
+        for start, end, tensor in zip(starts.tolist(), ends.tolist(), stored, strict=True):
+            seen.update(struct.pack("<qq", milliseconds(start), milliseconds(end)))
+            seen.update(np.ascontiguousarray(tensor, "<f4").tobytes())
+        n += len(stored)
+    return n, seen.hexdigest()
+
+
 def tensors(log_mel_column):
     """An Arrow list column of ``features`` as a fixed-shape tensor array."""
     import pyarrow as pa
@@ -180,13 +201,13 @@ def tensors(log_mel_column):
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), flat.cast(pa.list_(pa.float32(), shape[0] * shape[1])))
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long, segments array<struct<start_ms:long,end_ms:long>>"
+DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long, tensors_sha256 string, segments array<struct<start_ms:long,end_ms:long>>"
 
 
-def feature_text(mel: np.ndarray, found: list[tuple[int, int]]) -> str:
+def feature_text(mel: np.ndarray, n_tensors: int, found: list[tuple[int, int]]) -> str:
     """Frames, tensors, segments, frames in segments and mean log-mel of four bands."""
     bands = mel.reshape(len(mel), 4, MELS // 4).mean(axis=(0, 2), dtype=np.float64)
-    return f"frames={len(mel)};tensors={-(-len(mel) // TENSOR_FRAMES)};segments={len(found)};active={sum(b - a for a, b in found)};bands=" + ",".join(f"{x + 0:.2f}" for x in bands)
+    return f"frames={len(mel)};tensors={n_tensors};segments={len(found)};active={sum(b - a for a, b in found)};bands=" + ",".join(f"{x + 0:.2f}" for x in bands)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -201,10 +222,11 @@ def digests(media: DataFrame) -> DataFrame:
                 back, _ = samples_of(wav)
                 mel = log_mel(back)
                 found = segments(mel.mean(axis=1, dtype=np.float64))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_text(mel, found), -(-len(mel) // TENSOR_FRAMES), [{"start_ms": milliseconds(a), "end_ms": milliseconds(z)} for a, z in found]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))]
+                n_tensors, stored = tensor_digest(mel)
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_text(mel, n_tensors, found), n_tensors, stored, [{"start_ms": milliseconds(a), "end_ms": milliseconds(z)} for a, z in found]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))]
             cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tensors", "segments"]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tensors", "tensors_sha256", "segments"]
             yield pa.record_batch([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
     return media.mapInArrow(read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {DIGEST}")

@@ -14,7 +14,7 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
     found = media.digests(media.encode(_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors_sha256")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
