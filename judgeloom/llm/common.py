@@ -47,9 +47,14 @@ def _clean() -> None:
             return
 
 
+#: Bytes of one Arrow batch, where rows are long.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole documents small enough for a worker's memory."""
+    """Keep Arrow batches of whole documents small enough for a worker's memory, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -61,17 +66,21 @@ def crc_of(column: str):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-#: Bits of a filter over hashed keys: its size stays the same however many keys there are.
-FILTER_BITS = 1 << 24
+#: Bits of a filter over hashed keys for each key, and at most (32 MB reach the driver and each worker).
+KEY_BITS, MOST_BITS = 8, 1 << 28
 
 
-def _bit(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+def bit_column(keys: list[str], bits: np.ndarray) -> Column:
+    """The place of a row's keys in a bitmap."""
+    return F.pmod(F.xxhash64(*keys), F.lit(8 * len(bits)))
 
 
 def bit_filter(df: DataFrame, keys: list[str]) -> np.ndarray:
-    """One bit for every hashed key of df: FILTER_BITS / 8 bytes at most reach the driver."""
-    return bitmap(df.select(_bit(keys).alias("bit")), FILTER_BITS)
+    """One bit for every hashed key of df. Beyond MOST_BITS / KEY_BITS keys it clears fewer rows; what it doesn't clear is joined."""
+    size = 1 << 16
+    while size < min(MOST_BITS, KEY_BITS * df.count()):
+        size *= 2
+    return bitmap(df.select(F.pmod(F.xxhash64(*keys), F.lit(size)).alias("bit")), size)
 
 
 def bitmap(bit: DataFrame, size: int) -> np.ndarray:
@@ -92,12 +101,19 @@ def maybe_in(bits: np.ndarray, keys: list[str]) -> Column:
         at = bit.to_numpy(zero_copy_only=False).astype(np.int64)
         return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
-    return held(_bit(keys))
+    return held(bit_column(keys, bits))
+
+
+def maybe(df: DataFrame, bits: np.ndarray, keys: list[str]) -> DataFrame:
+    """The rows whose key may be in the filtered table; none at all where that is empty."""
+    return df.where(maybe_in(bits, keys)) if bits.any() else df.limit(0)
 
 
 def without(df: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """df without the rows whose keys (null-safe) are in dropped. Only rows that the bit filter can't clear are shuffled."""
     bits = bit_filter(dropped, keys)
+    if not bits.any():
+        return df
     marked = df.withColumn("__maybe", maybe_in(bits, keys))
     gone = dropped.select(*(F.col(k).alias(f"__gone{i}") for i, k in enumerate(keys))).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"__gone{i}")) for i, k in enumerate(keys)]
@@ -127,7 +143,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound and computed anew after that."""
 
-    bound = 250_000
+    bound = 100_000
 
     def __missing__(self, word: str) -> int:
         import xxhash

@@ -6,12 +6,22 @@ registers; a register keeps its earliest arrival, and a shingle stops once no la
 documents agree in a register with their probability Jaccard similarity.
 
 Texts are first reduced to distinct ones. Bands of registers name buckets. In each bucket a leader is compared with
-the others, over rounds with finer buckets (two bands together) and other leaders - first those that meet most texts of
-other components, the middles of groups - which contracts groups of near copies into components. Buckets that still hold several components then compare members of different ones, each
-pair in the first bucket it shares. Before any exact comparison a pair has to agree in so many registers (four bits
-of each) as all but one in some ten thousand pairs of THRESHOLD would. So every pair of candidates is either
-compared or already in one component, and no group of copies is expanded into all pairs. A pair is linked if its exact probability Jaccard, or the plain Jaccard of its shingle
-sets, is THRESHOLD or more. Classes are the connected components, found by contraction of tables.
+the others, over two rounds with finer buckets (two bands together) first - leaders are the texts that meet most texts of
+other components, the middles of groups - which contracts groups of near copies into components. Before an exact
+comparison a pair has to agree in so many registers (four bits of each) as all but one in some ten thousand pairs
+of THRESHOLD would.
+
+Texts of buckets that still hold several components are compared by their differences. Texts that such buckets connect
+form a cell; a cell's support are the shingles of most texts of a sample of it, and a text's difference D are the shingles that it
+has outside the support or lacks of it. With T the count of all shingles of a text, probability Jaccard of THRESHOLD or more implies that
+|D(x) xor D(y)| is at most SPREAD * max(T(x), T(y)): if a is the weight of x outside y and b that of y outside x, it is
+(1 - a)(1 - b) / (1 - ab) at most, so a + b <= SPREAD, and each shingle of x outside y weighs 1 / T(x) or more. Sorted from
+rare to frequent (by the sample; any fixed order is exact), two such differences share an element whose places leave room for that, or both are so short that they
+needn't share one (`_close`). Copies that drift from one original differ from each other in rare shingles, so few pairs meet. The sample
+steers the work and not the result; no candidate is dropped and no group of copies is expanded into all pairs.
+
+A pair is linked if its exact probability Jaccard is THRESHOLD or more; texts without repeated shingles have the plain Jaccard
+of their sets. Classes are the connected components, found by contraction of tables.
 
 Cases: a null text is a class of its own; equal texts (empty ones too) are one class; a text of fewer than WIDTH
 words is one shingle; a text without words meets equal texts only; repeated rows are copies; an
@@ -27,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, hashed, maybe_in, mix, small_batches, without, written
+from .common import bit_column, bit_filter, hashed, maybe, mix, small_batches, without, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -36,6 +46,12 @@ REGISTERS = BANDS * ROWS
 _CHANCE = THRESHOLD + (1 - THRESHOLD) / 16
 AGREE = int(REGISTERS * _CHANCE - 4 * (REGISTERS * _CHANCE * (1 - _CHANCE)) ** 0.5)
 SKETCH = 8  # words of 64 bits
+#: Two texts of THRESHOLD differ in at most so large a part of their shingles, counted on both sides.
+SPREAD = 2 * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9
+#: Texts of a cell that tell its support and how frequent differences are.
+SAMPLE = 64
+#: Parts of a cell's rows, so that no task takes a hot cell alone.
+SALTS = 16
 
 _word = re.compile(r"\w+")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -116,24 +132,21 @@ def _agreeing(x: str, y: str) -> Column:
     return total
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Exact probability Jaccard and plain Jaccard of two weighted shingle sets (hashes ascending)."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact probability Jaccard of two weighted shingle sets (hashes ascending)."""
     if not len(a[0]) or not len(b[0]):
-        return 0.0, 0.0
+        return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    plain = len(i) / (len(a[0]) + len(b[0]) - len(i))
-    if not len(i):
-        return 0.0, 0.0
+    if len(a[0]) == a[1].sum() and len(b[0]) == b[1].sum() or not len(i):
+        return len(i) / (len(a[0]) + len(b[0]) - len(i))
     wa, wb = a[1][i].astype(np.float64), b[1][j].astype(np.float64)
-    if len(a[0]) == a[1].sum() and len(b[0]) == b[1].sum():
-        return plain, plain
     order = np.argsort(wa / wb)
     wa, wb = wa[order], wb[order]
     only_a, only_b = a[1].sum() - wa.sum(), b[1].sum() - wb.sum()
     # shared shingles of a larger ratio count by their weight in a, the others by their weight in b
     above = only_a + np.cumsum(wa[::-1])[::-1] - wa
     below = only_b + np.cumsum(wb)
-    return float((1 / (above / wa + below / wb)).sum()), plain
+    return float((1 / (above / wa + below / wb)).sum())
 
 
 def node_of(text: Column) -> Column:
@@ -146,38 +159,57 @@ def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
 
 
+#: Shingles that are signed at once.
+PART = 100_000
+
+
+def _parts(cut: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Shingled documents in lists of PART shingles, or of one document."""
+    part, size = [], 0
+    for found in cut:
+        if part and size + len(found[0]) > PART:
+            yield part
+            part, size = [], 0
+        part.append(found)
+        size += len(found[0])
+    if part:
+        yield part
+
+
 def _banded(rows: DataFrame) -> DataFrame:
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             named, drawn = [], []
-            found = [shingles(t) for t in b.column("text").to_pylist()]
-            # wide batches of long documents are signed in parts
-            at = 0
-            while at < len(found):
-                end, size = at, 0
-                while end < len(found) and (end == at or size + len(found[end][0]) <= 200_000):
-                    size += len(found[end][0])
-                    end += 1
-                signed = signatures(found[at:end])
-                named += [x if len(f[0]) else [] for x, f in zip(bands(signed).tolist(), found[at:end], strict=True)]
+            for part in _parts(shingles(t.as_py()) for t in b.column("text")):
+                signed = signatures(part)
+                named += [x if len(f[0]) else [] for x, f in zip(bands(signed).tolist(), part, strict=True)]
                 drawn += sketches(signed).tolist()
-                at = end
             yield pa.record_batch([b.column("doc_id"), b.column("node"), pa.array(named, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "node", "bands", "sketch"])
 
     return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>, sketch array<long>")
 
 
-def _shingled(rows: DataFrame) -> DataFrame:
+def _shingled(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The shingles of the rows whose node may be in the bitmap."""
+
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            found = [shingles(t) for t in b.column("text").to_pylist()]
+            at = b.column("bit").to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            found = [shingles(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), b.column("node"), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["doc_id", "node", "hashes", "counts"])
 
-    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, hashes array<long>, counts array<int>")
+    return rows.withColumn("bit", bit_column(["node"], bits)).mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, hashes array<long>, counts array<int>")
+
+
+def _alike(pairs: DataFrame, sketched: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in AGREE registers or more."""
+    met = pairs.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node"))
+    return written(met.where(_agreeing("x", "y") >= AGREE).select("a", "b"), name)
 
 
 def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
@@ -193,7 +225,7 @@ def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
             out = []
             for k in range(batch.num_rows):
                 ha, ca, hb, cb = (v[k].values.to_numpy() for v in values)
-                out.append(max(similarity((ha.view(np.uint64), ca), (hb.view(np.uint64), cb))))
+                out.append(similarity((ha.view(np.uint64), ca), (hb.view(np.uint64), cb)))
             keep = pa.array([s >= THRESHOLD for s in out], pa.bool_())
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"]).filter(keep)
 
@@ -228,6 +260,80 @@ def _shared(dealt: DataFrame) -> DataFrame:
     return dealt.join(several, "bucket").select("bucket", "node")
 
 
+def _differences(open_: DataFrame, cut: DataFrame) -> DataFrame:
+    """node, label, cell, size, total, top, elements of every text of open_ (bucket, node, label): its difference from its cell's support, rare elements first."""
+    hub = open_.groupBy("bucket").agg(F.min("node").alias("b"))
+    edges = open_.join(hub, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    nodes = written(open_.select("node", "label").distinct(), "open-nodes")
+    cells = merged(nodes.select("node", F.col("node").alias("label")), edges, "cells").withColumnRenamed("label", "cell")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
+    dealt = written(nodes.join(cells, "node").join(cut, "node").select("node", "label", "cell", salt, "hashes", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("total")), "cells-dealt")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.md5("node")))
+    sample = dealt.select("cell", "node").withColumn("place", place).where(F.col("place") <= SAMPLE).select("node")
+    seen = dealt.join(sample, "node").select("cell", F.explode("hashes").alias("hash")).groupBy("cell", "hash").agg(F.count("*").cast("int").alias("times"))
+    seen = seen.where("times > 1").groupBy("cell").agg(F.collect_list(F.struct("hash", "times")).alias("seen"))
+    tops = dealt.groupBy("cell").agg(F.max("total").alias("top"), F.least(F.count("*"), F.lit(SAMPLE)).cast("int").alias("drawn"))
+    about = tops.join(seen, "cell", "left").select("cell", "top", "drawn", F.col("seen.hash").alias("known"), F.col("seen.times").alias("times"))
+    # a cell's support is sent to the parts of the cell that exist
+    about = dealt.select("cell", "salt").distinct().join(about, "cell")
+
+    def differ(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for k in range(b.num_rows):
+                own = np.sort(b.column("hashes")[k].values.to_numpy().view(np.uint64))
+                known, times = b.column("known")[k].values, b.column("times")[k].values
+                known, times = (np.zeros(0, np.uint64), np.zeros(0, np.int32)) if known is None else (known.to_numpy().view(np.uint64), times.to_numpy())
+                out.append(difference(own, known, times, b.column("drawn")[k].as_py()).view(np.int64))
+            made = pa.array(out, pa.list_(pa.int64()))
+            yield pa.record_batch([*(b.column(c) for c in ("node", "label", "cell", "total", "top")), pa.array([len(d) for d in out], pa.int32()), made], ["node", "label", "cell", "total", "top", "size", "elements"])
+
+    met = dealt.join(about, ["cell", "salt"]).select("node", "label", "cell", "total", "top", "drawn", "hashes", "known", "times")
+    return written(met.mapInArrow(differ, "node binary, label binary, cell binary, total long, top long, size int, elements array<long>"), "differences")
+
+
+def difference(own: np.ndarray, known: np.ndarray, times: np.ndarray, drawn: int) -> np.ndarray:
+    """Elements of own outside the support and of the support outside own, from rare to frequent: known shingles occur times in drawn texts."""
+    order = np.argsort(known)
+    known, times = known[order], times[order]
+    found = np.setxor1d(own, known[2 * times > drawn], assume_unique=True)
+    if not len(known):
+        return found
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    often = np.where(known[at] == found, times[at], 0)
+    return found[np.lexsort((found, np.where(2 * often > drawn, drawn - often, often)))]
+
+
+def _sharing(differences: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components whose differences share an element early enough."""
+    dealt = differences.select("node", "label", "size", "total", "top", F.posexplode("elements").alias("place", "element"), "cell").select("*", F.xxhash64("cell", "element").alias("key")).drop("cell", "element")
+    room = F.lit(SPREAD) * F.greatest("x.total", "y.total")
+    # the longer difference is read as far as any shorter one may ask, the shorter one to half the room
+    long = dealt.where(2 * F.col("place") <= F.col("size") + SPREAD * F.col("top")).drop("top").alias("x")
+    short = dealt.where(2 * F.col("place") <= SPREAD * F.col("top")).drop("top").alias("y")
+    longer = (F.col("x.size") > F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") > F.col("y.node"))
+    early = (2 * F.col("x.place") <= F.col("x.size") - F.col("y.size") + room) & (2 * F.col("y.place") <= F.col("y.size") - F.col("x.size") + room)
+    met = long.join(short, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & longer & early)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _close(differences: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that are so short together that they need not share an element."""
+    short = differences.where(F.col("size") <= SPREAD * F.col("top")).select("node", "label", "cell", "size", "total")
+    sizes = short.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("cell", F.col("main.label").alias("main"))
+    rows = written(short.join(main, "cell").join(sketched, "node").withColumn("minor", F.col("label") != F.col("main")).drop("main"), "short")
+    # one of the two is outside the component that most texts of the cell are in
+    x = rows.where("minor").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))).alias("y")
+    room = F.lit(SPREAD) * F.greatest("x.total", "y.total")
+    both = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") + F.col("y.size") <= room)
+    once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
+    return x.join(y, both & once & (_agreeing("x", "y") >= AGREE)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tables node, doc_id (its least), class_node, class_id; and the verified links between different texts."""
     spark = docs.sparkSession
@@ -240,39 +346,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     needed = labels.select("node").join(distinct.select("node", "doc_id", "bands", "sketch"), "node")
     needed = written(needed.select("node", "doc_id", "bands", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "candidates")
     # the bit filter keeps documents without any candidate out of the shuffle; the join settles the rest
-    cut = _shingled(rows.where(maybe_in(bit_filter(labels, ["node"]), ["node"])))
-    cut = written(cut.alias("c").join(needed.alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts"), "shingles")
+    cut = _shingled(rows, bit_filter(labels, ["node"]))
+    cut = written(cut.alias("c").join(needed.select("node", "doc_id").alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts").dropDuplicates(["node"]), "shingles")
+    sketched = needed.drop("doc_id", "bands")
     # buckets of two bands together hold closer texts
     double = F.transform("bands", lambda x, i: F.xxhash64(x, F.element_at("bands", F.pmod(i + 1, F.lit(BANDS)) + 1), i))
     fine = written(_shared(needed.select("node", F.explode(double).alias("bucket"))), "fine")
     links = None
-    for step, (buckets, central) in enumerate(((fine, True), (multi, True), (None, False))):
-        held = (multi if buckets is None else buckets).join(labels, "node")
+    for step, buckets in enumerate((fine, multi)):
+        held = buckets.join(labels, "node")
+        # the text that meets most others of other components over all its buckets is the likeliest middle of a group
+        sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("own"))
+        whole = sizes.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+        others = sizes.join(whole, "bucket").select("bucket", "label", (F.col("all") - F.col("own")).alias("others"))
+        held = written(held.join(others, ["bucket", "label"]), f"held{step}")
+        meets = held.groupBy("node").agg(F.sum("others").alias("meets"))
         order = F.unhex(F.md5(F.concat(F.lit(f"{step}").cast("binary"), "node")))
-        lead = F.min(F.struct(order.alias("o"), "node", "label"))
-        if central:
-            # the text that meets most others of other components over all its buckets is the likeliest middle of a group
-            sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("own"))
-            whole = sizes.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
-            others = sizes.join(whole, "bucket").select("bucket", "label", (F.col("all") - F.col("own")).alias("others"))
-            held = written(held.join(others, ["bucket", "label"]), f"held{step}")
-            meets = held.groupBy("node").agg(F.sum("others").alias("meets"))
-            held = held.join(meets, "node")
-            lead = F.max(F.struct("meets", order.alias("o"), "node", "label"))
-        open_ = held.groupBy("bucket").agg(lead.alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        if buckets is not None:
-            met = held.join(open_.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label")), "bucket").where("label != leader_label")
-            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-            pairs = pairs.join(needed.alias("x"), F.col("a") == F.col("x.node")).join(needed.alias("y"), F.col("b") == F.col("y.node")).where(_agreeing("x", "y") >= AGREE).select("a", "b")
-        else:
-            rest = held.join(open_.select("bucket"), "bucket").select("bucket", "node", "label").join(needed.drop("doc_id"), "node")
-            rest = written(rest, "open")
-            shared = F.element_at(F.filter(F.transform("x.bands", lambda v, i: F.when(v == F.element_at("y.bands", i + 1), v)), lambda v: v.isNotNull()), 1)
-            other = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (_agreeing("x", "y") >= AGREE) & (shared == F.col("x.bucket"))
-            pairs = rest.alias("x").join(rest.alias("y"), other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        found = _verified(written(pairs, f"pairs{step}"), cut, f"links{step}")
+        lead = F.max(F.struct("meets", order.alias("o"), "node", "label")).alias("lead")
+        lead = held.join(meets, "node").groupBy("bucket").agg(lead).select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label"))
+        met = held.join(lead, "bucket").where("label != leader_label")
+        found = _verified(_alike(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sketched, f"pairs{step}"), cut, f"links{step}")
         labels = merged(labels, found, f"merge{step}")
         links = found if links is None else links.unionByName(found)
+    held = multi.join(labels, "node")
+    several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    apart = _differences(written(held.join(several, "bucket").select("bucket", "node", "label"), "open"), cut)
+    pairs = _alike(_sharing(apart), sketched, "sharing").unionByName(written(_close(apart, sketched), "close"))
+    found = _verified(pairs.distinct(), cut, "links")
+    labels, links = merged(labels, found, "merge"), links.unionByName(found)
     placed = distinct.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
     return written(placed.join(first, "label").select("node", "doc_id", "class_id", "class_node"), "classes"), links
@@ -297,10 +398,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wins = (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("best"))
     judged = written(judged.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), wins.alias("wins"), "n"), "judged")
     kept = without(named, judged.where("not wins or n > 1"), ["__node", "__id"])
-    # repeated rows of a winner: one comes back
+    # repeated rows of a winner: the largest one, as JSON, comes back
     again = judged.where("wins and n > 1").select(F.col("__node").alias("__again"), F.col("__id").alias("__again_id"))
-    near = named.where(maybe_in(bit_filter(again.select(F.col("__again").alias("__node"), F.col("__again_id").alias("__id")), ["__node", "__id"]), ["__node", "__id"]))
+    near = maybe(named, bit_filter(again.select(F.col("__again").alias("__node"), F.col("__again_id").alias("__id")), ["__node", "__id"]), ["__node", "__id"])
     met = near.join(again, (F.col("__node") == F.col("__again")) & F.col("__id").eqNullSafe(F.col("__again_id")))
-    place = F.row_number().over(Window.partitionBy("__again", "__again_id").orderBy(F.lit(1)))
-    one = met.withColumn("__place", place).where("__place = 1")
-    return kept.select(*docs.columns).unionByName(one.select(*docs.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = met.groupBy("__again", "__again_id").agg(F.max_by(whole, F.to_json(whole)).alias("__one"))
+    return kept.select(*docs.columns).unionByName(one.select("__one.*"))
