@@ -26,12 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+_PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    few: files of the advisory size of shuffled partitions, however many cores there are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/judgeloom/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    schema, before = df.schema, spark.conf.get(_PARALLEL)
+    if few:
+        spark.conf.set(_PARALLEL, "false")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_PARALLEL, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 

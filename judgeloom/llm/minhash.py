@@ -206,10 +206,10 @@ def _shingled(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.withColumn("bit", bit_column(["node"], bits)).mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, hashes array<long>, counts array<int>")
 
 
-def _alike(pairs: DataFrame, sketched: DataFrame, name: str) -> DataFrame:
+def _alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches agree in AGREE registers or more."""
     met = pairs.join(sketched.alias("x"), F.col("a") == F.col("x.node")).join(sketched.alias("y"), F.col("b") == F.col("y.node"))
-    return written(met.where(_agreeing("x", "y") >= AGREE).select("a", "b"), name)
+    return met.where(_agreeing("x", "y") >= AGREE).select("a", "b")
 
 
 def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
@@ -230,27 +230,29 @@ def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"]).filter(keep)
 
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return written(met.mapInArrow(compare, "a binary, b binary, similarity double"), name)
+    return written(met.mapInArrow(compare, "a binary, b binary, similarity double"), name, few=True)
 
 
 def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """labels (node, label) after joining the components that links (a, b) connect: repeated contraction to the least neighbour."""
-    between = links.select("a", "b")
-    ends = labels.select(F.col("node"), F.col("label"))
-    between = between.join(ends.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    between = written(between.where("x != y").select("x", "y").distinct(), f"{name}-edges")
-    step = 0
+    ends = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
+    between = links.select("a", "b").join(ends("a", "x"), "a").join(ends("b", "y"), "b").where("x != y").select("x", "y").distinct()
+    between = written(between, f"{name}-edges", few=True)
+    jumps, held = None, []
     while not between.isEmpty():
         both = between.unionByName(between.select(F.col("y").alias("x"), F.col("x").alias("y")))
         parent = both.groupBy("x").agg(F.min("y").alias("least")).select("x", F.least("x", "least").alias("up"))
         # two jumps a step shorten chains of components
-        parent = written(parent, f"{name}-parent{step}")
-        far = parent.alias("p").join(parent.select(F.col("x").alias("via"), F.col("up").alias("top")), F.col("p.up") == F.col("via"), "left").select("x", F.coalesce("top", "up").alias("up"))
-        far = written(far, f"{name}-far{step}")
-        labels = written(labels.join(far.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{name}-labels{step}")
-        up = lambda c: far.select(F.col("x").alias(c), F.col("up").alias(f"up_{c}"))
-        between = written(between.join(up("x"), "x").join(up("y"), "y").where("up_x != up_y").select(F.col("up_x").alias("x"), F.col("up_y").alias("y")).distinct(), f"{name}-edges{step}")
-        step += 1
+        far = parent.alias("p").join(parent.select(F.col("x").alias("via"), F.col("up").alias("top")), F.col("p.up") == F.col("via"), "left").select("x", F.coalesce("top", "up").alias("up")).persist()
+        held.append(far)
+        up = lambda c: far.select(F.col("x").alias(c), F.col("up").alias(f"up_{c}"))  # noqa: B023, E731
+        between = written(between.join(up("x"), "x").join(up("y"), "y").where("up_x != up_y").select(F.col("up_x").alias("x"), F.col("up_y").alias("y")).distinct(), f"{name}-edges{len(held)}", few=True)
+        # a later label is an image of an earlier one
+        jumps = far if jumps is None else jumps.join(far.select(F.col("x").alias("up"), F.col("up").alias("on")), "up", "left").select("x", F.coalesce("on", "up").alias("up"))
+    if held:
+        labels = written(labels.join(jumps.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), f"{name}-labels", few=True)
+    for far in held:
+        far.unpersist()
     return labels
 
 
@@ -264,10 +266,10 @@ def _differences(open_: DataFrame, cut: DataFrame) -> DataFrame:
     """node, label, cell, size, total, top, elements of every text of open_ (bucket, node, label): its difference from its cell's support, rare elements first."""
     hub = open_.groupBy("bucket").agg(F.min("node").alias("b"))
     edges = open_.join(hub, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    nodes = written(open_.select("node", "label").distinct(), "open-nodes")
+    nodes = written(open_.select("node", "label").distinct(), "open-nodes", few=True)
     cells = merged(nodes.select("node", F.col("node").alias("label")), edges, "cells").withColumnRenamed("label", "cell")
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    dealt = written(nodes.join(cells, "node").join(cut, "node").select("node", "label", "cell", salt, "hashes", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("total")), "cells-dealt")
+    dealt = written(nodes.join(cells, "node").join(cut, "node").select("node", "label", "cell", salt, "hashes", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("total")), "cells-dealt", few=True)
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.md5("node")))
     sample = dealt.select("cell", "node").withColumn("place", place).where(F.col("place") <= SAMPLE).select("node")
     seen = dealt.join(sample, "node").select("cell", F.explode("hashes").alias("hash")).groupBy("cell", "hash").agg(F.count("*").cast("int").alias("times"))
@@ -291,7 +293,7 @@ def _differences(open_: DataFrame, cut: DataFrame) -> DataFrame:
             yield pa.record_batch([*(b.column(c) for c in ("node", "label", "cell", "total", "top")), pa.array([len(d) for d in out], pa.int32()), made], ["node", "label", "cell", "total", "top", "size", "elements"])
 
     met = dealt.join(about, ["cell", "salt"]).select("node", "label", "cell", "total", "top", "drawn", "hashes", "known", "times")
-    return written(met.mapInArrow(differ, "node binary, label binary, cell binary, total long, top long, size int, elements array<long>"), "differences")
+    return written(met.mapInArrow(differ, "node binary, label binary, cell binary, total long, top long, size int, elements array<long>"), "differences", few=True)
 
 
 def difference(own: np.ndarray, known: np.ndarray, times: np.ndarray, drawn: int) -> np.ndarray:
@@ -324,7 +326,7 @@ def _close(differences: DataFrame, sketched: DataFrame) -> DataFrame:
     short = differences.where(F.col("size") <= SPREAD * F.col("top")).select("node", "label", "cell", "size", "total")
     sizes = short.groupBy("cell", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("cell", F.col("main.label").alias("main"))
-    rows = written(short.join(main, "cell").join(sketched, "node").withColumn("minor", F.col("label") != F.col("main")).drop("main"), "short")
+    rows = short.join(main, "cell").join(sketched, "node").withColumn("minor", F.col("label") != F.col("main")).drop("main")
     # one of the two is outside the component that most texts of the cell are in
     x = rows.where("minor").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).alias("x")
     y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))).alias("y")
@@ -339,19 +341,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark)
     rows = _sources(docs, id_col, text_col).where(F.col("node").isNotNull())
-    distinct = written(_banded(rows).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch")), "distinct")
-    multi = written(_shared(distinct.select("node", F.explode("bands").alias("bucket"))), "buckets")
+    distinct = written(_banded(rows).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch")), "distinct", few=True)
+    multi = written(_shared(distinct.select("node", F.explode("bands").alias("bucket"))), "buckets", few=True)
     nodes = multi.select("node").distinct()
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = nodes.select("node", F.col("node").alias("label"))
     needed = labels.select("node").join(distinct.select("node", "doc_id", "bands", "sketch"), "node")
-    needed = written(needed.select("node", "doc_id", "bands", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "candidates")
+    needed = written(needed.select("node", "doc_id", "bands", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH))), "candidates", few=True)
     # the bit filter keeps documents without any candidate out of the shuffle; the join settles the rest
     cut = _shingled(rows, bit_filter(labels, ["node"]))
-    cut = written(cut.alias("c").join(needed.select("node", "doc_id").alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts").dropDuplicates(["node"]), "shingles")
+    cut = written(cut.alias("c").join(needed.select("node", "doc_id").alias("n"), (F.col("c.node") == F.col("n.node")) & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id"))).select("c.node", "hashes", "counts").dropDuplicates(["node"]), "shingles", few=True)
     sketched = needed.drop("doc_id", "bands")
     # buckets of two bands together hold closer texts
     double = F.transform("bands", lambda x, i: F.xxhash64(x, F.element_at("bands", F.pmod(i + 1, F.lit(BANDS)) + 1), i))
-    fine = written(_shared(needed.select("node", F.explode(double).alias("bucket"))), "fine")
+    fine = written(_shared(needed.select("node", F.explode(double).alias("bucket"))), "fine", few=True)
     links = None
     for step, buckets in enumerate((fine, multi)):
         held = buckets.join(labels, "node")
@@ -359,24 +361,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("own"))
         whole = sizes.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
         others = sizes.join(whole, "bucket").select("bucket", "label", (F.col("all") - F.col("own")).alias("others"))
-        held = written(held.join(others, ["bucket", "label"]), f"held{step}")
+        held = held.join(others, ["bucket", "label"]).persist()
         meets = held.groupBy("node").agg(F.sum("others").alias("meets"))
         order = F.unhex(F.md5(F.concat(F.lit(f"{step}").cast("binary"), "node")))
         lead = F.max(F.struct("meets", order.alias("o"), "node", "label")).alias("lead")
         lead = held.join(meets, "node").groupBy("bucket").agg(lead).select("bucket", F.col("lead.node").alias("leader"), F.col("lead.label").alias("leader_label"))
         met = held.join(lead, "bucket").where("label != leader_label")
-        found = _verified(_alike(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sketched, f"pairs{step}"), cut, f"links{step}")
+        found = _verified(_alike(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), sketched), cut, f"links{step}")
+        held.unpersist()
         labels = merged(labels, found, f"merge{step}")
         links = found if links is None else links.unionByName(found)
     held = multi.join(labels, "node")
     several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    apart = _differences(written(held.join(several, "bucket").select("bucket", "node", "label"), "open"), cut)
-    pairs = _alike(_sharing(apart), sketched, "sharing").unionByName(written(_close(apart, sketched), "close"))
+    apart = _differences(written(held.join(several, "bucket").select("bucket", "node", "label"), "open", few=True), cut)
+    pairs = _alike(_sharing(apart), sketched).unionByName(_close(apart, sketched))
     found = _verified(pairs.distinct(), cut, "links")
     labels, links = merged(labels, found, "merge"), links.unionByName(found)
     placed = distinct.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
-    return written(placed.join(first, "label").select("node", "doc_id", "class_id", "class_node"), "classes"), links
+    return written(placed.join(first, "label").select("node", "doc_id", "class_id", "class_node"), "classes", few=True), links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,7 +399,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = _sources(docs, id_col, text_col).select("node", "doc_id").where("node is not null").groupBy("node", "doc_id").agg(F.count("*").alias("n"))
     judged = copies.join(found.select("node", F.col("doc_id").alias("best"), "class_node"), "node")
     wins = (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("best"))
-    judged = written(judged.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), wins.alias("wins"), "n"), "judged")
+    judged = written(judged.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), wins.alias("wins"), "n"), "judged", few=True)
     kept = without(named, judged.where("not wins or n > 1"), ["__node", "__id"])
     # repeated rows of a winner: the largest one, as JSON, comes back
     again = judged.where("wins and n > 1").select(F.col("__node").alias("__again"), F.col("__id").alias("__again_id"))
