@@ -61,10 +61,10 @@ def _clean() -> None:
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches of whole documents small enough for a worker's memory, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def partitions(spark: SparkSession) -> int:

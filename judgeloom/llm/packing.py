@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import string
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,19 +33,24 @@ DIMS, BITS = 4, 11
 HASHED = 4096
 #: Sampled keys for each range.
 SAMPLE = 60
-#: Remembered words of a worker, and the longest that is remembered.
-WORDS, WORD_CHARS = 400_000, 48
+#: Rows and bytes of a batch: a word is encoded once for each batch that has it.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+#: Words encoded at once.
+CHUNK = 2000
+#: Remembered words of a worker that aren't all letters, and the longest that is remembered.
+WORDS, WORD_CHARS = 50_000, 48
 VOCABULARY = 49_408
 
 _odd = re.compile("[\x1c-\x1fΣ]|<\\|")
+_odd_bytes = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", "Σ".encode(), b"<|"]
 _tail = "".join(c for c in string.punctuation if c != "'")
 
 
 class Tokens:
-    """Token ids of whole texts by the word-level tokenizer, with a bounded memory of words.
+    """Token ids of whole texts by the word-level tokenizer, with each distinct word of a batch encoded once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
-    Texts with anything that makes this unsafe (special-token strings, text that isn't normalised,
+    The tokenizer drops white space, never joins across it and parts letters and digits from punctuation, so a text's ids are those of its
+    words. Texts with anything that makes this unsafe (special-token strings, text that isn't normalised,
     context-dependent lower case) go through the tokenizer whole.
     """
 
@@ -60,77 +66,145 @@ class Tokens:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are all letters."""
-        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte) for w in words]
-        out: list[bytes] = []
-        for i in range(0, len(words), 256):
-            part = shown[i : i + 256]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                out += [np.array(self.full.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words[i : i + 256]]
+        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)} | {32: " "}
+        self.known: dict[str, np.ndarray] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def _letters(self, words) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of words that are all letters (an Arrow array) and their numbers, in lists to concatenate."""
+        ids, sizes = [], []
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        # all words in one text, a space after each
+        raw = np.insert(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0], 32).tobytes() if len(words) else b""
+        starts = offsets - offsets[0] + np.arange(len(words) + 1)
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            text = raw[starts[at] : starts[at + len(part)] - 1]
+            shown = text.decode("latin-1") if text.isascii() else text.decode("latin-1").translate(self.byte)
+            got = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u2")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(part):
+                ids.append(got)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                raw, at = ids.tobytes(), 0
-                for c in (2 * cuts).tolist():
-                    out.append(raw[at:c])
-                    at = c
-        return out
+                each = [self._whole(w) for w in part.to_pylist()]
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return ids, sizes
 
-    def _learn(self, need: set[str], into: dict[str, bytes]) -> None:
-        parts, letters, marks = [], set(), set()
-        for w in need:
-            if w.isalpha():
-                letters.add(w)
-                continue
-            base = w.rstrip(_tail)
-            if base.isalpha() or not base:
-                parts.append((w, base))
-                marks.add(w[len(base) :])
-                if base and base not in into:
-                    letters.add(base)
-            else:
-                into[w] = np.array(self.full.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
-        todo = list(letters)
-        into.update(zip(todo, self._letters(todo), strict=True))
-        ends = {m: np.array(self.full.encode(m, add_special_tokens=False).ids, "<u2").tobytes() for m in marks}
-        for w, base in parts:
-            into[w] = (into[base] if base else b"") + ends[w[len(base) :]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Unsigned 16-bit ids of each text, END last."""
-        low: list[list[str] | None] = []
-        for t in texts:
-            words = None
-            if not _odd.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
-                lower = t.lower()
-                if lower.isascii() or unicodedata.is_normalized("NFC", lower):
-                    words = lower.split()
-            low.append(words)
-        need = {w for words in low if words for w in words}
-        need.difference_update(self.known)
-        if len(self.known) + len(need) > WORDS:
-            self.known.clear()
-            need = {w for words in low if words for w in words}
-        table = self.known
-        if need:
-            long = {w for w in need if len(w) > WORD_CHARS}
-            self._learn(need - long, self.known)
-            if long or len(self.known) > 2 * WORDS:
-                table = dict(self.known)
-                self._learn(long, table)
-        end = np.array([END], "<u2").tobytes()
+    def _mixed(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words that aren't all letters: letters and a tail of punctuation part, the rest is encoded and remembered."""
+        import pyarrow as pa
+
+        bases = {b for b in (w.rstrip(_tail) for w in words) if b.isalpha()}
+        order = sorted(bases)
+        ids, sizes = self._letters(pa.array(order, pa.large_string()))
+        found = dict(zip(order, np.split(np.concatenate(ids), np.cumsum(np.concatenate(sizes))[:-1]), strict=True)) if order else {}
         out = []
-        for t, words in zip(texts, low, strict=True):
-            if words is None:
-                out.append(np.array([*self.full.encode(t, add_special_tokens=False).ids, END], "<u2").tobytes())
-            else:
-                out.append(b"".join(map(table.__getitem__, words)) + end)
+        for w in words:
+            base = w.rstrip(_tail)
+            rest, first = (w[len(base) :], found[base]) if base in found else (w, None)
+            tail = self.known.get(rest)
+            if tail is None:
+                tail = self._whole(rest)
+                if len(rest) <= WORD_CHARS:
+                    if len(self.known) >= WORDS:
+                        self.known.clear()
+                    self.known[rest] = tail
+            out.append(tail if first is None else np.concatenate([first, tail]))
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 16-bit ids of the texts one after the other, END after each, and where each text's ids end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = {}  # texts that only the tokenizer itself may cut
+        raw = "\n".join(texts).encode("utf-8", "surrogatepass")
+        suspect = any(x in raw for x in _odd_bytes)
+        lows = []
+        for k, t in enumerate(texts):
+            low = None
+            if not (suspect and _odd.search(t)) and (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                low = t.lower()
+                if not low.isascii() and not unicodedata.is_normalized("NFC", low):
+                    low = None
+            if low is None:
+                whole[k], low = self._whole(t), ""
+            lows.append(low if _classes_agree() else " ".join(low.split()))
+        parts = pc.utf8_split_whitespace(_parted(pa.array(lows, pa.large_string())))
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary
+        narrow = _classes_agree() and not any(max(x.encode(), default=0) >= 0xE0 for x in lows if not x.isascii())
+        alpha = pc.utf8_is_alpha(words) if narrow else pa.array([w.isalpha() for w in words.to_pylist()], pa.bool_())
+        ids, sizes = self._letters(words.filter(alpha))
+        mixed = self._mixed(words.filter(pc.invert(alpha)).to_pylist())
+        table = np.concatenate([np.zeros(0, "<u2"), *ids, *mixed])
+        many = np.concatenate([np.zeros(0, np.int64), *sizes, np.array([len(x) for x in mixed], np.int64)])
+        first = np.cumsum(many) - many
+        # words of letters come first in the table
+        place = np.empty(len(words), np.int64)
+        held = alpha.to_numpy(zero_copy_only=False)
+        place[np.concatenate([np.flatnonzero(held), np.flatnonzero(~held)])] = np.arange(len(words))
+        at = place[coded.indices.to_numpy()]
+        many = many[at]
+        before = np.cumsum(many) - many
+        flat = table[np.repeat(first[at] - before, many) + np.arange(int(many.sum()))]
+        cuts = np.concatenate([before, [len(flat)]])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        if whole:
+            split = [whole.get(k, flat[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
+            flat, cuts = np.concatenate(split), np.concatenate([[0], np.cumsum([len(x) for x in split])])
+        out = np.full(len(flat) + len(texts), END, "<u2")
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(cuts))] = flat
+        return out, cuts[1:] + np.arange(1, len(texts) + 1)
+
+
+def _parted(texts):
+    """The texts (an Arrow array) with a space between an ASCII letter or digit and the punctuation that ends its word: fewer words differ."""
+    import pyarrow as pa
+
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[1 : len(texts) + 1] if len(texts) else np.zeros(0, np.int64)
+    if data is None or not data.size or not len(ends) or not ends[-1]:
+        return texts
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]]
+    kind = _KIND[raw]
+    mark = kind == 2
+    first, last = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1, np.flatnonzero(mark & ~np.append(mark[1:], False))
+    if mark[0]:
+        last = last[1:]
+    closing = np.append(kind == 3, True)
+    closing[ends] = True
+    opening = np.zeros(len(raw), bool)
+    opening[ends[:-1][ends[:-1] < len(raw)]] = True  # a text that begins with punctuation has no word before it
+    cut = first[(kind[first - 1] == 1) & closing[last + 1] & ~opening[first]]
+    # a run of punctuation that crosses into the next text is left as it is
+    cut = cut[np.searchsorted(ends, cut, side="right") == np.searchsorted(ends, last[np.searchsorted(last, cut)], side="right")]
+    moved = np.insert(raw, cut, 32)
+    shifted = np.concatenate([[0], ends + np.searchsorted(cut, ends, side="left")])
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(shifted.astype(np.int64)), pa.py_buffer(moved))
+
+
+#: Of a byte: 1 an ASCII letter or digit, 2 punctuation, 3 white space, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*(string.ascii_lowercase + string.digits).encode()]] = 1
+_KIND[[*_tail.encode()]] = 2
+_KIND[[9, 10, 11, 12, 13, 32]] = 3
+
+
+@lru_cache(1)
+def _classes_agree() -> bool:
+    """Whether Arrow and Python hold the same characters for white space (all lie below U+3001), and for letters of at most two bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = [chr(c) for c in range(0x3100)]
+    two = every[:0x800]
+    return pc.utf8_is_space(pa.array(every)).to_pylist() == [c.isspace() for c in every] and pc.utf8_is_alpha(pa.array(two)).to_pylist() == [c.isalpha() for c in two]
+
 
 @lru_cache(2)
 def tokens_of(path: str) -> Tokens:
@@ -175,19 +249,17 @@ def hilbert(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def keys(ids: list[bytes], spread: list[int]) -> np.ndarray:
+def keys(ids: np.ndarray, ends: np.ndarray, spread: list[int]) -> np.ndarray:
     """Sort keys: the Hilbert key of each document's projected vector, then 16 bits of a hash of its id."""
-    if not ids:
+    if not len(ends):
         return np.zeros(0, np.int64)
     table = _projection()
-    flat = np.frombuffer(b"".join(ids), "<u2")
-    sizes = np.array([len(x) // 2 for x in ids])
-    sums = np.zeros((len(ids), DIMS), np.float64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(0, len(ids), 64):
-        a, z = starts[i], starts[min(i + 64, len(ids))]
-        sums[i : i + 64] = np.add.reduceat(table[flat[a:z]], starts[i : min(i + 64, len(ids))] - a, axis=0, dtype=np.float64)
-    unit = 0.5 + 0.5 * np.tanh(4 * sums / sizes[:, None])
+    starts = np.concatenate([[0], ends])
+    sums = np.zeros((len(ends), DIMS), np.float64)
+    for i in range(0, len(ends), 64):
+        j = min(i + 64, len(ends))
+        sums[i:j] = np.add.reduceat(table[ids[starts[i] : starts[j]]], starts[i:j] - starts[i], axis=0, dtype=np.float64)
+    unit = 0.5 + 0.5 * np.tanh(4 * sums / np.diff(starts)[:, None])
     points = np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
     return (hilbert(points) << 16) | (np.array(spread, np.int64) & 0xFFFF)
 
@@ -199,7 +271,7 @@ def _rows(b) -> tuple[list[str], list[int]]:
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, little-endian): one row per piece."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS, BATCH_BYTES)
     n = partitions(spark)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), crc_of(f"`{id_col}`").alias("crc"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -209,8 +281,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for b in batches:
             text, crc = _rows(b)
-            ids = tokens_of(tokenizer_path).encode(text)
-            yield pa.record_batch([pa.array(keys(ids, crc), pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["key", "n"])
+            ids, ends = tokens_of(tokenizer_path).encode(text)
+            yield pa.record_batch([pa.array(keys(ids, ends, crc), pa.int64()), pa.array(np.diff(ends, prepend=0))], ["key", "n"])
 
     total = max(1, source.count())
     share = min(1_000_000, -(-1_000_000 * SAMPLE * n // total))
@@ -226,9 +298,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for b in batches:
             text, crc = _rows(b)
-            ids = tokens_of(tokenizer_path).encode(text)
-            k = keys(ids, crc)
-            yield pa.record_batch([pa.array(np.searchsorted(bounds, k, side="right").astype(np.int32)), pa.array(k), b.column("doc_id"), pa.array(ids, pa.binary())], ["part", "key", "doc_id", "ids"])
+            ids, ends = tokens_of(tokenizer_path).encode(text)
+            k = keys(ids, ends, crc)
+            offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.record_batch([pa.array(np.searchsorted(bounds, k, side="right").astype(np.int32)), pa.array(k), b.column("doc_id"), raw], ["part", "key", "doc_id", "ids"])
 
     tokenized = source.mapInArrow(tokenize, f"part int, key long, doc_id {id_type}, ids binary")
     dealt = tokenized.repartitionById(n, F.col("part")).sortWithinPartitions("key", "doc_id").select("part", "doc_id", "ids")

@@ -18,8 +18,20 @@ def test_word_cache_gives_the_tokenizers_ids():
     direct, own = Tokenizer.from_file(WHERE), packing.Tokens(WHERE)
     texts = [t or "" for t in HARD]
     for _ in range(2):
-        for text, raw in zip(texts, own.encode(texts), strict=True):
-            assert np.frombuffer(raw, "<u2").tolist() == [*direct.encode(text, add_special_tokens=False).ids, packing.END], text
+        ids, ends = own.encode(texts)
+        for text, got in zip(texts, np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == [*direct.encode(text, add_special_tokens=False).ids, packing.END], text
+
+
+def test_full_tables_of_words_move_on(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 20)
+    direct, own = Tokenizer.from_file(WHERE), packing.Tokens(WHERE)
+    for k in range(12):
+        texts = [f"word{k} common, thing{k % 3}. {'long' * 20}{k % 2}", "common word, common", "", ".", "a.", ". b", "c...", "...", "d", "!e é. f.)", "g.é h;;i j,"]
+        ids, ends = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*direct.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert len(own.known) <= 20
+    assert [x.tolist() for x in own.encode([])] == [[], []]
 
 
 def test_hilbert_keys_are_a_curve():
