@@ -2,12 +2,13 @@
 
 N-grams of lower-cased text (runs of anything but letters are one space each character) hash to BUCKETS features.
 Document frequencies cover every training document; the classifier is trained by FTRL-proximal with
-elastic net on a bounded, stratified sample (SAMPLE rows a language), and a temperature fitted
-on a held-out fifth of that sample calibrates its scores.
+elastic net on a bounded, stratified sample (SAMPLE rows of each language, those of the least hashes of id and text), and a
+temperature fitted on a held-out fifth of that sample calibrates its scores. The model holds BUCKETS weights for each language.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; texts are read whole, however
-long; equal texts get equal results; rows with a null lang or text are not learned from; a table
-without any labelled row predicts ``und``; other columns are kept or ignored, whatever their names.
+long; equal texts get equal results; repeated rows and rows of one id are drawn like others, SAMPLE of a language at most; rows with a null
+lang or text are not learned from; a table without any labelled row predicts ``und``, one without a labelled letter the most frequent lang;
+other columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of, small_batches
@@ -25,8 +26,8 @@ from .common import crc_of, small_batches
 BITS = 16
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3, 4)
-#: Bounds of the model: languages, and sampled training rows of each.
-MAX_LANGUAGES, SAMPLE = 64, 700
+#: Training rows of each language.
+SAMPLE = 700
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
 #: TF-IDF values are shares of a document; this brings them to the order of one.
 SCALE = 10.0
@@ -161,32 +162,37 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(spark)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang"), crc_of(f"`{id_col}`").alias("crc"))
     training = rows.where((F.col("crc") % folds != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     df = document_frequencies(training)
     idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1) * SCALE
-    # a stable draw: a row's place by a hash of its id, its language's share
-    place = F.pmod(F.xxhash64(F.lit("sample"), "crc"), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(-(-1_000_000 * SAMPLE // size))).otherwise(share)
-    sample = training.where(place < share).select("text", "lang", "crc").repartition(1)
+    # a stable draw: the rows of the least hashes; equal rows share one, so places settle the last of them
+    drawn = training.withColumn("draw", F.xxhash64(F.lit("sample"), "crc", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    last = {r["lang"]: r["last"] for r in drawn.select("lang", "draw").withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("draw").alias("last")).collect()}
+    limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))[F.col("lang")]
+    sample = drawn.where(F.col("draw") <= limit).withColumn("place", place).where(F.col("place") <= SAMPLE).select("text", "lang", "draw").repartition(1)
 
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         learn, hold = [], []
         for b in batches:
-            for text, lang, crc in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "crc")), strict=True):
+            for text, lang, draw in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "draw")), strict=True):
                 codes, any_letter = codes_of(text)
                 if any_letter:
                     ids, n = counts(codes)
-                    (hold if crc // folds % folds == 0 else learn).append((crc, (np.append(ids, BUCKETS), np.append(n / total(len(codes)) * idf[ids], 1.0), languages.index(lang))))
+                    (hold if draw % folds == 0 else learn).append((draw, (np.append(ids, BUCKETS), np.append(n / total(len(codes)) * idf[ids], 1.0), languages.index(lang))))
+        # a language all of whose rows were held out is learned from them
+        known = {y for _, (_, _, y) in learn}
+        learn, hold = learn + [e for e in hold if e[1][2] not in known], [e for e in hold if e[1][2] in known]
         learn.sort(key=lambda e: (e[0], e[1][2], len(e[1][0])))
         w = ftrl([e for _, e in learn], len(languages))
-        heat = temperature(np.array([x @ w[ids] for _, (ids, x, _) in hold]).reshape(len(hold), -1), np.array([y for _, (_, _, y) in hold], int))
+        if not learn:
+            w[-1] = np.log([sizes[x] for x in languages])
+        heat = temperature(np.array([x @ w[ids] for _, (ids, x, _) in hold]).reshape(len(hold), len(languages)), np.array([y for _, (_, _, y) in hold], int))
         out = io.BytesIO()
         np.savez_compressed(out, weights=(w[:-1] * idf[:, None]).astype(np.float32), bias=w[-1], heat=heat)
         yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], ["model"])

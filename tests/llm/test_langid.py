@@ -42,3 +42,51 @@ def test_prediction_equals_tfidf_by_hand():
 def test_nothing_to_learn(spark, lang):
     docs = spark.createDataFrame([(5, "text", lang)] * 2 if lang is None else [], "doc_id long, text string, lang string")
     assert all(r["lang_pred"] == "und" for r in langid.identify(docs, langid.train(docs)).collect())
+
+
+@pytest.mark.parametrize("doc_id", range(1, 9))
+def test_rows_of_one_id(spark, doc_id):
+    docs = spark.createDataFrame([(doc_id, "the of and that with this", "en")] * 3000 + [(doc_id, "le de et que avec cette", "fr")] * 30, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).groupBy("held_out", "lang_pred").count().collect()
+    assert {(r["lang_pred"], r["count"]) for r in got} == ({("und", 3030)} if got[0]["held_out"] else {("en", 3000), ("fr", 30)})
+
+
+def test_many_languages_and_labels_without_letters(spark):
+    docs = spark.createDataFrame([(k, chr(0x4E00 + k % 100) * 3, f"l{k % 100:02d}") for k in range(2000)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 100
+    assert np.mean([model.predict(chr(0x4E00 + k) * 3)[0] == f"l{k:02d}" for k in range(100)]) > 0.9
+    bare = spark.createDataFrame([(k, "12 34", "en" if k < 30 else "fr") for k in range(40)], "doc_id long, text string, lang string")
+    assert langid.train(bare).predict("a word")[0] == "en"
+
+
+def test_training_equals_a_plain_loop():
+    """FTRL-proximal and the temperature against their definitions, coordinate by coordinate."""
+    draw = np.random.RandomState(4)
+    examples = [(np.unique(draw.randint(0, 12, 4)), None, int(draw.randint(3))) for _ in range(25)]
+    examples = [(ids, draw.rand(len(ids)), y) for ids, _, y in examples]
+    z, n = np.zeros((langid.BUCKETS + 1, 3)), np.zeros((langid.BUCKETS + 1, 3))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= langid.L1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * langid.L1) / ((langid.BETA + np.sqrt(n[i, c])) / langid.ALPHA + langid.L2)
+
+    order = np.random.RandomState(11)
+    for _ in range(langid.EPOCHS):
+        for k in order.permutation(len(examples)):
+            ids, x, y = examples[k]
+            w = {(i, c): weight(i, c) for i in ids for c in range(3)}
+            p = np.exp([sum(v * w[i, c] for i, v in zip(ids, x, strict=True)) for c in range(3)])
+            p /= p.sum()
+            for i, v in zip(ids, x, strict=True):
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    z[i, c] += g - (np.sqrt(n[i, c] + g * g) - np.sqrt(n[i, c])) / langid.ALPHA * w[i, c]
+                    n[i, c] += g * g
+    got = langid.ftrl(examples, 3)
+    assert np.allclose(got[:12], [[weight(i, c) for c in range(3)] for i in range(12)]) and not got[12:].any()
+    logits, y = draw.randn(50, 3) * 4, draw.randint(0, 3, 50)
+    loss = lambda t: -np.mean([np.log(np.exp(a[b] / t) / np.exp(a / t).sum()) for a, b in zip(logits, y, strict=True)])
+    best = langid.temperature(logits, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.2), np.log(5), 65)))
