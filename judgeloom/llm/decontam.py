@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import bitmap, mix, small_batches, without, written
+from .common import bitmap, giving_back, mix, small_batches, without, written
 
 WIDTH, MIN_WORDS, MIN_LITERAL = 8, 5, 4
 #: A leak has this share of the item's windows on one alignment, or so many of them.
@@ -55,7 +55,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         word = _inner.sub("", chunk)
         low = word.lower()
@@ -144,6 +144,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     small_batches(benchmark.sparkSession)
     source = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    @giving_back
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -182,6 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     mask = np.uint64((1 << bits) - 1)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    @giving_back
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext

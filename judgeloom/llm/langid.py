@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of, small_batches
+from .common import crc_of, give_back, giving_back, small_batches
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -80,6 +80,7 @@ def scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def document_frequencies(training: DataFrame) -> np.ndarray:
     """For each feature, the training documents that have it. What arrives here has BUCKETS rows at most."""
 
+    @giving_back
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -175,6 +176,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))[F.col("lang")]
     sample = drawn.where(F.col("draw") <= limit).withColumn("place", place).where(F.col("place") <= SAMPLE).select("text", "lang", "draw").repartition(1)
 
+    @giving_back
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -208,7 +210,8 @@ def prediction(text: Column, model: Model) -> Column:
     def predict(col):
         import pyarrow as pa
 
-        got = [model.predict(t) for t in col.to_pylist()]
+        got = [model.predict(t.as_py()) for t in col]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["lang", "score"])
 
     return predict(text)

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_column, bit_filter, hashed, maybe, mix, small_batches, without, written
+from .common import bit_column, bit_filter, giving_back, hashed, maybe, mix, small_batches, without, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -177,6 +177,7 @@ def _parts(cut: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[
 
 
 def _banded(rows: DataFrame) -> DataFrame:
+    @giving_back
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -194,6 +195,7 @@ def _banded(rows: DataFrame) -> DataFrame:
 def _shingled(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """The shingles of the rows whose node may be in the bitmap."""
 
+    @giving_back
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -217,6 +219,7 @@ def _verified(pairs: DataFrame, cut: DataFrame, name: str) -> DataFrame:
     one = cut.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     two = cut.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
 
+    @giving_back
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -279,6 +282,7 @@ def _differences(open_: DataFrame, cut: DataFrame) -> DataFrame:
     # a cell's support is sent to the parts of the cell that exist
     about = dealt.select("cell", "salt").distinct().join(about, "cell")
 
+    @giving_back
     def differ(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

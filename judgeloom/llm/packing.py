@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, mix, partitions, small_batches
+from .common import crc_of, giving_back, mix, partitions, small_batches
 
 LENGTH = 2048
 END = 1
@@ -34,7 +34,7 @@ HASHED = 4096
 #: Sampled keys for each range.
 SAMPLE = 60
 #: Rows and bytes of a batch: a word is encoded once for each batch that has it.
-BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 #: Words encoded at once.
 CHUNK = 2000
 #: Remembered words of a worker that aren't all letters, and the longest that is remembered.
@@ -276,6 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), crc_of(f"`{id_col}`").alias("crc"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
+    @giving_back
     def key_only(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -293,6 +294,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     cuts = np.searchsorted(weight, np.arange(1, n) * (weight[-1] / n if len(weight) else 0))
     bounds = np.unique(seen[np.minimum(cuts, len(seen) - 1), 0]) if len(seen) else np.zeros(0, np.int64)
 
+    @giving_back
     def tokenize(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -307,6 +309,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     tokenized = source.mapInArrow(tokenize, f"part int, key long, doc_id {id_type}, ids binary")
     dealt = tokenized.repartitionById(n, F.col("part")).sortWithinPartitions("key", "doc_id").select("part", "doc_id", "ids")
 
+    @giving_back
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
