@@ -9,9 +9,13 @@ where the map holds most of all pairs, or where enough windows have pairs of the
 values. So a question with other names and numbers is still found, also where some of them coincide, and a text that merely
 has numbers in the same places is not.
 
+Items without any window of enough literal words - short ones, arithmetic - are searched as they stand: windows of their exact words,
+numbers and operators, all of which count alike. Items of fewer than MIN_EXACT of those say too little for that: a document that says just the
+same, and nothing else, is their leak.
+
 Cases: null and empty texts have no windows; items of MIN_WORDS to WIDTH - 1 tokens are one window of their
-own length; shorter ones are not searched; windows with fewer than MIN_LITERAL words that are no
-placeholders don't count; repeated rows are judged each; very long texts are read whole; an empty
+own length; windows with fewer than MIN_LITERAL words that are no placeholders don't count; items without a letter, a digit or an operator
+are not searched; repeated rows are judged each; very long texts are read whole; an empty
 table on either side gives no leak; other columns are ignored.
 """
 
@@ -28,7 +32,7 @@ from pyspark.sql.types import BooleanType
 
 from .common import bitmap, giving_back, mix, small_batches, without, written
 
-WIDTH, MIN_WORDS, MIN_LITERAL = 8, 5, 4
+WIDTH, MIN_WORDS, MIN_LITERAL, MIN_EXACT = 8, 5, 4, 4
 #: A leak has this share of the item's windows on one alignment, or so many of them.
 MIN_SHARE, MIN_HITS = 0.5, 8
 #: Its map of slot values holds more than this share of the distinct pairs, or the windows inside the map are enough.
@@ -46,6 +50,7 @@ LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 # flags of a chunk between white space
 _CAP, _NUM, _UNIT, _ENDS, _EMPTY = 1, 2, 4, 8, 16
 _inner = re.compile(r"[^\w]+|_+")
+_operator = re.compile(r"[-+*/=<>^%×÷−]")
 _number = re.compile(r"[0-9]+(st|nd|rd|th)?")
 
 
@@ -60,7 +65,9 @@ class Chunks(dict):
         word = _inner.sub("", chunk)
         low = word.lower()
         flags = (_EMPTY if not low else 0) | (_NUM if _number.fullmatch(low) else 0) | (_UNIT if low in UNITS else 0) | (_CAP if word[:1].isupper() and word[1:] == low[1:] else 0) | (_ENDS if chunk[-1:] in ".!?:" or chunk[-2:-1] in ".!?" else 0)
-        self[chunk] = out = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~31) | flags
+        # a chunk without a letter or digit counts only in exact windows, and there only as operators
+        said = low or "".join(_operator.findall(chunk))
+        self[chunk] = out = ((xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) & ~31) if said else 0) | flags
         return out
 
 
@@ -98,6 +105,18 @@ def windows(kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(h), literal[width:] - literal[:-width] >= min(MIN_LITERAL, width - 1)
 
 
+def exact(chunks: list[str]) -> np.ndarray:
+    """Hashes of the words, numbers and operators of a text as they stand."""
+    packed = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks)) & ~np.uint64(31)
+    return packed[packed != 0]
+
+
+def exact_windows(value: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the exact window that starts at each token; width 0 is the whole text."""
+    h, _ = windows(np.zeros(len(value), np.int64), value, width or len(value))
+    return mix(h ^ (_C1 if width else ~_C1))
+
+
 def slots(kind: np.ndarray, at: np.ndarray, chunks: list[str], start: int, width: int) -> list[str]:
     """The text of each placeholder of a window, its kind first."""
     out = []
@@ -140,7 +159,9 @@ def _widths(n: int) -> int:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (a hash of its template and slots), total, window, width, pos, slots: one row per window."""
+    """item_id, item (a hash of its template and slots), total, window, width, pos, slots: one row per window.
+
+    Exact windows have negative widths: -1 - their own, so that -1 is a whole text."""
     small_batches(benchmark.sparkSession)
     source = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -157,9 +178,18 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
                 chunks = (text or "").split()
                 kind, value, at = template(chunks)
                 width = _widths(len(kind))
-                if not width:
+                h, good = windows(kind, value, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
+                if not good.any():
+                    value = exact(chunks)
+                    if not len(value):
+                        continue
+                    width = 0 if len(value) < MIN_EXACT else min(WIDTH, len(value))
+                    h = exact_windows(value, width)
+                    own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
+                    for p, w in enumerate(h.view(np.int64).tolist()):
+                        ids.append(i.as_py())
+                        out.append((own, len(h), w, -1 - width, p, []))
                     continue
-                h, good = windows(kind, value, width)
                 filled = xxhash.xxh3_64_intdigest("\t".join(slots(kind, at, chunks, 0, len(kind))).encode("utf-8", "surrogatepass"))
                 own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True) ^ np.uint64(filled)).view(np.int64)[0])
                 for p in np.flatnonzero(good).tolist():
@@ -180,6 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * max(1, size["n"])).bit_length()))
     filter_ = bitmap(items.select(F.pmod(F.col("window"), F.lit(1 << bits)).alias("bit")), 1 << bits)
     shared, widths = spark.sparkContext.broadcast(filter_), sorted(size["widths"] or [])
+    literal = any(w < 0 for w in widths)
     mask = np.uint64((1 << bits) - 1)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -196,16 +227,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for k, text in enumerate(b.column("text").to_pylist()):
                 row += 1
                 chunks = (text or "").split()
-                if len(chunks) < MIN_WORDS:
+                if not chunks:
                     continue
                 kind, value, at = template(chunks)
+                stands = exact(chunks) if literal else None
                 for width in widths:
-                    h, good = windows(kind, value, width)
+                    h, good = windows(kind, value, width) if width > 0 else (exact_windows(stands, -1 - width), True) if len(stands) else (np.zeros(0, np.uint64), True)
                     bit = (h & mask).astype(np.int64)
                     hit = good & (((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) == 1)
                     for p in np.flatnonzero(hit).tolist():
                         ids.append(k)
-                        out.append((part, row, int(h[p : p + 1].view(np.int64)[0]), p, slots(kind, at, chunks, p, width)))
+                        out.append((part, row, int(h[p : p + 1].view(np.int64)[0]), p, slots(kind, at, chunks, p, width) if width > 0 else []))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([b.column("doc_id").take(pa.array(ids, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
 

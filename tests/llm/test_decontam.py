@@ -114,3 +114,28 @@ def test_against_literal_search(spark):
 def test_no_rows(spark, docs, bench):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     assert decontam.leaks(d, b).count() == 0 and decontam.decontaminated(d, b).count() == len(docs)
+
+
+def test_short_and_literal_poor_items_are_searched_as_they_stand(spark):
+    bench = spark.createDataFrame(
+        [(1, "What is 12 plus 30?"), (2, "Compute 3 + 4 * 5 - 6 / 7 = ?"), (3, "Yes."), (4, "17 * 23 + 5 - 12 / 4 + 88 * 91 - 7 + 65 ="), (5, "..."), (6, "")], "item_id long, text string"
+    )
+    docs = {
+        1: (prose(1) + " what is 12 PLUS 30? " + prose(2), {1}),
+        2: (prose(3) + " What is 13 plus 30?", set()),
+        3: ("Solve this. Compute 3 + 4 * 5 - 6 / 7 = ? Then rest.", {2}),
+        4: ("Compute 3 - 4 * 5 - 6 / 7 = ?", set()),
+        5: ("yes!", {3}),
+        6: ("yes it is so", set()),
+        7: (prose(4, 20_000) + " 17 * 23 + 5 - 12 / 4 + 88 * 91 - 7 + 65 = 7391", {4}),
+        8: ("17 * 23 + 5 - 12 / 4 + 88 * 91 - 7 + 66 =", {4}),  # most of its windows
+        12: ("17 * 23 + 5 - 12 / 4 + 89 * 91 - 7 + 65 =", set()),
+        9: ("", set()),
+        10: ("...", set()),
+        11: (None, set()),
+    }
+    got = {}
+    for r in decontam.leaks(spark.createDataFrame([(d, t) for d, (t, _) in docs.items()], "doc_id long, text string"), bench).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+        assert not r["reparameterised"]
+    assert got == {d: want for d, (_, want) in docs.items() if want}
