@@ -9,7 +9,9 @@ directly in a container around it (titles, leads) and sections beside it belong
 be anything, and no block that is mostly links.
 
 What is never text: scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader
-comments, and hidden elements - by tag, role, class or id. White space inside a block is one space; blocks
+comments, and hidden elements - by tag, role, class or id. A class or id counts by its words: some settle it, others
+(share, legal, header ...) only alone or among words that say nothing; with another word beside them the element goes only if it is mostly links. No class
+takes away an article or main, or what holds one, and where words would leave no text at all, they are ignored. White space inside a block is one space; blocks
 are joined by an empty line.
 
 Cases: null or empty html, or html without text, gives an empty text; cut-off html ends where it ends; an
@@ -23,18 +25,19 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 from .urlfilter import host_path
 
-#: Winning paths of a host: at most so many, with at least this share of its pages' votes.
-PATHS, SHARE = 4, 0.05
+#: Winning paths of a host have at least this share of its pages' votes.
+SHARE = 0.05
 #: Winning paths of up to so many characters together are broadcast; beyond that the join shuffles.
 BROADCAST_CHARS = 8_000_000
-#: Path names keep this many innermost steps and this many characters a step.
-STEPS, STEP_CHARS = 12, 40
+#: Longer path names are named by a hash.
+PATH_CHARS = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -44,12 +47,31 @@ WHOLE, PARTS = frozenset(["article", "main"]), frozenset(["section", "blockquote
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 SKIPPED = frozenset("head nav header footer aside form button select menu template svg math canvas object dialog audio video map search datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-BOILER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adbox|adsbox|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side-bar|side|aside|widget\w*|footer\w*|foot|header|site-header|page-header|masthead|topbar|"
-    r"comments?|comment-?list|commentlist|replies|reply|respond|disqus\w*|discussion|cookies?|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|pop-up|modal\w*|overlay|newsletter\w*|subscri\w*|signup|sign-up|login|"
-    r"share|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar|search\w*|form|hidden|sr-only|skip-?link|copyright|legal|disclaimer)(?=$|[-_\s])",
-    re.I,
+_SURE = (
+    r"ads|adbox|adsbox|advert\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|aside|widget\w*|footer\w*|site-header|page-header|masthead|topbar|comments?|commentlist|replies|respond|disqus\w*|cookies?|cookie\w*|"
+    r"consent|gdpr|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar|sr-only|skip-?link|side-bar|pop-up|sign-up|comment-?list"
 )
+_UNSURE = r"ad|promo\w*|banner\w*|side|foot|header|reply|discussion|notice\w*|alert\w*|login|share|search\w*|form|hidden|copyright|legal|disclaimer"
+#: Words that say nothing beside others.
+_PLAIN = r"box|wrap|wrapper|container|list|bar|block|area|section|links?|buttons?|icons?|inner|outer|panel|items?|slot|unit|top|bottom|left|right|main|site|page|global|id|el|js|row|col|group|region|holder|zone|info|msg|message|note|field|input|small|large|big|mini|sticky|fixed|is|the|\d+"
+SURE = re.compile(rf"(?:^|[-_\s])(?:{_SURE})(?=$|[-_\s])", re.I)
+UNSURE = re.compile(rf"(?:^|[-_\s])(?:{_UNSURE})(?=$|[-_\s])", re.I)
+_alone = re.compile(rf"(?:(?:{_UNSURE}|{_PLAIN})(?:[-_]|$))+", re.I)
+
+
+def boiler(classes: str, name: str) -> int:
+    """What an element's class and id say: 2 boilerplate, 1 perhaps, 0 nothing."""
+    told = 0
+    for word in [*classes.split(), *name.split()]:
+        if SURE.search(word):
+            return 2
+        if UNSURE.search(word):
+            told = 2 if _alone.fullmatch(word) else max(told, 1)
+            if told == 2:
+                return 2
+    return told
+
+
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _attr = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])")
 #: An open element of the key closes when one of these starts, unless one of its barriers is in between; a p closes at any block.
@@ -66,14 +88,38 @@ class Node:
 
 def _step(tag: str, classes: str) -> str:
     names = sorted({re.sub(r"\d+", "", c.lower()) for c in classes.split()} - {""})
-    return ".".join([tag, *names])[:STEP_CHARS]
+    return ".".join([tag, *names])
+
+
+def _path(of: Node, step: str) -> str:
+    name = f"{of.path}>{step}"
+    return name if len(name) <= PATH_CHARS else "#" + xxhash.xxh3_128_hexdigest(name.encode("utf-8", "surrogatepass"))
 
 
-def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
+def blocks(page: str) -> list[tuple[Node, str, int]]:
     """(innermost container, text, characters in links) of each block of the page, in order, without boilerplate."""
+    for words in (True, False):
+        found = list(_blocks(page, words))
+        # an element that is perhaps boilerplate, by its number: its text and the part in links
+        size: dict[int, list[int]] = {}
+        for _, said, linked, inside in found:
+            for k in inside:
+                held = size.setdefault(k, [0, 0])
+                held[0] += len(said)
+                held[1] += linked
+        gone = {k for k, (n, linked) in size.items() if 2 * linked >= n}
+        kept = [(node, said, linked) for node, said, linked, inside in found if not gone.intersection(inside)]
+        if kept:
+            return kept
+    return []
+
+
+def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int, ...]]]:
+    """Each block of the page with the numbers of the open elements that are perhaps boilerplate; words: whether classes and ids are read."""
     root = Node("body", "body", None, 0)
-    # an open element: tag, container it puts its text in, whether it is skipped
-    stack: list[tuple[str, Node, bool]] = [("", root, False)]
+    # an open element: tag, container it puts its text in, whether it is skipped, what it may be of boilerplate
+    stack: list[tuple[str, Node, bool, tuple[int, ...]]] = [("", root, False, ())]
+    holds = _holders(page) if words and _whole.search(page) else frozenset()
     text: list[str] = []
     linked, links, order, at = 0, 0, 0, 0
 
@@ -85,7 +131,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
 
     def close(k):
         nonlocal links
-        for tag, _, _ in stack[k:]:
+        for tag, _, _, _ in stack[k:]:
             links -= tag == "a"
         del stack[k:]
 
@@ -109,7 +155,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if tag in BLOCKS and (done := flush())[0]:
-                        yield stack[-1][1], *done
+                        yield stack[-1][1], *done, stack[-1][3]
                     close(k)
                     break
             continue
@@ -119,7 +165,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             continue
         if tag in BLOCKS:
             if (done := flush())[0]:
-                yield stack[-1][1], *done
+                yield stack[-1][1], *done, stack[-1][3]
             # implied ends
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p" and tag in BLOCKS:
@@ -138,7 +184,7 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             text.append("\n")
         if tag in VOID:
             continue
-        _, holder, skipped = stack[-1]
+        _, holder, skipped, maybe = stack[-1]
         classes = ""
         if not skipped:
             raw = m["attrs"]
@@ -150,16 +196,54 @@ def blocks(page: str) -> Iterator[tuple[Node, str, int]]:
             if tag in SKIPPED:
                 skipped = True
             elif attrs and tag not in ("html", "body"):
-                named = f"{classes} {attrs.get('id', '')}"
+                told = boiler(classes, attrs.get("id", "")) if words and tag not in WHOLE and m.start() not in holds else 0
+                if told == 1:
+                    maybe = (*maybe, m.start())
                 style = attrs.get("style", "").replace(" ", "").lower()
-                skipped = bool(BOILER.search(named)) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+                skipped = told == 2 or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         if not skipped and tag in CONTAINERS and tag != "body":
             order += 1
-            holder = Node(tag, ">".join([*holder.path.split(">"), _step(tag, classes)][-STEPS:]), holder, order)
+            holder = Node(tag, _path(holder, _step(tag, classes)), holder, order)
         links += tag == "a"
-        stack.append((tag, holder, skipped))
+        stack.append((tag, holder, skipped, maybe))
     if (done := flush())[0]:
-        yield stack[-1][1], *done
+        yield stack[-1][1], *done, stack[-1][3]
+
+
+_whole = re.compile(r"<(?:article|main)\b", re.I)
+
+
+def _holders(page: str) -> frozenset[int]:
+    """Where the tags begin of elements that are open around an article or main."""
+    stack: list[tuple[str, int]] = []
+    found: set[int] = set()
+    at = 0
+    while m := _token.search(page, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        if tag in RAW and not m["end"]:
+            past = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = past.end() if past else len(page)
+        elif m["end"]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    del stack[k:]
+                    break
+        else:
+            if tag in WHOLE:
+                # comments are articles of their own in some pages: what the words are sure of stays so
+                found.update(p for _, p in stack if not SURE.search(_attributes(page, p)))
+            stack.append((tag, m.start()))
+    return frozenset(found)
+
+
+def _attributes(page: str, at: int) -> str:
+    """Class and id of the tag that begins there."""
+    m = _token.match(page, at)
+    got = {(a[1] or a[5]).lower(): a[2] or a[3] or a[4] or "" for a in reversed(list(_attr.finditer(m["attrs"] or "")))}
+    return f"{got.get('class', '')} {got.get('id', '')}"
 
 
 def best_path(page: str) -> str | None:
@@ -215,7 +299,7 @@ def _article(found: list[tuple[Node, str, int]], path: str) -> list[str]:
 
 def main_text(page: str, paths: list[str]) -> str:
     """The article around the first of the paths that the page has, or around its own best container."""
-    found = list(blocks(page))
+    found = blocks(page)
     for path in [*paths, best_path(page)]:
         said = _article(found, path)
         if said:
@@ -235,7 +319,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string").where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
     votes = written(votes, "votes")
     all_ = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= PATHS)
+    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= round(1 / SHARE))
     good = ranked.join(all_, "host").where((F.col("votes") >= SHARE * F.col("all")) | (F.col("place") == 1))
     return good.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("p")).select("host", F.col("p.path").alias("paths"))
 

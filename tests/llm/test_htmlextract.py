@@ -63,3 +63,32 @@ def test_generated_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1|br)>", inner)]
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
+
+
+def test_words_of_classes_dont_decide_alone():
+    body = "A sentence of the story that says something of its own. " * 4
+    said = body.strip()
+    whole = {
+        "class of an article": (f"<article class='post share-price'><p>{body}</p></article>", [said]),
+        "class of a main": (f"<main class='legal-text'><p>{body}</p></main>", [said]),
+        "title": (f"<article><div class='entry-header'><h1>Title</h1></div><p>{body}</p></article>", ["Title", said]),
+        "another word beside": (f"<article><div class='promo-free'><p>First.</p></div><p>{body}</p></article>", ["First.", said]),
+        "around an article": (f"<div class='header-legal side'><article><p>{body}</p></article></div>", [said]),
+        "nothing else there": (f"<div class='banner'><p>{body}</p></div>", [said]),
+        "mostly links": (f"<article><p>{body}</p><div class='share-price'><a href=x>Tell all your friends</a></div></article>", [said]),
+        "sure words": (f"<article><p>{body}</p><div class='post-comments'><p>{body * 3}</p></div><div class='cookie-text'>Cookies!</div><div class='ad-slot'>Buy!</div></article>", [said]),
+        "comments as articles": (f"<article><p>{body}</p></article><section class='comments'><article><p>{body * 3}</p></article></section>", [said]),
+        "alone": (f"<div class='legal'>Rights.</div><div id='header'>Site</div><article><p>{body}</p></article>", [said]),
+    }
+    for name, (page, want) in whole.items():
+        assert htmlextract.main_text(page, []) == "\n\n".join(want), name
+
+
+def test_long_paths_and_very_long_pages():
+    deep = "".join(f"<div class='level-with-a-long-name-{chr(97 + k % 26)}'>" for k in range(60))
+    page = lambda last: f"{deep}<div class='{last}'><p>{'Words of the text. ' * 20}</p></div>"
+    one, two = htmlextract.best_path(page("one")), htmlextract.best_path(page("two"))
+    assert one != two and len(one) <= htmlextract.PATH_CHARS
+    text = "A paragraph of the very long page. " * 30
+    got = htmlextract.main_text("<article>" + f"<p>{text}</p>" * 3000 + "</article>", [])
+    assert got == "\n\n".join([text.strip()] * 3000)
