@@ -11,7 +11,8 @@ candidate is added if the classifier says so and no base span overlaps it.
 Everything on the rows is a column expression: no Python worker runs. The driver sees counts of vote
 patterns only, of which there are at most as many as combinations of the labelers' and features' values.
 
-Positions are code points, ends exclusive. Cases: a null text is empty; texts are read whole, and patterns are
+Positions are code points, ends exclusive. Arrays of spans are worked in groups of GROUP, so that a text with very many spans takes time
+in proportion to them. Cases: a null text is empty; texts are read whole, and patterns are
 possessive so that long runs take linear time; equal spans of two kinds both count; repeated rows are judged
 each and vote each; an empty table trains nothing and adds nothing; other columns are kept or ignored, whatever their names.
 """
@@ -19,11 +20,14 @@ each and vote each; an empty table trains nothing and adds nothing; other column
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns, written so that no start or length is tried twice; they find what the plain forms find.
 BASE = {
@@ -42,8 +46,10 @@ WIDER = (
     ("social", "id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("iban", "id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     ("titled", "name", rf"(?<![\p{{L}}])(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}+(?: \p{{Lu}}\p{{Ll}}{{1,30}}+){{0,2}}+", rf"(?:{TITLES})\.? \p{{Lu}}"),
+    ("access", "secret", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", r"A[KS]IA[A-Z0-9]{16}"),
+    ("assigned", "secret", r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s=:]{6,200}+", r"(?i)(?:password|passwd|pwd|secret|token|key)\x20?[=:]"),
 )
-KINDS = ("email", "ip", "card", "phone", "id", "name")
+KINDS = ("email", "ip", "card", "phone", "id", "name", "secret")
 #: Gazetteers, as one pattern a kind over the span's text.
 GAZETTEER = {
     "email": r"(?i)(?:\.| dot |\[dot\]|\(dot\)) ?(?:com|org|net|edu|gov|io|info|biz|co|uk|de|fr|es|it|eu|us)$",
@@ -52,6 +58,7 @@ GAZETTEER = {
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])(?![0-9]{14})|\(?[2-9][0-9]{2}\)?)",
     "id": r"^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)[0-9]{2}|^(?!000|666|9)[0-9]{3}-(?!00)",
     "name": r"(?:\s|^)(?:James|John|Robert|Michael|William|David|Mary|Anna|Anne|Maria|Elizabeth|Linda|Susan|Sarah|Thomas|Charles|Peter|Paul|Hans|Klaus|Jean|Pierre|Marie|Juan|Carlos|Carmen|Jose|Luis|Smith|Jones|Brown|Miller|Schmidt|Dubois|Garcia)(?:\s|$)",
+    "secret": r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]",
 }
 #: Words before a span that speak for and against it.
 FOR = r"(?i)(?:contact|call|tel|phone|mobile|cell|fax|e-?mail|mail|write|reach|server|host|address|ip|card|visa|payment|account|iban|ssn|security|passport|name|signed|dear|kontakt|telefon|téléphone|teléfono|correo|courriel)\W{0,3}(?:\w{1,6}\W{1,2})?$"
@@ -90,22 +97,59 @@ def _passes(kind: str, text: Column) -> Column:
 SPAN = "array<struct<kind:string,origin:string,start:int,end:int,said:string,before:string,after:string,checked:boolean>>"
 
 
+#: Elements of an array that are worked in one go.
+GROUP = 256
+
+
+def _grouped(values: Column, size: int = GROUP) -> Column:
+    """values in arrays of size."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column], first: int) -> Column:
+    """For each number of an array, those before it joined (a sum, a maximum): within groups, after the groups before."""
+
+    def scan(numbers: Column, start: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(numbers, empty, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def over(groups: Column) -> Column:
+        whole = F.transform(groups, lambda g: F.aggregate(g, F.lit(first), join))
+        return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), scan(whole, F.lit(first)).alias("start")), lambda z: scan(z["g"], z["start"])))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(_grouped(values), over))
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def _matches(text: Column, pattern: str, needs: str, kind: str, origin: str, check: Column | None) -> Column:
     """All matches of a pattern with their places: the pieces between them and they themselves give the positions."""
-    parts = F.arrays_zip(F.split(text, pattern).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"))
+    pieces = F.split(text, pattern)
+    parts = let(pieces, lambda p: F.arrays_zip(p.alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"), F.slice(p, 2, F.size(p)).alias("next")))
 
-    def take(state, x):
-        start = state["at"] + F.length(x["piece"])
-        said = x["said"]
-        end = start + F.length(F.coalesce(said, F.lit("")))
+    def span(x: Column) -> Column:
+        start = x["at"] + F.length(x["part"]["piece"])
+        said = x["part"]["said"]
         checked = _passes(kind, said) if check is None else check
-        span = F.struct(F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), start.alias("start"), end.alias("end"), said.alias("said"), F.right(x["piece"], F.lit(REACH)).alias("before"), F.lit("").alias("after"), checked.alias("checked"))
-        # what follows a span is what its next piece begins with
-        follow = F.when(F.size(state["spans"]) > 0, F.concat(F.slice(state["spans"], 1, F.size(state["spans"]) - 1), F.transform(F.slice(state["spans"], -1, 1), lambda s: s.withField("after", F.when(s["end"] == state["at"], F.substring(x["piece"], 1, 1)).otherwise(s["after"]))))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), F.when(said.isNull(), follow).otherwise(F.concat(follow, F.array(span))).alias("spans"))
+        after = F.substring(F.coalesce(x["part"]["next"], F.lit("")), 1, 1)
+        return F.struct(F.lit(kind).alias("kind"), F.lit(origin).alias("origin"), start.alias("start"), (start + F.length(said)).alias("end"), said.alias("said"), F.right(x["part"]["piece"], F.lit(REACH)).alias("before"), after.alias("after"), checked.alias("checked"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.when(text.rlike(needs), F.aggregate(parts, first, take, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+    def placed(p: Column) -> Column:
+        sizes = F.transform(p, lambda x: F.length(x["piece"]) + F.length(F.coalesce(x["said"], F.lit(""))))
+        at = let(sizes, lambda n: _before(n, _add, 0))
+        return F.transform(F.filter(F.arrays_zip(p.alias("part"), at.alias("at")), lambda x: x["part"]["said"].isNotNull()), span)
+
+    return F.when(text.rlike(needs), let(parts, placed)).otherwise(F.array()).cast(SPAN)
 
 
 def found(docs: DataFrame, text: Column) -> DataFrame:
@@ -119,7 +163,7 @@ def found(docs: DataFrame, text: Column) -> DataFrame:
 def _votes(c: Column) -> list[Column]:
     """One vote in -1, 0, 1 of each labeler."""
     by_kind = lambda pairs, other: reduce(lambda acc, kv: F.when(c["kind"] == kv[0], kv[1]).otherwise(acc), pairs, F.lit(other))
-    pattern = F.when(~c["checked"], -1).when(c["origin"].isin("base", "social", "iban"), 1).otherwise(0)
+    pattern = F.when(~c["checked"], -1).when(c["origin"].isin("base", "social", "iban", "access", "assigned"), 1).otherwise(0)
     listed = by_kind([(k, F.when(c["said"].rlike(g), 1).otherwise(-1 if k in ("card", "ip", "email") else 0)) for k, g in GAZETTEER.items()], 0)
     context = F.when(c["before"].rlike(FOR), 1).when(c["before"].rlike(AGAINST), -1).otherwise(0)
     around = F.when(c["before"].rlike(r"[\p{L}\p{N}_./-]$") | c["after"].rlike(r"^[\p{L}\p{N}_/]"), -1).otherwise(1)
@@ -207,10 +251,22 @@ def detect(docs: DataFrame, weights: list[float] | None, text_col: str = "text")
     base = spans.select(*docs.columns, "__text", *(v.alias(f"__{k}") for k, v in keep.items()), "__wider")
     if weights is None:
         return base.withColumn("__added", F.filter("__wider", lambda c: F.lit(False))).drop("__wider")
-    fixed = F.concat(*(F.transform(f"__{k}", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in BASE))
-    base = base.withColumn("__fixed", fixed)
-    free = lambda c: ~F.exists("__fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return base.withColumn("__added", F.filter("__wider", lambda c: free(c) & (_score(c, weights) >= ADD_AT))).drop("__wider", "__fixed")
+    free = let(F.array_sort(F.concat(*(_tagged(F.col(f"__{k}"), False) for k in BASE), _tagged(F.col("__wider"), True))), _free)
+    none = F.size("__wider") == 0
+    return base.withColumn("__added", F.when(none, F.col("__wider")).otherwise(F.filter(free, lambda c: _score(c, weights) >= ADD_AT))).drop("__wider")
+
+
+def _tagged(spans: Column, wider: bool) -> Column:
+    return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(wider).alias("wider"), c.alias("span")))
+
+
+def _free(spans: Column) -> Column:
+    """The wider ones of ordered spans that overlap no base one: those before end in time, those after begin late enough."""
+    far = 2**31 - 1
+    reach = let(F.transform(spans, lambda x: F.when(x["wider"], 0).otherwise(x["end"])), lambda n: _before(n, _most, 0))
+    ahead = F.reverse(let(F.reverse(F.transform(spans, lambda x: F.when(x["wider"], far).otherwise(x["start"]))), lambda n: _before(n, _least, far)))
+    kept = F.filter(F.arrays_zip(spans.alias("x"), reach.alias("reach"), ahead.alias("ahead")), lambda z: z["x"]["wider"] & (z["reach"] <= z["x"]["start"]) & (z["ahead"] >= z["x"]["end"]))
+    return F.transform(kept, lambda z: z["x"]["span"])
 
 
 def _rank(kind: Column) -> Column:
@@ -233,6 +289,17 @@ def digests(detected: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+#: Code points of a part of a text that is cut at many places.
+PART = 1024
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in parts of PART."""
+    first = F.floor(start / PART).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, F.floor(end / PART).cast("int") - first + 1), "")
+    return F.substring(held, start - first * PART + 1, end - start)
+
+
 def redacted(docs: DataFrame, weights: list[float] | None, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; texts without a span stay as they are."""
     spans = detect(docs, weights, text_col)
@@ -240,11 +307,14 @@ def redacted(docs: DataFrame, weights: list[float] | None, text_col: str = "text
     held = spans.select(*docs.columns, "__text", all_.alias("__spans"))
     text = F.col("__text")
 
-    def cut(state, s):
-        kept = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], kept).otherwise(state["out"]).alias("out"))
+    def replaced(x: Column) -> Column:
+        # a span that begins before an earlier one ends goes with that one
+        reach = let(F.transform(x["spans"], lambda s: s["end"]), lambda n: _before(n, _most, 0))
+        kept = F.filter(F.arrays_zip(x["spans"].alias("s"), reach.alias("at")), lambda z: z["s"]["start"] >= z["at"])
+        said = F.transform(kept, lambda z: F.concat(_between(x["parts"], z["at"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(said, ""), _between(x["parts"], F.array_max(F.transform(x["spans"], lambda s: s["end"])), F.length(text)))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("__spans", first, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PART).cast("int")), lambda k: F.substring(text, k * PART + 1, F.lit(PART)))
+    new = let(F.struct(F.col("__spans").alias("spans"), parts.alias("parts")), replaced)
     own = F.col(f"`{text_col}`")
     return held.withColumn(text_col, F.when(F.size("__spans") > 0, new).otherwise(own)).select(*docs.columns)

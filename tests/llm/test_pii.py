@@ -88,3 +88,41 @@ def test_native_plan(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     plan = pii.digests(pii.detect(docs, [0.1] * 20))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
+
+
+def test_very_many_spans_take_proportional_time(spark):
+    import time
+
+    took = []
+    for n in (300, 64_000):
+        text = "é a@b.cd call 415-555-1234 " * (n // 2)
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        r = pii.digests(pii.detect(docs, [0.1] * 23)).first()
+        out = pii.redacted(docs, [0.1] * 23).first()["text"]
+        took.append(time.time() - began)
+        assert r["n_email"] == n // 2 and r["spans"].count("email") == n // 2 and r["spans"].count("phone") == n // 2
+        assert out == "é [EMAIL] call [PHONE] " * (n // 2)
+        check(r, text)
+    assert took[1] < took[0] + 40
+
+
+def test_secrets(spark):
+    rows = [(i, f"say password={'ab12' * 3}{i} and AKIAABCDEFGHIJKLMN{i:02d} there") for i in range(30)] + [(99, "the password was lost, the token too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs, pii.train(docs)).collect()}
+    assert out[3] == "say [SECRET] and [SECRET] there" and out[99] == rows[-1][1]
+
+
+def test_overlaps_equal_a_plain_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    from pyspark.sql import functions as F
+
+    for size in (0, 1, 255, 256, 257, 1500):
+        spans = sorted((a := draw.randrange(20 * size + 5), a + 1 + draw.randrange(12), draw.random() < 0.5) for _ in range(size))
+        want = [(a, z) for a, z, w in spans if w and not any(not o and b < z and a < y for b, y, o in spans)]
+        kinds = "array<struct<start:int,end:int,wider:boolean,span:struct<start:int,end:int>>>"
+        row = spark.createDataFrame([([(a, z, w, (a, z)) for a, z, w in spans],)], f"s {kinds}")
+        assert [tuple(x) for x in row.select(pii._free(F.col("s")).alias("f")).first()["f"]] == want
