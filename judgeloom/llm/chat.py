@@ -31,8 +31,9 @@ OPEN, BODY, CLOSE = "<|turn|>", "\n", "<|end|>\n"
 #: Strings that act as control strings in this or other common templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Longer texts are tokenized in slices of so many characters.
+#: Longer texts are tokenized in slices of at least so many characters, cut where the tokenizer's pattern parts them anyway.
 SLICE = 4096
+_cut = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 _escape = re.compile(r"(\\)|(?=" + "|".join(map(re.escape, CONTROL)) + r")(.)|(\n)")
 
@@ -57,7 +58,14 @@ def encoding(path: str):
 
 
 def _encode(enc, text: str) -> list[int]:
-    return [x for i in range(0, len(text), SLICE) for x in enc.encode_ordinary(text[i : i + SLICE])]
+    """The tokenizer's ids of the whole text."""
+    ids, at = [], 0
+    while at < len(text):
+        cut = _cut.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        ids += enc.encode_ordinary(text[at:end])
+        at = end
+    return ids
 
 
 TREE = "stream_id long, seq long, kind string, {id}, depth long, role string, start long, length long, position long, ancestors array<struct<start:long,end:long>>, loss_start long, loss_end long, ids binary"

@@ -48,3 +48,17 @@ def test_conversations_come_back_from_the_tree(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.tree(empty, WHERE), WHERE).count() == 0
+
+
+def test_long_texts_have_the_tokenizers_ids():
+    import random
+
+    from public_tokenizers import path
+
+    enc, draw = chat.encoding(path(chat.TOKENIZER)), random.Random(2)
+    bits = ["word", " the", "  ", "\n", "'s", "12345", " 7", "...", "é", " Ünï", "\t", "<|turn|>", " a", "b ", "日本", "x" * 300]
+    for n in (0, 10, 3000, 12_000):
+        text = "".join(draw.choice(bits) for _ in range(n))
+        assert chat._encode(enc, text) == enc.encode_ordinary(text)
+    text = "supercalifragilistic expialidocious " * 400
+    assert chat._encode(enc, text) == enc.encode_ordinary(text)
