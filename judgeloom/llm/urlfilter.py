@@ -39,11 +39,12 @@ ALLOWED_URLS = """
 http://news.test/politics/today  http://www.library.test/en/100  http://university.test/research  http://blog.gardening.test/2020/tomatoes
 http://m.weather.test/de/20  http://museum.test/fr/9  http://docs.software.test/api/index.html  http://www.recipes.test/es/soup
 http://wiki.test/en/History  http://school.test/classes/9  http://www.theatre.test/en/44.html  http://blog.thinker.test/fr/8?page=2
-http://m.reader.test/en/9931  http://city-council.test/minutes  http://thenand.test/en/1  http://tionering.test/en/2020
-http://blog.whether.test/de/30  http://www.therein.test/es/455  http://m.other.test/fr/12/  http://thatwhich.test/en/77.html
+http://m.reader.test/en/9931  http://city-council.test/minutes  http://www.railway.test/en/timetable  http://hospital.test/departments/heart
+http://blog.woodwork.test/de/30  http://www.bookshop.test/es/455  http://m.radio.test/fr/12/  http://parliament.test/en/77.html
 http://science-journal.test/articles/1  http://health.test/heart  http://www.travel-notes.test/rome  http://astronomy.test/stars
-http://m.thing.test/en/81  http://blog.tiontion.test/en/51  http://therthth.test/de/5  http://ththere.test/es/6
+http://m.maps.test/en/81  http://blog.language.test/en/51  http://orchestra.test/de/5  http://mountain-hut.test/es/6  http://www.bakery.test/fr/3
 http://book-club.test/authors  http://music-school.test/piano  http://www.farmers-market.test/en/apples  http://track-and-field.test/results
+http://archive.test/1998/letters  http://forum.cycling.test/en/thread/12  http://www.chemistry.test/elements  http://history.test/de/romans  http://dictionary.test/word
 """
 LABELLED = [(u, 1) for u in BLOCKED_URLS.split()] + [(u, 0) for u in ALLOWED_URLS.split()]
 
@@ -91,7 +92,7 @@ def train(labelled=LABELLED, steps: int = 500, rate: float = 4.0, l2: float = 5e
         e = 1 / (1 + np.exp(-(x @ w + b))) - y
         w -= rate * (x.T @ e / len(y) + l2 * w)
         b -= 0.1 * rate * e.mean()
-    return w.astype(np.float32), min(float(b), -0.01)
+    return w.astype(np.float32), float(b)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
