@@ -28,6 +28,8 @@ BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3, 4)
 #: Training rows of each language.
 SAMPLE = 700
+#: Rows that are ranked for each sampled one: so one task ranks SPARE * SAMPLE rows of a language, however many it has.
+SPARE = 8
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
 #: TF-IDF values are shares of a document; this brings them to the order of one.
 SCALE = 10.0
@@ -172,11 +174,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # a stable draw: the rows of the least hashes; equal rows share one, so places settle the last of them
     drawn = training.withColumn("draw", F.xxhash64(F.lit("sample"), "crc", "text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    last = {r["lang"]: r["last"] for r in drawn.select("lang", "draw").withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("draw").alias("last")).collect()}
-    limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))[F.col("lang")]
-    sample = drawn.where(F.col("draw") <= limit).withColumn("place", place).where(F.col("place") <= SAMPLE).select("text", "lang", "draw").repartition(1)
 
-    @giving_back
+    def least(rows: DataFrame) -> dict:
+        """SAMPLE rows of each language at most: how many, and the greatest of their hashes."""
+        held = rows.select("lang", "draw").withColumn("place", place).where(F.col("place") <= SAMPLE)
+        return {r["lang"]: (r["n"], r["last"]) for r in held.groupBy("lang").agg(F.count("*").alias("n"), F.max("draw").alias("last")).collect()}
+
+    def of_lang(values: dict) -> Column:
+        return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")]
+
+    # a hash below this holds more than enough rows of a language, unless very many are equal: then all its rows are ranked
+    low = {x: min(2**63 - 1, -(2**63) + 2**64 * SPARE * SAMPLE // n) for x, n in sizes.items()}
+    found = least(drawn.where(F.col("draw") <= of_lang(low)))
+    rare = [x for x, n in sizes.items() if found.get(x, (0, 0))[0] < min(n, SAMPLE)]
+    if rare:
+        found |= least(drawn.where(F.col("lang").isin(rare)))
+    last = of_lang({x: greatest for x, (_, greatest) in found.items()})
+    sample = drawn.where(F.col("draw") <= last).withColumn("place", place).where(F.col("place") <= SAMPLE).select("text", "lang", "draw").repartition(1)
+
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
