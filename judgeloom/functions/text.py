@@ -67,26 +67,33 @@ def before_sentence(text: Column, pattern: str) -> Column:
     return let(F.split(text, _FLAGS + pattern, 2), lambda parts: F.when(F.size(parts) > 1, F.nullif(F.regexp_extract(parts[0], r"(?s)^(.+\.)", 1), F.lit(""))))
 
 
+#: Any conclusory pattern: one search tells whether they need to be tried in turn.
+_ANY_CONCLUSION = _FLAGS + "(?:" + "|".join(CONCLUSORY) + ")"
+
+
 def without_conclusions(text: Column, method: Column) -> Column:
     """struct<text, method>: every conclusory pattern in turn cuts what the ones before have left."""
 
     def cut_at(pattern):
         return lambda s: let(before_sentence(s["text"], pattern), lambda cut: F.struct(F.coalesce(rstrip(cut), s["text"]).alias("text"), F.concat(s["method"], F.when(cut.isNotNull(), CLEANED).otherwise("")).alias("method")))
 
-    state = F.struct(text.alias("text"), method.alias("method"))
+    first = F.struct(text.alias("text"), method.alias("method"))
+    state = first
     for pattern in CONCLUSORY:
         state = let(state, cut_at(pattern))
-    return state
+    return F.when(text.rlike(_ANY_CONCLUSION), state).otherwise(first)
 
 
-def truncate(text: Column) -> tuple[Column, Column]:
-    """Text before its assessment, and how that was found."""
-    parts = F.split(text, "(?dimuU)(?:" + "|".join(MARKERS) + ")", 2)
-    fallback = F.coalesce(*(before_sentence(text, p) for p in CONCLUSORY))
-    return (
-        F.when(F.size(parts) > 1, rstrip(parts[0])).otherwise(F.coalesce(rstrip(fallback), text)),
-        F.when(F.size(parts) > 1, MARKED).when(fallback.isNotNull(), CONCLUDED).otherwise(NO_TRUNCATION),
-    )
+def truncate(text: Column) -> Column:
+    """struct<text, method>: the text before its assessment, and how that was found. Patterns are tried only where one matches."""
+
+    def found(kept: Column, method: str) -> Column:
+        return F.struct(kept.alias("text"), F.lit(method).alias("method"))
+
+    plain = found(text, NO_TRUNCATION)
+    fallback = let(F.coalesce(*(before_sentence(text, p) for p in CONCLUSORY)), lambda cut: F.when(cut.isNotNull(), found(rstrip(cut), CONCLUDED)).otherwise(plain))
+    markers = F.split(text, "(?dimuU)(?:" + "|".join(MARKERS) + ")", 2)
+    return let(markers, lambda parts: F.when(F.size(parts) > 1, found(rstrip(parts[0]), MARKED)).when(text.rlike(_ANY_CONCLUSION), fallback).otherwise(plain))
 
 
 def without_sentences(text: Column, method: Column, sentences: Column) -> Column:

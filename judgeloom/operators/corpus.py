@@ -23,8 +23,8 @@ def pairs(cases: DataFrame, conclusion: str = "conclusion", text: str = "full_ca
 
 def truncated(cases: DataFrame, text: str = "full_case_text", min_length: int = X.MIN_LENGTH) -> DataFrame:
     """Adds the text before its assessment, the method, lengths, retention and whether the case is excluded as too short."""
-    short, method = X.truncate(F.col(text))
-    out = cases.withColumn("full_case_text_no_verdict", short).withColumn("verdict_removal_method", method)
+    cut = cases.withColumn("__cut", X.truncate(F.col(text)))
+    out = cut.select(*cases.columns, F.col("__cut.text").alias("full_case_text_no_verdict"), F.col("__cut.method").alias("verdict_removal_method"))
     length, whole = F.length("full_case_text_no_verdict"), F.length(text)
     return out.select(
         "*",

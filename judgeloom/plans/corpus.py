@@ -93,11 +93,11 @@ STRATEGIES = {
 def placeholders(spark, sf_dir):
     """Placeholders replaced longest first, pronouns by the verb before them."""
     templates.check_conflicts(list(STRATEGIES), STRATEGIES)
-    text = F.concat(F.lit("[STATE ADJ] court of [STATE] told [PRONOUN] that [PRONOUN] SAW [PRONOUN]: "), F.substring("text", 1, 100))
+    text = F.concat(F.lit("[STATE ADJ] court of [STATE] told [PRONOUN] that [PRONOUN] SAW [PRONOUN]: "), F.col("text"))
     return fixtures.table(spark, sf_dir, "documents").select("doc_id", templates.replaced(text, list(STRATEGIES), STRATEGIES).alias("text"))
 
 
-PLACEHOLDERS = "SELECT doc_id, 'national court of the State told them that they SAW them: ' || substr(text,1,100) AS text FROM documents"
+PLACEHOLDERS = "SELECT doc_id, 'national court of the State told them that they SAW them: ' || text AS text FROM documents"
 
 
 def prompts(spark, sf_dir):
@@ -270,7 +270,7 @@ SELECT conv_id, turn, CASE WHEN conv_id%2=0 THEN 3 ELSE 4 END::BIGINT AS n_messa
 
 
 def _models(spark, sf_dir) -> DataFrame:
-    return fixtures.table(spark, sf_dir, "supplier").where("s_suppkey <= 8").select(F.concat(F.lit("model_"), F.col("s_suppkey").cast("string")).alias("model"), (F.col("s_suppkey") * 0.25).cast("double").alias("input_cost_per_mtok"), (F.col("s_suppkey") * 1.5).cast("double").alias("output_cost_per_mtok"))
+    return fixtures.table(spark, sf_dir, "supplier").select(F.concat(F.lit("model_"), F.col("s_suppkey").cast("string")).alias("model"), (F.col("s_suppkey") * 0.25).cast("double").alias("input_cost_per_mtok"), (F.col("s_suppkey") * 1.5).cast("double").alias("output_cost_per_mtok"))
 
 
 def experiment_costs(spark, sf_dir):
@@ -279,7 +279,7 @@ def experiment_costs(spark, sf_dir):
     return rounded(planning.cost_report(planning.costs(_models(spark, sf_dir), sizes)))
 
 
-EXPERIMENT_COSTS = """WITH m AS (SELECT 'model_' || s_suppkey AS model, s_suppkey*0.25::DOUBLE AS i, s_suppkey*1.5::DOUBLE AS o FROM supplier WHERE s_suppkey<=8), z AS (SELECT count(*) AS n, 5 AS s FROM customer),
+EXPERIMENT_COSTS = """WITH m AS (SELECT 'model_' || s_suppkey AS model, s_suppkey*0.25::DOUBLE AS i, s_suppkey*1.5::DOUBLE AS o FROM supplier), z AS (SELECT count(*) AS n, 5 AS s FROM customer),
 c AS (SELECT model, 'baseline' AS stage, n*s AS n_calls, n*s*(16000*i+10*o)/1e6 AS usd FROM m,z UNION ALL SELECT model, 'rq1', 3*n+3*n*s, (3*n*(15000*i+600*o)+3*n*s*(800*i+10*o))/1e6 FROM m,z UNION ALL SELECT model, 'rq2', 3*n*s, 3*n*s*(800*i+10*o)/1e6 FROM m,z UNION ALL SELECT model, 'rq3', 2*n*s, 2*n*s*(16000*i+10*o)/1e6 FROM m,z)
 SELECT coalesce(model,'ALL') AS model, coalesce(stage,'ALL') AS stage, sum(n_calls)::BIGINT AS n_calls, round(sum(usd),6) AS usd FROM c GROUP BY ROLLUP(model, stage)"""
 
@@ -287,12 +287,12 @@ SELECT coalesce(model,'ALL') AS model, coalesce(stage,'ALL') AS stage, sum(n_cal
 def progress(spark, sf_dir):
     """Which stages of which models are done."""
     models = _models(spark, sf_dir)
-    k = F.substring("model", 7, 3).cast("int")
+    k = F.substring("model", 7, 20).cast("int")
     marks = models.select("model", F.explode(F.filter(F.array(*map(F.lit, planning.STAGES)), lambda s: (k + F.array_position(F.array(*map(F.lit, planning.STAGES)), s)) % 3 == 0)).alias("stage"))
     return planning.progress(models, marks)
 
 
-PROGRESS = "SELECT 'model_' || s_suppkey AS model, " + ", ".join(f"CASE WHEN (s_suppkey+{i})%3=0 THEN 'done' ELSE 'PENDING' END AS {s}" for i, s in enumerate(planning.STAGES, 1)) + " FROM supplier WHERE s_suppkey<=8"
+PROGRESS = "SELECT 'model_' || s_suppkey AS model, " + ", ".join(f"CASE WHEN (s_suppkey+{i})%3=0 THEN 'done' ELSE 'PENDING' END AS {s}" for i, s in enumerate(planning.STAGES, 1)) + " FROM supplier"
 
 
 def summaries_long(spark, sf_dir):

@@ -33,10 +33,10 @@ def _sampled(cases: DataFrame, n: int) -> DataFrame:
     return cases.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else cases.withColumn("sample_idx", F.lit(0)).limit(0)
 
 
-def rated(grid: DataFrame, prompt: Column, respond: Respond, model: str, by: list[str]) -> DataFrame:
+def rated(grid: DataFrame, prompt: Column, respond: Respond, model: str | Column, by: list[str]) -> DataFrame:
     """grid with a rating a row; a row without an answer abstains."""
     held = grid.withColumn("custom_id", templates.custom_id(*(F.col(c) for c in by), "sample", F.col("sample_idx")))
-    got = respond(responder.requests(held, F.lit(model), prompt, F.col("custom_id")))
+    got = respond(responder.requests(held, model if isinstance(model, Column) else F.lit(model), prompt, F.col("custom_id")))
     return held.join(got, "custom_id", "left").withColumn("rating", R.extract(F.coalesce("response", F.lit("")))).drop("response")
 
 
@@ -104,15 +104,14 @@ def reconsidered(cases: DataFrame, respond: Respond, model: str, samples: int =
     )
 
 
-def matrix(cases: DataFrame, texts: dict[str, Column], evaluators: dict[str, Respond], samples: int = 10) -> DataFrame:
-    """summary, evaluator, accuracy, abstention_rate of every text by every evaluator."""
-    out = None
-    for evaluator, respond in evaluators.items():
-        for name, text in texts.items():
-            rows = rated(_sampled(cases, samples), templates.by_framing(F.lit("predictive"), text, F.col("article")), respond, evaluator, KEY)
-            cell = _judged(rows, KEY).agg(reduce.share(F.col("is_accurate")).alias("accuracy"), (F.sum("num_abstentions") / F.nullif(F.sum("num_samples"), F.lit(0))).alias("abstention_rate")).select(F.lit(name).alias("summary"), F.lit(evaluator).alias("evaluator"), "accuracy", "abstention_rate")
-            out = cell if out is None else out.unionByName(cell)
-    return out
+def matrix(cases: DataFrame, texts: dict[str, Column], evaluators: list[str], respond: Respond, samples: int = 10) -> DataFrame:
+    """summary, evaluator, accuracy, abstention_rate of every text by every evaluator: conditions are columns of one plan."""
+    every = F.array(*(F.struct(F.lit(name).alias("summary"), text.alias("body")) for name, text in texts.items()))
+    grid = cases.withColumn("__text", F.explode(every)).select(*KEY, "case_name", "violation_label", F.col("__text.summary").alias("summary"), F.col("__text.body").alias("body"), F.explode(F.array(*map(F.lit, evaluators))).alias("evaluator"))
+    by = ["evaluator", "summary", *KEY]
+    prompt = templates.by_framing(F.lit("predictive"), F.col("body"), F.col("article"))
+    judged = _judged(rated(_sampled(grid, samples), prompt, respond, F.col("evaluator"), by), by)
+    return judged.groupBy("summary", "evaluator").agg(reduce.share(F.col("is_accurate")).alias("accuracy"), (F.sum("num_abstentions") / F.nullif(F.sum("num_samples"), F.lit(0))).alias("abstention_rate"))
 
 
 def scrape(spark, find: search.Search, fetch: search.Fetch, expression: str, existing: str | None = None, dry_run: bool = False) -> DataFrame:

@@ -99,7 +99,8 @@ def test_truncation_against_restated_rules(spark):
     draw = random.Random(3)
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 8))) for _ in range(150)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
-    short, method = X.truncate(F.col("x"))
+    cut = X.truncate(F.col("x"))
+    short, method = cut["text"], cut["method"]
     for r in df.select("x", short.alias("t"), method.alias("m")).collect():
         assert (r["t"], r["m"]) == reference_cut(r["x"]), r["x"]
 
@@ -158,3 +159,18 @@ def test_bootstraps_agree(spark):
     fast = {r["g"]: r for r in bootstrap.multinomial(counts, ["g"], 4000).collect()}
     half = 1.96 * d.std() / 20
     assert fast["g"]["low"] == pytest.approx(d.mean() - half, abs=0.01) and fast["g"]["high"] == pytest.approx(d.mean() + half, abs=0.01) and fast["none"]["low"] is None
+
+
+def test_mcnemar_of_very_many_pairs(spark):
+    import math
+
+    rows = [(0, 5), (1, 1), (15, 16), (900, 1000), (500_000, 501_500), (10**9, 10**9 + 90_000), (10, 2_000_000), (7, 0)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", stats.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        n, k = r["a"] + r["b"], min(r["a"], r["b"])
+        if n < 3000:
+            want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        else:
+            z = (k + 0.5 - n / 2) / math.sqrt(n / 4)  # the normal limit
+            want = math.erfc(-z / math.sqrt(2))
+        assert abs(r["p"] - want) < (1e-10 if n < 3000 else 1e-4), (r, want)

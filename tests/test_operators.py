@@ -99,7 +99,7 @@ def test_stages_with_a_scripted_model(spark):
         assert r["change_rate"] == changed / 4 and len(r["individual_changes"]) == 4
     silent = stages.reconsidered(held, lambda a: responder.scripted(a).where("NOT endswith(custom_id, '_followup')"), "m", 4)
     assert silent.where("prediction_changed OR change_rate > 0").count() == 0
-    cells = stages.matrix(held, {"full": F.col("full_case_text"), "none": F.lit("")}, {"a": responder.scripted, "b": responder.scripted}, 2)
+    cells = stages.matrix(held, {"full": F.col("full_case_text"), "none": F.lit("")}, ["a", "b"], responder.scripted, 2)
     assert cells.count() == 4
 
 
