@@ -60,7 +60,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
-        if len(self) > 150_000:
+        if len(self) > 250_000:
             self.clear()
         word = _inner.sub("", chunk)
         low = word.lower()
