@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -58,13 +59,21 @@ class Chunks(dict):
     """chunk -> 64 bits: a hash of its word in the upper 59, flags below. Forgets everything at a bound."""
 
     def __missing__(self, chunk: str) -> int:
-        import xxhash
-
         if len(self) > 250_000:
             self.clear()
-        word = _inner.sub("", chunk)
+        # most chunks are letters alone, or with one mark behind them
+        if chunk.isalpha():
+            word = chunk
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            word = chunk[:-1]
+        else:
+            word = _inner.sub("", chunk)
         low = word.lower()
-        flags = (_EMPTY if not low else 0) | (_NUM if _number.fullmatch(low) else 0) | (_UNIT if low in UNITS else 0) | (_CAP if word[:1].isupper() and word[1:] == low[1:] else 0) | (_ENDS if chunk[-1:] in ".!?:" or chunk[-2:-1] in ".!?" else 0)
+        flags = (0 if low else _EMPTY) | (_NUM if low[:1].isdecimal() and _number.fullmatch(low) else 0) | (_UNIT if low in UNITS else 0)
+        if word[:1].isupper() and word[1:] == low[1:]:
+            flags |= _CAP
+        if chunk[-1] in ".!?:" or chunk[-2:-1] in ".!?":
+            flags |= _ENDS
         # a chunk without a letter or digit counts only in exact windows, and there only as operators
         said = low or "".join(_operator.findall(chunk))
         self[chunk] = out = ((xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) & ~31) if said else 0) | flags
@@ -168,7 +177,6 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     @giving_back
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         names = ["item", "total", "window", "width", "pos", "slots"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
