@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin digests over whole tables, with production parameters."""
+"""The registered queries of the operators: thin digests over whole tables, with production parameters, and SQL where it can say them."""
 
 from __future__ import annotations
 
@@ -89,6 +89,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, pipeline)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import trie
 
-ORACLES: dict[str, str] = {}
+    return trie.trie(trie.rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+#: crc32 of a decimal number bit by bit: each character is mixed in, then shifted eight times (-1 stands for a shift).
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR,''), lambda x: [ascii(x)::BIGINT,-1,-1,-1,-1,-1,-1,-1,-1]))),
+lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+OP13_TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role,'') AS role, sha256(length(coalesce(role,'')) || ':' || coalesce(role,'') || coalesce(text,'')) AS name, len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, name) AS pos FROM t),
+ids AS (SELECT c, {_CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT i.c, 0 AS part, pos, name, w FROM ids i JOIN o ON o.c = i.c - i.c % 20 AND pos <= h UNION ALL SELECT i.c, 1, pos, name, w FROM ids i JOIN o ON o.c = i.c AND pos > h),
+p AS (SELECT c, row_number() OVER s AS depth, string_agg(name, '') OVER s AS path, w FROM r WINDOW s AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING) UNION ALL SELECT c, 0, '', 0 FROM ids),
+n AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY depth, path),
+l AS (SELECT *, path[:64*(depth-1)] AS parent, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.path[:64*n.depth] = n.path) AS n_children FROM n),
+u AS (SELECT d AS depth, path[:64*d] AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM l) GROUP BY 1, 2),
+e AS (SELECT depth, path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM p WHERE (c, depth) IN (SELECT c, max(depth) FROM p GROUP BY c) GROUP BY ALL)
+SELECT l.conv_id, l.depth, CASE WHEN l.depth > 0 THEN a.conv_id END AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM l JOIN u ON u.depth = l.depth AND u.path = l.path LEFT JOIN n a ON a.depth = l.depth - 1 AND a.path = l.parent LEFT JOIN e ON e.depth = l.depth AND e.path = l.path"""
+
+
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, op13_trie, pipeline)}
+
+ORACLES: dict[str, str] = {"op13_trie": OP13_TRIE}
