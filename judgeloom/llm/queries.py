@@ -89,6 +89,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(ann.index(ann.nodes(vectors)), vectors.where("vec_id % 20 = 0"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import trie
 
@@ -112,6 +119,6 @@ SELECT l.conv_id, l.depth, CASE WHEN l.depth > 0 THEN a.conv_id END AS parent_co
 FROM l JOIN u ON u.depth = l.depth AND u.path = l.path LEFT JOIN n a ON a.depth = l.depth - 1 AND a.path = l.parent LEFT JOIN e ON e.depth = l.depth AND e.path = l.path"""
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, op13_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, op12_ann, op13_trie, pipeline)}
 
 ORACLES: dict[str, str] = {"op13_trie": OP13_TRIE}
