@@ -89,6 +89,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import search
+    from .common import written
+
+    docs = _table(spark, sf_dir, "documents")
+    documents, length = search.sizes(docs)
+    segments = written(search.index(docs, documents, length), "segments")
+    return search.search(segments, documents, _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11_SEARCH = f"""WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents), z AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, z GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term), z GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
 def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ann
 
@@ -119,6 +139,6 @@ SELECT l.conv_id, l.depth, CASE WHEN l.depth > 0 THEN a.conv_id END AS parent_co
 FROM l JOIN u ON u.depth = l.depth AND u.path = l.path LEFT JOIN n a ON a.depth = l.depth - 1 AND a.path = l.parent LEFT JOIN e ON e.depth = l.depth AND e.path = l.path"""
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, op12_ann, op13_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_language, op3_packing, op4_chat, op5_audio, op6_lattice, op7_urls, op8_html, op9_decontam, op10_pii, op11_search, op12_ann, op13_trie, pipeline)}
 
-ORACLES: dict[str, str] = {"op13_trie": OP13_TRIE}
+ORACLES: dict[str, str] = {"op11_search": OP11_SEARCH, "op13_trie": OP13_TRIE}
