@@ -1,20 +1,21 @@
 """Benchmark decontamination by templates.
 
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence, runs of
-them together) and units after numbers are typed placeholders, any other word is itself in lower case. Windows of WIDTH
-template tokens of the benchmark and of the documents meet in a hash join. Hits of one document and item on one alignment
-are counted, and their slots checked: a slot value of the item stands for one value in the document, and the other way
-round. Of the pairs of values that one such map can't hold together, those in most windows are kept. The hits are a leak
-where the map holds most of all pairs, or where enough windows have pairs of the map alone, or enough have the item's own
-values. So a question with other names and numbers is still found, also where some of them coincide, and a text that merely
-has numbers in the same places is not.
-
-Items without any window of enough literal words - short ones, arithmetic - are searched as they stand: windows of their exact words,
-numbers and operators, all of which count alike. Items of fewer than MIN_EXACT of those say too little for that: a document that says just the
-same, and nothing else, is their leak.
-
-Cases: null and empty texts have no windows; items of MIN_WORDS to WIDTH - 1 tokens are one window of their
-own length; windows with fewer than MIN_LITERAL words that are no placeholders don't count; items without a letter, a digit or an operator
+them together) and units after numbers are typed placeholders, any other word is itself in lower case. An item is all its windows of WIDTH
+tokens: template windows, or, where too few of a window's tokens are literal words (arithmetic, lists of numbers), windows of the exact words, numbers and operators.
+They meet the documents' windows in a hash join.
+
+Items of one template are one family and are joined once, however many they are: a result row is a document and a family, and `families` has the members.
+A leak has half of a family's windows on one alignment, or MIN_HITS of them that are LEAST_SHARE at least; so it has one of any total - needed + 1 of them, and
+only that many, the ones that fewest families share, are joined with the documents. So an opening that many items have in common brings no pairs by itself.
+The other windows of such a candidate are looked up where they should be.
+
+Slots have to be consistent: the last placeholder before one with the same filling has to be the same one as in an item of the family (or to lie before what the document
+quotes). A leak has more than MOST_SLOTS of its slots so, or enough windows as an item has them. So a question with other names
+and numbers is still found, also where some of them coincide, and a text that merely has numbers in the same places is not.
+
+Cases: null and empty texts have no windows; items of fewer than WIDTH tokens are one window of their own length, those of fewer than MIN_WORDS an exact one; items of one or
+two tokens are found only in documents that say just the same and nothing else; items without a word or number
 are not searched; repeated rows are judged each; very long texts are read whole; an empty
 table on either side gives no leak; other columns are ignored.
 """
@@ -22,22 +23,20 @@ table on either side gives no leak; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from .common import bitmap, giving_back, mix, small_batches, without, written
 
-WIDTH, MIN_WORDS, MIN_LITERAL, MIN_EXACT = 8, 5, 4, 4
-#: A leak has this share of the item's windows on one alignment, or so many of them.
-MIN_SHARE, MIN_HITS = 0.5, 8
-#: Its map of slot values holds more than this share of the distinct pairs, or the windows inside the map are enough.
-MOST_PAIRS = 0.5
+WIDTH, MIN_WORDS, MIN_LITERAL, MIN_EXACT = 8, 5, 4, 3
+#: A leak has this share of the item's windows on one alignment, or so many of them if they are a lesser share at least.
+MIN_SHARE, MIN_HITS, LEAST_SHARE = 0.5, 8, 0.25
+#: More than this share of its slots is filled as consistently as in an item.
+MOST_SLOTS = 0.5
 #: The filter over benchmark windows has about 32 bits a window, between these powers of two.
 LEAST_BITS, MOST_BITS = 18, 25
 UNITS = frozenset(
@@ -101,116 +100,125 @@ def template(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind[keep], value[keep], at[keep]
 
 
-def windows(kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that starts at each token, and whether it has enough literal words."""
-    n = len(value) - width + 1
+def rolled(first: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the window that starts at each token: its first value is from first, the others from rest."""
+    n = len(first) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     h = np.full(n, np.uint64(width))
     for j in range(width):
-        h = (h ^ value[j : j + n]) * _C1
+        h = (h ^ (rest if j else first)[j : j + n]) * _C1
         h ^= h >> np.uint64(31)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    return mix(h), literal[width:] - literal[:-width] >= min(MIN_LITERAL, width - 1)
+    return mix(h)
 
 
-def exact(chunks: list[str]) -> np.ndarray:
-    """Hashes of the words, numbers and operators of a text as they stand."""
-    packed = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks)) & ~np.uint64(31)
-    return packed[packed != 0]
+def windows(kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the template window that starts at each token, and whether it has enough literal words."""
+    h = rolled(value, value, width)
+    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+    return h, literal[len(literal) - len(h) :] - literal[: len(h)] >= min(MIN_LITERAL, width - 1) if len(h) else np.zeros(0, bool)
 
 
-def exact_windows(value: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the exact window that starts at each token; width 0 is the whole text."""
-    h, _ = windows(np.zeros(len(value), np.int64), value, width or len(value))
-    return mix(h ^ (_C1 if width else ~_C1))
+def exact_windows(chunks: list[str], at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the window of words, numbers and operators as they stand, from each template token on.
 
+    What stands between two tokens (operators, the rest of a name) counts with the second; before the first and behind the last it doesn't."""
+    packed = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks)) & ~np.uint64(31)
+    if len(at) < width or not len(at):
+        return np.zeros(0, np.uint64)
+    starts = np.concatenate([[0], at[:-1] + 1])
+    behind = (np.repeat(at, at - starts + 1) - np.arange(at[-1] + 1)).astype(np.uint64)
+    inner = packed[: at[-1] + 1]
+    full = np.add.reduceat(np.where(inner != 0, mix(inner ^ behind * _C1), np.uint64(0)), starts)
+    return mix(rolled(packed[at], full, width) ^ _C1)
 
-def slots(kind: np.ndarray, at: np.ndarray, chunks: list[str], start: int, width: int) -> list[str]:
-    """The text of each placeholder of a window, its kind first."""
+
+def slots(kind: np.ndarray, at: np.ndarray, chunks: list[str], start: int, width: int) -> list[tuple[int, int]]:
+    """Token number and hash of what fills it (its kind first) of each placeholder of a window."""
     out = []
     for k in range(start, start + width):
         if kind[k] != LITERAL:
             end = at[k + 1] if k + 1 < len(at) else len(chunks)
             run = chunks[at[k] : end] if kind[k] == NAME else chunks[at[k] : at[k] + 1]
-            out.append(f"{kind[k]} " + " ".join(filter(None, (_inner.sub("", c) for c in run))))
+            said = f"{kind[k]} " + " ".join(filter(None, (_inner.sub("", c) for c in run)))
+            out.append((k, xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) - (1 << 63)))
     return out
 
 
-def fits(found: list[list[tuple[str, str]]], total: int) -> bool:
-    """Whether windows (the pairs of values in the item and in the document of each) of an item with total windows are a leak."""
-    support = Counter(p for w in found for p in set(w))
-    held: set[tuple[str, str]] = set()
-    there, here = set(), set()
-    for p in sorted(support, key=lambda p: (-support[p], p)):
-        if p[0] not in there and p[1] not in here:
-            held.add(p)
-            there.add(p[0])
-            here.add(p[1])
-
-    def enough(n: int) -> bool:
-        return n >= MIN_HITS or n >= MIN_SHARE * total
+def _signed(h: np.ndarray) -> list[int]:
+    return h.view(np.int64).tolist()
 
-    if len(held) == len(support) or len(held) > MOST_PAIRS * len(support):
-        return enough(len(found))
-    return enough(sum(all(p in held for p in w) for w in found)) or enough(sum(all(a == b for a, b in w) for w in found))
 
-
-@F.arrow_udf(BooleanType())
-def _fits(found, total):
-    import pyarrow as pa
-
-    return pa.array([fits([[(p["there"] or "", p["here"] or "") for p in w] for w in f.as_py()], t) for f, t in zip(found, total.to_pylist(), strict=True)], pa.bool_())
-
-
-def _widths(n: int) -> int:
-    return WIDTH if n >= WIDTH else n if n >= MIN_WORDS else 0
+def needed(total: Column) -> Column:
+    """Windows of an item that a leak has on one alignment."""
+    return F.least(F.ceil(MIN_SHARE * total), F.greatest(F.lit(MIN_HITS), F.ceil(LEAST_SHARE * total))).cast("long")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (a hash of its template and slots), total, window, width, pos, slots: one row per window.
+    """item_id, item (its row), family (a hash of its template), total, pos, window, exact, width, slots: one row per window of an item.
 
-    Exact windows have negative widths: -1 - their own, so that -1 is a whole text."""
+    window is that of the template, or the exact one where there are too few literal words; these have negative widths, whole texts -1 and -2. slots: of a
+    template window, the token number of each placeholder and that of the one before it with the same filling (-1 without)."""
     small_batches(benchmark.sparkSession)
     source = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     @giving_back
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        names = ["item", "total", "window", "width", "pos", "slots"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        part, row = TaskContext.get().partitionId(), 0
+        names = ["item", "family", "total", "pos", "window", "exact", "width", "slots"]
+        kinds = [*[pa.int64()] * 7, pa.list_(pa.struct([("i", pa.int64()), ("prev", pa.int64())]))]
         for b in batches:
             ids, out = [], []
-            for i, text in zip(b.column("item_id"), b.column("text").to_pylist(), strict=True):
+            for k, text in enumerate(b.column("text").to_pylist()):
+                row += 1
                 chunks = (text or "").split()
                 kind, value, at = template(chunks)
-                width = _widths(len(kind))
-                h, good = windows(kind, value, width) if width else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                if not good.any():
-                    value = exact(chunks)
-                    if not len(value):
-                        continue
-                    width = 0 if len(value) < MIN_EXACT else min(WIDTH, len(value))
-                    h = exact_windows(value, width)
-                    own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True)).view(np.int64)[0])
-                    for p, w in enumerate(h.view(np.int64).tolist()):
-                        ids.append(i.as_py())
-                        out.append((own, len(h), w, -1 - width, p, []))
+                n = len(kind)
+                if not n:
                     continue
-                filled = xxhash.xxh3_64_intdigest("\t".join(slots(kind, at, chunks, 0, len(kind))).encode("utf-8", "surrogatepass"))
-                own = int(mix(np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)), keepdims=True) ^ np.uint64(filled)).view(np.int64)[0])
-                for p in np.flatnonzero(good).tolist():
-                    ids.append(i.as_py())
-                    out.append((own, int(good.sum()), int(h[p : p + 1].view(np.int64)[0]), width, p, slots(kind, at, chunks, p, width)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.record_batch([pa.array(ids, b.column("item_id").type), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], ["item_id", *names])
-
-    return source.mapInArrow(cut, f"item_id {source.schema['item_id'].dataType.simpleString()}, item long, total long, window long, width long, pos long, slots array<string>")
+                width = min(WIDTH, n)
+                plain, good = windows(kind, value, width)
+                good = good & (n >= MIN_WORDS)
+                stand = exact_windows(chunks, at, width)
+                whole = n < MIN_EXACT
+                shown = np.where(good, plain, mix(stand ^ ~_C1) if whole else stand)
+                family = _signed(mix(np.bitwise_xor.reduce(mix(plain + np.arange(len(plain), dtype=np.uint64) * _C1), keepdims=True) ^ np.uint64(n)))[0]
+                seen: dict[int, int] = {}
+                before = {}
+                for i, v in slots(kind, at, chunks, 0, n):
+                    before[i] = seen.get(v, -1)
+                    seen[v] = i
+                for p, (w, e, g) in enumerate(zip(_signed(shown), _signed(stand), good.tolist(), strict=True)):
+                    held = [{"i": i, "prev": before[i]} for i in range(p, p + width) if i in before] if g else []
+                    ids.append(k)
+                    out.append(((part << 33) + row, family, len(plain), p, w, e, width if g else -width, held))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            yield pa.record_batch([b.column("item_id").take(pa.array(ids, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["item_id", *names])
+
+    kind = source.schema["item_id"].dataType.simpleString()
+    return source.mapInArrow(cut, f"item_id {kind}, item long, family long, total long, pos long, window long, exact long, width long, slots array<struct<i: long, prev: long>>")
+
+
+def _members(items: DataFrame) -> DataFrame:
+    rows = items.groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("family").alias("family"), F.bit_xor(F.xxhash64("pos", "exact")).alias("signature"))
+    return rows
+
+
+def families(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, family, same: the items that leaks stands representatives for: the least id of an item's template, and of equal items."""
+    rows = _members(written(benchmark_windows(benchmark, id_col, text_col), "items"))
+    first = rows.groupBy("family").agg(F.min("item_id").alias("least"))
+    same = rows.groupBy("family", "signature").agg(F.min("item_id").alias("same"))
+    return rows.join(first, "family").join(same, ["family", "signature"]).select("item_id", F.col("least").alias("family"), "same")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, hits, share, reparameterised: benchmark items found in documents."""
+    """doc_id, item_id, family, hits, share, reparameterised: one row for each document and template of items found in it.
+
+    item_id: the least id of the items that stand in the document as they are, or of the family; `families` has the members of both."""
     spark = docs.sparkSession
     small_batches(spark)
     items = written(benchmark_windows(benchmark, item_col, item_text_col), "items")
@@ -218,7 +226,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * max(1, size["n"])).bit_length()))
     filter_ = bitmap(items.select(F.pmod(F.col("window"), F.lit(1 << bits)).alias("bit")), 1 << bits)
     shared, widths = spark.sparkContext.broadcast(filter_), sorted(size["widths"] or [])
-    literal = any(w < 0 for w in widths)
     mask = np.uint64((1 << bits) - 1)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -228,8 +235,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         from pyspark import TaskContext
 
         table, part, row = shared.value, TaskContext.get().partitionId(), 0
-        names = ["part", "row", "window", "pos", "slots"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        names = ["row", "pos", "window", "exact", "slots"]
+        kinds = [*[pa.int64()] * 4, pa.list_(pa.struct([("o", pa.int64()), ("v", pa.int64())]))]
         for b in batches:
             ids, out = [], []
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -238,32 +245,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 if not chunks:
                     continue
                 kind, value, at = template(chunks)
-                stands = exact(chunks) if literal else None
+                stands: dict[int, np.ndarray] = {}
                 for width in widths:
-                    h, good = windows(kind, value, width) if width > 0 else (exact_windows(stands, -1 - width), True) if len(stands) else (np.zeros(0, np.uint64), True)
+                    span = abs(width)
+                    if span > len(kind) or (span < MIN_EXACT and span != len(kind)):
+                        continue
+                    if width > 0:
+                        h, good = windows(kind, value, span)
+                    else:
+                        stands[span] = exact_windows(chunks, at, span)
+                        h, good = mix(stands[span] ^ ~_C1) if span < MIN_EXACT else stands[span], True
                     bit = (h & mask).astype(np.int64)
-                    hit = good & (((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) == 1)
-                    for p in np.flatnonzero(hit).tolist():
+                    hit = np.flatnonzero(good & (((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) == 1))
+                    if len(hit) and span not in stands:
+                        stands[span] = exact_windows(chunks, at, span)
+                    for p, w, e in zip(hit.tolist(), _signed(h[hit]), _signed(stands[span][hit]) if len(hit) else [], strict=True):
                         ids.append(k)
-                        out.append((part, row, int(h[p : p + 1].view(np.int64)[0]), p, slots(kind, at, chunks, p, width) if width > 0 else []))
+                        out.append(((part << 33) + row, p, w, e, [{"o": i - p, "v": v} for i, v in slots(kind, at, chunks, p, span)] if width > 0 else []))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([b.column("doc_id").take(pa.array(ids, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
-    hits = source.mapInArrow(find, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, part long, row long, window long, pos long, slots array<string>")
-    # items of equal texts share their windows: one name stands for them in the join
-    one = items.groupBy("item", "total", "window", "width", "pos", "slots").agg(F.lit(1).alias("n")).select("item", "total", "window", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = hits.join(one, "window")
-    pair = F.arrays_zip(F.col("item_slots").alias("there"), F.col("slots").alias("here"))
-    aligned = met.groupBy("part", "row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.count_distinct("item_pos").alias("hits"), F.collect_list(pair).alias("found")
-    )
-    share = F.col("hits") / F.col("total")
-    enough = aligned.where((share >= MIN_SHARE) | (F.col("hits") >= MIN_HITS))
-    changed = F.exists("found", lambda w: F.exists(w, lambda p: p["there"] != p["here"]))
-    good = enough.where(_fits("found", "total")).select("part", "row", "doc_id", "item", "hits", share.alias("share"), changed.alias("changed"))
-    best = good.groupBy("part", "row", "item").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("hits", "share", (~F.col("changed")).alias("same"))).alias("best"))
-    names = items.select("item", "item_id").distinct()
-    return best.join(names, "item").select("doc_id", "item_id", F.col("best.hits").alias("hits"), F.col("best.share").alias("share"), (~F.col("best.same")).alias("reparameterised"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    found = source.mapInArrow(find, f"doc_id {kind}, row long, pos long, window long, exact long, slots array<struct<o: long, v: long>>")
+    known = items.groupBy("family", "total", "pos", "window").agg(F.lit(1).alias("known")).withColumnRenamed("pos", "item_pos")
+    # what the bit filter let through by chance goes at once
+    hits = written(found.join(known.select("window").distinct(), "window", "left_semi"), "hits")
+    # A leak has so many of an item's windows that it has one of its rarest: these alone are searched for in documents.
+    common = known.groupBy("window").agg(F.count_distinct("family").alias("families"))
+    places = known.join(common, "window").groupBy("family", "total", "item_pos").agg(F.max("families").alias("families"))
+    rarest = places.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("families", "item_pos"))).where(F.col("place") <= F.col("total") - needed(F.col("total")) + 1)
+    probes = known.join(rarest.select("family", "item_pos"), ["family", "item_pos"]).select("window", "family", "total", "item_pos")
+    at = ["row", "family", "shift"]
+    candidates = hits.select("row", "pos", "window").join(probes, "window").select("row", "family", "total", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    # then all windows of a candidate, at the places where they should be
+    expected = candidates.withColumn("item_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1))).withColumn("pos", F.col("item_pos") + F.col("shift"))
+    met = expected.join(hits, ["row", "pos"]).join(known.drop("total"), ["family", "item_pos", "window"])
+    own = items.groupBy("family", F.col("pos").alias("item_pos"), "exact").agg(F.lit(True).alias("own"))
+    aligned = written(met.join(own, ["family", "item_pos", "exact"], "left").select(*at, "total", "doc_id", "item_pos", "exact", "own", "slots"), "aligned")
+    sums = aligned.groupBy(*at).agg(
+        F.first("doc_id").alias("doc_id"), F.first("total").alias("total"), F.count_distinct("item_pos").alias("hits"),
+        F.count_distinct(F.when(F.col("own"), F.col("item_pos"))).alias("standing"), F.bit_xor(F.xxhash64("item_pos", "exact")).alias("signature"),
+    )
+    enough = sums.where(F.col("hits") >= needed(F.col("total")))
+    # slots: the one before with the same filling has to be the one before in an item of the family too
+    filled = aligned.select(*at, "item_pos", F.explode("slots").alias("s")).select(*at, (F.col("item_pos") + F.col("s.o")).alias("i"), F.col("s.v").alias("v")).distinct()
+    before = F.coalesce(F.lag("i").over(Window.partitionBy(*at, "v").orderBy("i")), F.lit(-1))
+    linked = filled.withColumn("prev", before).withColumn("first", F.min("i").over(Window.partitionBy(*at)))
+    attested = items.select("family", F.explode("slots").alias("s")).groupBy("family", F.col("s.i").alias("i")).agg(F.collect_set("s.prev").alias("prevs"))
+    fits = F.array_contains("prevs", F.col("prev")) | ((F.col("prev") == -1) & F.exists("prevs", lambda p: p < F.col("first")))
+    judged = linked.join(attested, ["family", "i"]).groupBy(*at).agg(F.count("*").alias("filled"), F.count_if(fits).alias("fitting"))
+    good = enough.join(judged, at, "left").where(F.col("filled").isNull() | (F.col("fitting") > MOST_SLOTS * F.col("filled")) | (F.col("standing") >= needed(F.col("total"))))
+    share, stands = F.col("hits") / F.col("total"), F.col("standing") == F.col("hits")
+    best = good.groupBy("row", "family").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("hits", share.alias("share"), stands.alias("same"), "signature")).alias("best"))
+    members = _members(items)
+    same = members.groupBy("family", "signature").agg(F.min("item_id").alias("same"))
+    least = members.groupBy("family").agg(F.min("item_id").alias("least"))
+    named = best.withColumn("signature", F.col("best.signature")).join(same, ["family", "signature"], "left").join(least, "family")
+    return named.select("doc_id", F.coalesce("same", "least").alias("item_id"), F.col("least").alias("family"), F.col("best.hits").alias("hits"), F.col("best.share").alias("share"), (~F.col("best.same")).alias("reparameterised"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

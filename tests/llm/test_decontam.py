@@ -37,16 +37,24 @@ def rows():
     return [(d, t, "clash") for d, (t, _) in DOCS.items()] + [(13, DOCS[13][0], "clash"), (None, DOCS[10][0], "clash")]
 
 
+def expanded(docs, bench):
+    """(doc, item, reparameterised) of every member of the families found."""
+    members = {}
+    for m in decontam.families(bench).collect():
+        members.setdefault(m["family"], []).append((m["item_id"], m["same"]))
+    return [(r["doc_id"], i, r["reparameterised"] or same != r["item_id"]) for r in decontam.leaks(docs, bench).collect() for i, same in members[r["family"]]]
+
+
 def test_planted_items_are_found_and_others_left(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(*i, 1) for i in ITEMS], "item_id long, text string, doc_id int")
-    got = decontam.leaks(docs, bench).collect()
+    got = expanded(docs, bench)
     by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], set()).add(r["item_id"])
+    for d, i, _ in got:
+        by.setdefault(d, set()).add(i)
     assert by == {d: want for d, (_, want) in DOCS.items() if want} | {None: {1}}
-    assert sum(r["doc_id"] == 13 for r in got) == 4
-    assert {r["doc_id"] for r in got if r["reparameterised"]} == {11}
+    assert sum(d == 13 for d, _, _ in got) == 4
+    assert {d for d, _, changed in got if changed} == {11}
     kept = decontam.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [12, 15, 16, 17, 19]
 
@@ -56,7 +64,8 @@ def test_items_of_one_template_are_judged_each(spark):
     other = ITEMS[0][1].replace("12", "15").replace("Tom", "Max").replace("3 km", "4 miles")
     docs = spark.createDataFrame([(1, prose(1) + ". " + ITEMS[0][1]), (2, prose(2) + ". " + other + " " + prose(3)), (3, DOCS[11][0]), (4, DOCS[12][0])], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEMS[0][1]), (2, other), (3, ITEMS[0][1])], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontam.leaks(docs, bench).collect()}
+    assert decontam.leaks(docs, bench).count() == 3
+    got = set(expanded(docs, bench))
     assert got == {(1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (2, 2, False), (2, 3, True), (3, 1, True), (3, 2, True), (3, 3, True)}
     assert [r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()] == [4]
 
@@ -78,13 +87,39 @@ def test_a_collision_of_values_loses_no_leak(spark):
     assert decontam.leaks(split, spark.createDataFrame([(1, twice)], "item_id long, text string")).count() == 1
 
 
-def test_fits_by_hand():
-    same, moved, clash = [("1 12", "1 12")], [("1 5", "1 7")], [("1 12", "1 7")]
-    assert decontam.fits([[]] * 8, 100) and not decontam.fits([[]] * 7, 100)
-    assert decontam.fits([same, moved], 4) and not decontam.fits([same, moved], 5)
-    assert not decontam.fits([moved, clash], 4)  # half of the pairs, one window of four
-    assert decontam.fits([moved] * 8 + [clash], 100)  # eight windows inside the map
-    assert decontam.fits([same] * 2 + [clash + moved] * 3, 4)  # two windows of four as in the item
+def test_one_row_for_a_family_however_many_items_and_documents(spark):
+    """Items and documents of one template: a row a document, not a pair of every two; who is there as it stands is named."""
+    said = lambda a, b: f"The farmer Tom has {a} apples and gives {b} of them to Anna Smith, who walks to the market and sells them."
+    bench = spark.createDataFrame([(i, said(1000 + i, 5000 + i)) for i in range(150)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, said(1000 + d, 5000 + d) if d < 150 else said(9000 + d, 20_000 + d)) for d in range(300)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.leaks(docs, bench).collect()}
+    assert sorted(got) == list(range(300)) and decontam.leaks(docs, bench).count() == 300
+    assert all(r["family"] == 0 and r["item_id"] == (d if d < 150 else 0) and r["reparameterised"] == (d >= 150) for d, r in got.items())
+    assert {(r["item_id"], r["family"]) for r in decontam.families(bench).collect()} == {(i, 0) for i in range(150)}
+
+
+def test_literal_poor_stretches_count_in_every_item(spark):
+    """A sum behind a wordy opening is found, the opening alone is not."""
+    opening = "Please compute the value of the following long sum and answer with the number alone:"
+    numbers = " + ".join(str(7 * k + 11) for k in range(38))
+    bench = spark.createDataFrame([(1, f"{opening} {numbers}"), (2, "12 plus 30")], "item_id long, text string")
+    docs = [(1, f"{prose(1)} {opening} {numbers} {prose(2)}"), (2, f"{prose(3)} {numbers} {prose(4)}"), (3, f"{prose(5)} {opening} {prose(6)}"), (4, f"{prose(7)} 12 plus 30 {prose(8)}"), (5, "12 plus 31 and 13 plus 30")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_a_common_opening_links_nothing_by_itself(spark):
+    opening = "Read the following passage with great care and then answer the question that stands below it in one short sentence of your own."
+    bench = spark.createDataFrame([(i, f"{opening} {prose(100 + i, 60)}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"{opening} {prose(100 + d, 60) if d < 5 else prose(500 + d, 60)}") for d in range(60)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == {(d, d) for d in range(5)}
+
+
+def test_a_quoted_part_keeps_its_slots(spark):
+    """What a slot refers to may lie before the part that is quoted."""
+    item = "Anna Smith pays 17 dollars to the old baker in the town, and the baker who lives near the river gives back 17 dollars to the girl who came in the rain."
+    docs = spark.createDataFrame([(1, "x " + " ".join(item.split()[9:]).replace("17", "23"))], "doc_id long, text string")
+    assert [r["reparameterised"] for r in decontam.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [True]
 
 
 def test_templates_by_hand():
