@@ -9,9 +9,11 @@ directly in a container around it (titles, leads) and sections beside it belong
 be anything, and no block that is mostly links.
 
 What is never text: scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader
-comments, and hidden elements - by tag, role, class or id. A class or id counts by its words: some settle it, others
-(share, legal, header ...) only alone or among words that say nothing; with another word beside them the element goes only if it is mostly links. No class
-takes away an article or main, or what holds one, and where words would leave no text at all, they are ignored. White space inside a block is one space; blocks
+comments, and hidden elements - by tag, role, class or id. A class or id settles it only where all its words are such words or say
+nothing (related-posts, ad-slot, cookie-notice); with another word beside them (related-work, modal-verbs) the element goes only if it is mostly links, and
+so do paragraphs and other pieces of text inside an article or main, whatever their class. A header or aside inside an article or main goes if it
+is mostly links or holds controls; a form that holds most of the page's text is its frame. No class
+takes away an article or main, or what holds one, and where words or such tags would leave no text at all, they are ignored. White space inside a block is one space; blocks
 are joined by an empty line.
 
 Cases: null or empty html, or html without text, gives an empty text; cut-off html ends where it ends; an
@@ -46,15 +48,23 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 WHOLE, PARTS = frozenset(["article", "main"]), frozenset(["section", "blockquote", "center"])
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 SKIPPED = frozenset("head nav header footer aside form button select menu template svg math canvas object dialog audio video map search datalist".split()) | RAW
+#: Parts of a page's frame that may also stand inside an article, or around everything.
+FRAMES = frozenset("header footer aside form".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Pieces of text: inside an article their classes don't settle anything.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr span b strong i em u small sup sub code q cite a".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _SURE = (
     r"ads|adbox|adsbox|advert\w*|sponsor\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|aside|widget\w*|footer\w*|site-header|page-header|masthead|topbar|comments?|commentlist|replies|respond|disqus\w*|cookies?|cookie\w*|"
     r"consent|gdpr|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar|sr-only|skip-?link|side-bar|pop-up|sign-up|comment-?list"
 )
 _UNSURE = r"ad|promo\w*|banner\w*|side|foot|header|reply|discussion|notice\w*|alert\w*|login|share|search\w*|form|hidden|copyright|legal|disclaimer"
+#: Words that say nothing beside words that settle it.
+_NEUTRAL = r"post|posts|user|reader|article|articles|story|stories|topics?|news|content|text|page|pages|policy|form|more|you|may|also|like|view|count"
 #: Words that say nothing beside others.
 _PLAIN = r"box|wrap|wrapper|container|list|bar|block|area|section|links?|buttons?|icons?|inner|outer|panel|items?|slot|unit|top|bottom|left|right|main|site|page|global|id|el|js|row|col|group|region|holder|zone|info|msg|message|note|field|input|small|large|big|mini|sticky|fixed|is|the|\d+"
 SURE = re.compile(rf"(?:^|[-_\s])(?:{_SURE})(?=$|[-_\s])", re.I)
+_settled = re.compile(rf"(?:(?:{_SURE}|{_UNSURE}|{_PLAIN}|{_NEUTRAL})(?:[-_]|$))+", re.I)
 UNSURE = re.compile(rf"(?:^|[-_\s])(?:{_UNSURE})(?=$|[-_\s])", re.I)
 _alone = re.compile(rf"(?:(?:{_UNSURE}|{_PLAIN})(?:[-_]|$))+", re.I)
 
@@ -64,7 +74,9 @@ def boiler(classes: str, name: str) -> int:
     told = 0
     for word in [*classes.split(), *name.split()]:
         if SURE.search(word):
-            return 2
+            told = 2 if _settled.fullmatch(word) else max(told, 1)
+            if told == 2:
+                return 2
         if UNSURE.search(word):
             told = 2 if _alone.fullmatch(word) else max(told, 1)
             if told == 2:
@@ -98,30 +110,56 @@ def _path(of: Node, step: str) -> str:
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """(innermost container, text, characters in links) of each block of the page, in order, without boilerplate."""
-    for words in (True, False):
-        found = list(_blocks(page, words))
-        # an element that is perhaps boilerplate, by its number: its text and the part in links
+    for words, tags in ((True, True), (False, True), (False, False)):
+        controls: set[int] = set()
+        found = list(_blocks(page, words, tags, controls))
+        # an element that is perhaps boilerplate, by its number (a form's is negative): its text and the part in links
         size: dict[int, list[int]] = {}
         for _, said, linked, inside in found:
             for k in inside:
                 held = size.setdefault(k, [0, 0])
                 held[0] += len(said)
                 held[1] += linked
-        gone = {k for k, (n, linked) in size.items() if 2 * linked >= n}
+        all_ = sum(len(said) for _, said, _, _ in found)
+        gone = {k for k, (n, linked) in size.items() if (2 * n < all_ if k < 0 else 2 * linked >= n or k in controls)}
         kept = [(node, said, linked) for node, said, linked, inside in found if not gone.intersection(inside)]
         if kept:
             return kept
     return []
 
 
-def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int, ...]]]:
-    """Each block of the page with the numbers of the open elements that are perhaps boilerplate; words: whether classes and ids are read."""
+class Stack:
+    """Open elements, with the places of each tag's open ones, so that no search goes through the others."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.open: dict[str, list[int]] = {}
+
+    def push(self, tag: str, *more) -> None:
+        self.open.setdefault(tag, []).append(len(self.held))
+        self.held.append((tag, *more))
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def cut(self, k: int) -> None:
+        for tag, *_ in self.held[k:]:
+            self.open[tag].pop()
+        del self.held[k:]
+
+
+def _blocks(page: str, words: bool, tags: bool, controls: set[int]) -> Iterator[tuple[Node, str, int, tuple[int, ...]]]:
+    """Each block of the page with the numbers of the open elements that are perhaps boilerplate.
+
+    words: whether classes and ids are read; tags: whether headers, footers, asides and forms are left out; controls gets the numbers of those that hold controls."""
     root = Node("body", "body", None, 0)
     # an open element: tag, container it puts its text in, whether it is skipped, what it may be of boilerplate
-    stack: list[tuple[str, Node, bool, tuple[int, ...]]] = [("", root, False, ())]
-    holds = _holders(page) if words and _whole.search(page) else frozenset()
+    stack = Stack()
+    stack.push("", root, False, ())
+    holds = _holders(page) if (words or tags) and _whole.search(page) else frozenset()
     text: list[str] = []
-    linked, links, order, at = 0, 0, 0, 0
+    linked, order, at = 0, 0, 0
 
     def flush():
         nonlocal text, linked
@@ -129,20 +167,18 @@ def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int,
         n, text, linked = linked, [], 0
         return said, n
 
-    def close(k):
-        nonlocal links
-        for tag, _, _, _ in stack[k:]:
-            links -= tag == "a"
-        del stack[k:]
+    def done():
+        said, n = flush()
+        return (stack.held[-1][1], said, n, stack.held[-1][3]) if said else None
 
     end = len(page)
     while at < end:
         m = _token.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not stack[-1][2]:
+        if stop > at and not stack.held[-1][2]:
             part = page[at:stop]
             text.append(part)
-            if links:
+            if stack.open.get("a"):
                 linked += len(part)
         if not m:
             break
@@ -152,39 +188,31 @@ def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int,
             continue
         tag = tag.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCKS and (done := flush())[0]:
-                        yield stack[-1][1], *done, stack[-1][3]
-                    close(k)
-                    break
+            k = stack.last(tag)
+            if k > 0:
+                if tag in BLOCKS and (block := done()):
+                    yield block
+                stack.cut(k)
             continue
+        if tag in CONTROLS:
+            controls.update(stack.held[-1][3])
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = found.end() if found else end
             continue
         if tag in BLOCKS:
-            if (done := flush())[0]:
-                yield stack[-1][1], *done, stack[-1][3]
-            # implied ends
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" and tag in BLOCKS:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-            if tag in _CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _BARRIER[tag]:
-                        break
-                    if tag in _CLOSES.get(stack[k][0], ()):
-                        close(k)
-                        break
+            if block := done():
+                yield block
+            # implied ends: an open p has no block inside
+            if (k := stack.last("p")) > 0:
+                stack.cut(k)
+            if tag in _CLOSES and (k := stack.last(*(t for t, by in _CLOSES.items() if tag in by))) > stack.last(*_BARRIER[tag]):
+                stack.cut(k)
         elif tag == "br":
             text.append("\n")
         if tag in VOID:
             continue
-        _, holder, skipped, maybe = stack[-1]
+        _, holder, skipped, maybe = stack.held[-1]
         classes = ""
         if not skipped:
             raw = m["attrs"]
@@ -193,10 +221,22 @@ def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int,
                 for a in _attr.finditer(raw):
                     attrs.setdefault((a[1] or a[5]).lower(), a[2] or a[3] or a[4] or "")
                 classes = attrs.get("class", "")
-            if tag in SKIPPED:
+            within = stack.last(*WHOLE) > 0
+            around = m.start() in holds
+            if tag in FRAMES:
+                if tags and not around:
+                    if tag == "form":
+                        maybe = (*maybe, -m.start() - 1)
+                    elif within and tag != "footer":
+                        maybe = (*maybe, m.start())
+                    else:
+                        skipped = True
+            elif tag in SKIPPED:
                 skipped = True
-            elif attrs and tag not in ("html", "body"):
-                told = boiler(classes, attrs.get("id", "")) if words and tag not in WHOLE and m.start() not in holds else 0
+            if attrs and not skipped and tag not in ("html", "body"):
+                told = boiler(classes, attrs.get("id", "")) if words and tag not in WHOLE and not around else 0
+                if told == 2 and within and tag in TEXTS:
+                    told = 1
                 if told == 1:
                     maybe = (*maybe, m.start())
                 style = attrs.get("style", "").replace(" ", "").lower()
@@ -204,10 +244,9 @@ def _blocks(page: str, words: bool) -> Iterator[tuple[Node, str, int, tuple[int,
         if not skipped and tag in CONTAINERS and tag != "body":
             order += 1
             holder = Node(tag, _path(holder, _step(tag, classes)), holder, order)
-        links += tag == "a"
-        stack.append((tag, holder, skipped, maybe))
-    if (done := flush())[0]:
-        yield stack[-1][1], *done, stack[-1][3]
+        stack.push(tag, holder, skipped, maybe)
+    if block := done():
+        yield block
 
 
 _whole = re.compile(r"<(?:article|main)\b", re.I)
@@ -215,8 +254,9 @@ _whole = re.compile(r"<(?:article|main)\b", re.I)
 
 def _holders(page: str) -> frozenset[int]:
     """Where the tags begin of elements that are open around an article or main."""
-    stack: list[tuple[str, int]] = []
+    stack = Stack()
     found: set[int] = set()
+    known: dict[int, bool] = {}
     at = 0
     while m := _token.search(page, at):
         at = m.end()
@@ -227,15 +267,18 @@ def _holders(page: str) -> frozenset[int]:
             past = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = past.end() if past else len(page)
         elif m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if (k := stack.last(tag)) >= 0:
+                stack.cut(k)
         else:
             if tag in WHOLE:
                 # comments are articles of their own in some pages: what the words are sure of stays so
-                found.update(p for _, p in stack if not SURE.search(_attributes(page, p)))
-            stack.append((tag, m.start()))
+                for _, p in reversed(stack.held):
+                    if p in known:
+                        break  # and so is all around it
+                    known[p] = True
+                    if not SURE.search(_attributes(page, p)):
+                        found.add(p)
+            stack.push(tag, m.start())
     return frozenset(found)
 
 
@@ -247,10 +290,15 @@ def _attributes(page: str, at: int) -> str:
 
 
 def best_path(page: str) -> str | None:
-    """The path of the page's best container, by text in its blocks less links; half of it counts for the container around."""
+    """The path of the page's best container."""
+    return _best(blocks(page))
+
+
+def _best(found: list[tuple[Node, str, int]]) -> str | None:
+    """The best container's path, by text in its blocks less links; half of it counts for the container around."""
     scores: dict[str, float] = {}
     first: dict[str, int] = {}
-    for node, said, linked in blocks(page):
+    for node, said, linked in found:
         worth = max(0, len(said) - 2 * linked) * (1.25 if node.tag in ("article", "main") else 1.0)
         scores[node.path] = scores.get(node.path, 0) + worth
         first.setdefault(node.path, node.order)
@@ -300,11 +348,11 @@ def _article(found: list[tuple[Node, str, int]], path: str) -> list[str]:
 def main_text(page: str, paths: list[str]) -> str:
     """The article around the first of the paths that the page has, or around its own best container."""
     found = blocks(page)
-    for path in [*paths, best_path(page)]:
-        said = _article(found, path)
-        if said:
+    for path in paths:
+        if said := _article(found, path):
             return "\n\n".join(said)
-    return ""
+    own = _best(found)
+    return "\n\n".join(_article(found, own)) if own is not None else ""
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:

@@ -92,3 +92,36 @@ def test_long_paths_and_very_long_pages():
     text = "A paragraph of the very long page. " * 30
     got = htmlextract.main_text("<article>" + f"<p>{text}</p>" * 3000 + "</article>", [])
     assert got == "\n\n".join([text.strip()] * 3000)
+
+
+def test_class_words_and_tags_inside_an_article_take_no_text():
+    body = "A sentence of the story that says something of its own. " * 4
+    said = body.strip()
+    inside = lambda part: f"<article><p>{body}</p>{part}</article>"
+    kept = ["<section class='related-work'><p>X.</p></section>", "<div class='social-history'><p>X.</p></div>", "<p class='comment'>X.</p>", "<div class='menu-planning'><p>X.</p></div>", "<div class='modal-verbs'>X.</div>"]
+    kept += ["<div id='overlay-networks'>X.</div>", "<div class='subscription-model'>X.</div>", "<p class='sponsored-bill'>X.</p>", "<aside>X.</aside>", "<p class='notice'>X.</p>", "<header><h2>X.</h2></header>", "<li class='ad'>X."]
+    for part in kept:
+        assert htmlextract.main_text(inside(part), []) == f"{said}\n\nX.", part
+    gone = ["<div class='related-posts'><p>X.</p></div>", "<div class='ad'>X.</div>", "<section class='comments'><p>X.</p></section>", "<aside><a href='/'>X.</a></aside>", "<aside><p>X.</p><input name=q></aside>", "<footer>X.</footer>", "<nav>X.</nav>"]
+    gone += ["<form><p>X.</p><input name=q></form>", "<div class='related-work'><a href=x>X.</a></div>", "<div class='cookie-notice'>X.</div>", "<div class='newsletter-signup'><p>X.</p></div>", "<header><a href='/'>X.</a></header>"]
+    for part in gone:
+        assert htmlextract.main_text(inside(part), []) == said, part
+    assert htmlextract.main_text(f"<article><header><h1>Title</h1></header><p>{body}</p></article>", []) == f"Title\n\n{said}"
+    assert htmlextract.main_text(f"<header><h1>Site</h1></header><article><p>{body}</p></article>", []) == said
+    for frame in ("<body><form action='/' id='aspnetForm'>{}<input type=hidden></form></body>", "<header>{}</header>", "<form><nav>a b</nav>{}</form><div>small print</div>"):
+        assert said in htmlextract.main_text(frame.format(f"<div class='content'><p>{body}</p></div>"), []), frame
+    assert htmlextract.main_text(f"<form><article><p>{body}</p></article></form>", []) == said
+
+
+def test_unclosed_and_unmatched_tags_take_no_time():
+    import time
+
+    began = time.time()
+    assert htmlextract.main_text("<article><p>x" + "<b>" * 200_000 + "</i>" * 3000 + "y</article>", []) == "xy"
+    assert htmlextract.main_text("<article><table><tr><td>" + "<b>" * 50_000 + "<td>z" * 3000, []).count("z") == 3000
+    assert htmlextract.main_text("<div><article>" * 2000 + "deep", []) == "deep"
+    assert time.time() - began < 30
+
+
+def test_no_pages(spark):
+    assert htmlextract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
