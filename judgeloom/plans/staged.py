@@ -1,10 +1,13 @@
-"""Composite stages as queries over the documents, with a scripted responder that SQL can repeat."""
+"""Composite stages as queries over the documents: a scripted responder answers by the whole prompt, which SQL builds again."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import templates
 from ..sources import fixtures, responder
 from . import stages
 from .ratings import nudged, rounded
@@ -27,21 +30,44 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rating(name: str) -> str:
-    """The scripted rating of a request's id in SQL."""
-    return f"(('0x' || substr(md5({name}),1,6))::BIGINT % 5 + 1)"
+def _asked(framing: str, body: str) -> str:
+    """The prompt of a framing in SQL; body: an expression."""
+    slots = {"case_text": body, "article": "article", "article_title": f"CASE article WHEN '3' THEN '{templates.ARTICLE_TITLES['3']}' ELSE '{templates.ARTICLE_TITLES['8']}' END"}
+    parts = re.split(r"\{(\w+)\}", templates.TEMPLATES[framing])
+    quoted = lambda t: "'" + t.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
+    return "(" + "||".join(slots[x] if k % 2 else quoted(x) for k, x in enumerate(parts)) + ")"
+
+
+_SYSTEM = f"'system:{templates.SYSTEM}'||chr(10)||'user:'"
+
+
+def _hash(said: str, ids: str) -> str:
+    """The number that the scripted responder has for a request, in SQL."""
+    return f"('0x' || substr(md5({said} || '#' || {ids}),1,6))::BIGINT"
 
 
-def _voted(name: str, keys: str, ids: str, extra: str = "") -> str:
-    """Tables r_name (a rating a sample) and v_name (votes, means, ratings a case) over the grid of keys."""
-    return f"""r_{name} AS (SELECT *, {_rating(ids)} AS rating FROM (SELECT {keys}, case_name, violation_label, i FROM cs {extra}, range({SAMPLES}) t(i))),
-m_{name} AS (SELECT {keys}, any_value(violation_label) AS violation_label, string_agg(rating::VARCHAR, ',' ORDER BY i) AS ratings, avg(rating::DOUBLE) AS avg_rating FROM r_{name} GROUP BY {keys}),
+#: The first rating of a hash h: no answer and errors abstain.
+_FIRST = f"CASE WHEN h%{responder.SILENT}=0 OR h%{responder.FAILING}=0 THEN 3 ELSE h%5+1 END"
+_FULL = "substr(coalesce(text,''),1,50000)"
+
+
+def _tally(name: str, keys: str) -> str:
+    """Tables of votes, means and ratings a case (v_name) from a table r_name of a rating a sample."""
+    return f"""m_{name} AS (SELECT {keys}, any_value(violation_label) AS violation_label, string_agg(rating::VARCHAR, ',' ORDER BY i) AS ratings, avg(rating::DOUBLE) AS avg_rating FROM r_{name} GROUP BY {keys}),
 s_{name} AS (SELECT {keys}, CASE WHEN rating<3 THEN 'violation' WHEN rating>3 THEN 'no_violation' ELSE 'abstention' END AS side, count(*) AS n, min(i) AS f FROM r_{name} GROUP BY ALL),
 w_{name} AS (SELECT {keys}, side AS prediction FROM s_{name} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, f)=1),
 v_{name} AS (SELECT *, prediction = violation_label AS accurate FROM m_{name} JOIN w_{name} USING ({keys}))"""
 
 
-_BASE = _voted("b", KEY, "concat_ws('_', item_id, article, 'sample', i)")
+def _voted(name: str, keys: str, ids: str, prompt: str, source: str = "cs") -> str:
+    """r_name and v_name over the grid of keys, from prompts."""
+    return f"r_{name} AS (SELECT *, {_FIRST} AS rating FROM (SELECT {keys}, violation_label, i, {prompt} AS prompt, {_hash(_SYSTEM + '||' + prompt, ids)} AS h FROM {source}, range({SAMPLES}) t(i))),\n" + _tally(name, keys)
+
+
+_BASE = _voted("b", KEY, "concat_ws('_', item_id, article, 'sample', i)", _asked("predictive", _FULL))
+#: Summaries: what was answered, empty where nothing or an error was.
+_MADE = f"""made AS (SELECT {KEY}, text, violation_label, version, CASE WHEN h%{responder.SILENT}=0 OR h%{responder.FAILING}=0 THEN '' ELSE 'Answer: ' || (h%5+1) END AS summary
+FROM (SELECT *, {_hash(_SYSTEM + "||'Summarise:'||chr(10)||chr(10)||" + _FULL, "concat_ws('_', item_id, article, 'summary', version)")} AS h FROM cs, range(3) v(version)))"""
 
 
 def _said(df: DataFrame, *columns: str) -> DataFrame:
@@ -63,7 +89,7 @@ def stage_summaries(spark, sf_dir):
     return rounded(stages.summaries(_cases(spark, sf_dir), responder.scripted, "m"))
 
 
-STAGE_SUMMARIES = f"WITH {CASES}, g AS (SELECT {KEY}, version, concat_ws('_', item_id, article, 'summary', version) AS id FROM cs, range(3) v(version)) SELECT {KEY}, version, 'Answer: ' || {_rating('id')} AS summary FROM g"
+STAGE_SUMMARIES = f"WITH {CASES}, {_MADE} SELECT {KEY}, version, summary FROM made"
 
 
 def stage_on_summaries(spark, sf_dir):
@@ -73,7 +99,7 @@ def stage_on_summaries(spark, sf_dir):
     return rounded(got.groupBy("version").agg(F.count("*").alias("n"), F.avg(F.col("accurate").cast("double")).alias("accuracy"), F.avg(F.col("aligned").cast("double")).alias("alignment")))
 
 
-STAGE_ON_SUMMARIES = f"""WITH {CASES}, {_BASE}, {_voted("q", KEY + ", version", "concat_ws('_', item_id, article, version, 'sample', i)", ", range(3) v(version)")}
+STAGE_ON_SUMMARIES = f"""WITH {CASES}, {_MADE}, {_BASE}, {_voted("q", KEY + ", version", "concat_ws('_', item_id, article, version, 'sample', i)", _asked("predictive", "summary"), "made")}
 SELECT version, count(*) AS n, round(avg(q.accurate::INT::DOUBLE),6) AS accuracy, round(avg((q.prediction=b.prediction)::INT::DOUBLE),6) AS alignment FROM v_q q JOIN v_b b USING ({KEY}) GROUP BY version"""
 
 
@@ -84,7 +110,9 @@ def stage_on_framings(spark, sf_dir):
     return _said(got, "ratings").select("item_id", "article", "framing", "prediction", "accurate", "aligned_with_baseline", "ratings")
 
 
-STAGE_ON_FRAMINGS = f"""WITH {CASES}, {_BASE}, {_voted("q", KEY + ", framing", "concat_ws('_', item_id, article, framing, 'sample', i)", ", (VALUES ('predictive'),('normative'),('factual')) f(framing)")}
+_BODY = "coalesce(nullif(summary,''), substr(coalesce(text,''),1,5000))"
+_BY_FRAMING = "CASE framing " + " ".join(f"WHEN '{f}' THEN {_asked(f, _BODY)}" for f in templates.FRAMINGS) + " END"
+STAGE_ON_FRAMINGS = f"""WITH {CASES}, {_MADE}, {_BASE}, {_voted("q", KEY + ", framing", "concat_ws('_', item_id, article, framing, 'sample', i)", _BY_FRAMING, "(SELECT * FROM made WHERE version=0) made, (VALUES ('predictive'),('normative'),('factual')) f(framing)")}
 SELECT {KEY}, framing, q.prediction, q.accurate, q.prediction=b.prediction AS aligned_with_baseline, q.ratings FROM v_q q JOIN v_b b USING ({KEY})"""
 
 
@@ -94,7 +122,8 @@ def stage_reconsidered(spark, sf_dir):
     return _said(got, "original_ratings", "challenged_ratings").drop("case_name", "violation_label")
 
 
-STAGE_RECONSIDERED = f"""WITH {CASES}, {_BASE}, {_voted("a", KEY, "concat_ws('_', item_id, article, 'sample', i, 'followup')")},
+_AGAIN = _hash(f"{_SYSTEM}||prompt||chr(10)||'assistant:'||rating||chr(10)||'user:{stages.CHALLENGE}'", "concat_ws('_', item_id, article, 'sample', i, 'followup')")
+STAGE_RECONSIDERED = f"""WITH {CASES}, {_BASE}, r_a AS (SELECT * REPLACE (CASE WHEN g%{responder.SILENT}=0 THEN rating WHEN g%{responder.FAILING}=0 THEN 3 ELSE g%5+1 END AS rating) FROM (SELECT *, {_AGAIN} AS g FROM r_b)), {_tally("a", KEY)},
 d AS (SELECT {KEY}, avg((a.rating<>b.rating)::INT::DOUBLE) AS change_rate, string_agg(CASE WHEN a.rating>b.rating THEN 'away' WHEN a.rating<b.rating THEN 'toward' ELSE 'unchanged' END, ',' ORDER BY i) AS individual_changes FROM r_b b JOIN r_a a USING ({KEY}, i) GROUP BY ALL)
 SELECT {KEY}, b.ratings AS original_ratings, a.ratings AS challenged_ratings, b.prediction AS original_prediction, a.prediction AS challenged_prediction, b.accurate AS original_accurate, a.accurate AS challenged_accurate, b.prediction<>a.prediction AS prediction_changed, round(change_rate,6) AS change_rate, individual_changes FROM v_b b JOIN v_a a USING ({KEY}) JOIN d USING ({KEY})"""
 
@@ -105,7 +134,8 @@ def stage_matrix(spark, sf_dir):
     return rounded(stages.matrix(_cases(spark, sf_dir), texts, ["one", "two"], responder.scripted, SAMPLES))
 
 
-STAGE_MATRIX = f"""WITH {CASES}, {_voted("q", "evaluator, summary, " + KEY, "concat_ws('_', evaluator, summary, item_id, article, 'sample', i)", ", (VALUES ('full'),('head'),('none')) s(summary), (VALUES ('one'),('two')) e(evaluator)")},
+_TEXTS = "CASE summary WHEN 'full' THEN coalesce(text,'') WHEN 'head' THEN substr(coalesce(text,''),1,5000) ELSE '' END"
+STAGE_MATRIX = f"""WITH {CASES}, {_voted("q", "evaluator, summary, " + KEY, "concat_ws('_', evaluator, summary, item_id, article, 'sample', i)", _asked("predictive", _TEXTS), "cs, (VALUES ('full'),('head'),('none')) s(summary), (VALUES ('one'),('two')) e(evaluator)")},
 x AS (SELECT summary, evaluator, sum((rating=3)::INT)::DOUBLE/count(*) AS abstention_rate FROM r_q GROUP BY ALL)
 SELECT summary, evaluator, round(avg((CASE WHEN violation_label='violation' THEN avg_rating<3 ELSE avg_rating>3 END)::INT::DOUBLE),6) AS accuracy, round(any_value(abstention_rate),6) AS abstention_rate FROM v_q JOIN x USING (summary, evaluator) GROUP BY summary, evaluator"""
 

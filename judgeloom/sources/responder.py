@@ -57,11 +57,20 @@ def respond(asked: DataFrame, answer: Callable[[dict], str], workers: int = 50,
     return asked.mapInArrow(run, "custom_id string, response string")
 
 
+#: The scripted responder gives no answer to one request in SILENT, and an error to one in FAILING.
+SILENT, FAILING = 23, 19
+
+
 def scripted(asked: DataFrame) -> DataFrame:
-    """A rating between 1 and 5 from the request's id (the first six digits of its MD5), without Python."""
-    rating = F.pmod(F.conv(F.substring(F.md5("custom_id"), 1, 6), 16, 10).cast("long"), F.lit(5)) + 1
-    return asked.select("custom_id", F.concat(F.lit("Answer: "), rating.cast("string")).alias("response"))
+    """Answers from what is asked, without Python: a rating from 1 to 5 by the MD5 of all messages and the id, some errors, some requests unanswered."""
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    h = F.conv(F.substring(F.md5(F.concat(said, F.lit("#"), "custom_id")), 1, 6), 16, 10).cast("long")
+    held = asked.select("custom_id", h.alias("h")).where(F.col("h") % SILENT != 0)
+    return held.select("custom_id", F.when(F.col("h") % FAILING == 0, "ERROR: 429").otherwise(F.concat(F.lit("Answer: "), (F.col("h") % 5 + 1).cast("string"))).alias("response"))
 
 
 def scripted_answer(request: dict) -> str:
-    return f"Answer: {int(hashlib.md5(request['custom_id'].encode()).hexdigest()[:6], 16) % 5 + 1}"
+    """The same for one request; an empty text is no answer."""
+    said = "\n".join(f"{m['role']}:{m['content']}" for m in request["messages"])
+    h = int(hashlib.md5(f"{said}#{request['custom_id']}".encode()).hexdigest()[:6], 16)
+    return "" if h % SILENT == 0 else "ERROR: 429" if h % FAILING == 0 else f"Answer: {h % 5 + 1}"
