@@ -41,6 +41,19 @@ def mcnemar(n01: Column, n10: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(largest) * sums))
 
 
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) for z of 0 or more: the series of the distribution function, whose terms fall from the square of z on; 0 beyond 8."""
+    x = F.least(z.cast("double"), F.lit(8.0))
+    start = F.struct(x.alias("t"), x.alias("s"))
+
+    def add(a: Column, k: Column) -> Column:
+        t = a["t"] * x * x / (2 * k + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, add, lambda a: a["s"])
+    return F.when(z > 8, 0.0).otherwise(F.greatest(F.lit(0.0), 0.5 - series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)))
+
+
 def wilson(k: Column, n: Column, ci: float = 0.95) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval, inside 0 and 1; null for n = 0."""
     z = Z95 if ci == 0.95 else NormalDist().inv_cdf(0.5 + ci / 2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ratings as R
 from ..functions import stats
 from ..functions.templates import title
-from ..operators import bootstrap, pairing, reduce, tables
+from ..operators import bootstrap, pairing, reduce, running, tables
 from ..sources import fixtures
 
 KEYS = ["evaluator", "framing", "case_id", "art"]
@@ -380,10 +380,10 @@ RUN_COMPARISON = f"WITH {CASES}, g AS (SELECT evaluator, avg(is_accurate::INT::D
 
 
 def running_accuracy(spark, sf_dir):
-    """Accuracy over the cases so far, in order, for each evaluator and article: the groups bound a window's task."""
-    over = Window.partitionBy("evaluator", "art").orderBy("case_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = judged(spark, sf_dir, "predictive")
-    return rounded(rows.select("evaluator", "art", "case_id", F.avg(F.col("is_accurate").cast("double")).over(over).alias("so_far")))
+    """Accuracy over the cases so far, in order, for each evaluator and article: running sums by ranges, no window over a group."""
+    rows = judged(spark, sf_dir, "predictive").select("evaluator", "art", "case_id", "is_accurate")
+    so_far = running.totals(rows, ["evaluator", "art"], "case_id", {"right": F.col("is_accurate").cast("long"), "n": F.lit(1)})
+    return rounded(so_far.select("evaluator", "art", "case_id", (F.col("right") / F.col("n")).alias("so_far")))
 
 
 RUNNING_ACCURACY = f"WITH {CASES} SELECT evaluator, art::BIGINT AS art, case_id, round(avg(is_accurate::INT::DOUBLE) OVER (PARTITION BY evaluator, art ORDER BY case_id ROWS UNBOUNDED PRECEDING),6) AS so_far FROM cases WHERE framing='predictive'"

@@ -1,7 +1,6 @@
-"""Continuous refresh of a corpus: each micro-batch of new rows is merged into the stored table.
+"""Continuous refresh of a corpus: each micro-batch of new rows is merged into a stored table, partition by partition.
 
-The stored table is a chain of Parquet versions; a batch writes version <batch id> from the one before, so
-that a batch which runs again after a failure writes the same version, and readers always see a whole one.
+A batch is the version of its number, so one that runs again after a failure changes nothing; it rewrites the buckets its own keys are in.
 """
 
 from __future__ import annotations
@@ -9,28 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import upsert
-from ..sources.readers import exists
+from ..operators.store import BUCKETS, Store
 
 
 def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """The latest whole version (below before, if given)."""
-    if not exists(spark, f"{folder}/version=*/_SUCCESS"):
-        return None
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
-    numbers = [n for n in numbers if before is None or n < before]
-    return spark.read.parquet(f"{folder}/version={max(numbers)}") if numbers else None
+    store = Store(spark, folder, [], "")
+    known = [v for v in store.versions() if before is None or v < before]
+    return store.read(known[-1]) if known else None
 
 
-def run(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
+def run(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Merge a stream of rows into the table at folder, new rows winning; stops when the available input is used."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current(spark, folder, number)
-        merged = upsert(before if before is not None else batch.limit(0), batch, keys, order).drop("place", "place_source")
-        merged.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        Store(batch.sparkSession, folder, keys, order, buckets).upsert(batch, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
