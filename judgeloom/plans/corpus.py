@@ -13,12 +13,34 @@ from ..schemas import schema
 from ..sources import fixtures
 from .ratings import nudged, rounded
 
-CASES = """cs AS (SELECT doc_id AS ord, doc_id::VARCHAR AS item_id, 'CASE OF ' || source || ' v. ' || upper(lang) AS case_name, source, lang, text,
+def _list(values: tuple[str, ...], at: str) -> str:
+    return "[" + ",".join("'" + v.replace("'", "''") + "'" for v in values) + f"][{at}%{len(values)}+1]"
+
+
+CASES = f"""cs AS (SELECT doc_id AS ord, doc_id::VARCHAR AS item_id, 'CASE OF ' || source || ' v. ' || upper(lang) AS case_name, source, lang, text,
   CASE WHEN doc_id%3=0 THEN 'No violation of Article 8; Violation of Article 3; Violation of Article P1-1' WHEN doc_id%3=1 THEN 'Violation of Article 6-1' ELSE 'Struck out of the list' END AS conclusion,
-  CASE WHEN doc_id%3=0 THEN text || chr(10) || 'THE COURT''S ASSESSMENT' || chr(10) || text WHEN doc_id%3=1 THEN text || '. Filler. The Court concludes that there has been a violation of Article 3. ' || text ELSE text END AS full_case_text,
+  CASE WHEN doc_id%3=0 THEN text || chr(10) || {_list(fixtures.ASSESSMENTS, "(doc_id//3)")} || chr(10) || text WHEN doc_id%3=1 THEN text || '. Filler. ' || {_list(fixtures.CONCLUSIONS, "(doc_id//3)")} || '. ' || text
+    WHEN (doc_id//3)%3=2 THEN 'Holds that it leaks' || chr(10) || text || '. Holds that there is more.' || chr(10) || text ELSE text END AS full_case_text,
   (DATE '2020-01-01' + doc_id::INT)::VARCHAR AS decision_date FROM documents)"""
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _before(text: str, pattern: str) -> str:
+    """SQL: the text up to the last full stop before a pattern's first match, or null."""
+    return f"CASE WHEN regexp_matches({text},{_quoted('(?i)' + pattern)}) THEN nullif(regexp_extract(regexp_extract({text},{_quoted('(?s)' + chr(92) + 'A(.*?)(?i-s:' + pattern + ')')},1),'(?s)\\A(.+\\.)',1),'') END"
+
+
+def _cut(text: str) -> str:
+    """SQL: a struct of what truncation keeps of a text, and how it found that."""
+    marks = "|".join(X.MARKERS)
+    kept = "coalesce(" + ",".join(_before(text, p) for p in X.CONCLUSORY) + ")"
+    return f"""CASE WHEN regexp_matches({text},{_quoted('(?im)' + marks)}) THEN struct_pack(text := regexp_replace(regexp_extract({text},{_quoted('(?s)' + chr(92) + 'A(.*?)(?im:' + marks + ')')},1),'\\s+$',''), method := '{X.MARKED}')
+WHEN {kept} IS NOT NULL THEN struct_pack(text := regexp_replace({kept},'\\s+$',''), method := '{X.CONCLUDED}') ELSE struct_pack(text := {text}, method := '{X.NO_TRUNCATION}') END"""
+
+
 def conclusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and outcomes of each conclusion; cases without any stay as unknown."""
     return corpus.pairs(fixtures.cases(spark, sf_dir)).select("item_id", "article", "violation_label")
@@ -34,9 +56,8 @@ def truncation(spark, sf_dir):
     return rounded(out.select("item_id", "verdict_removal_method", "original_length", "verdict_free_length", "retention_percentage", "excluded", F.md5("full_case_text_no_verdict").alias("text_md5")))
 
 
-_WS = "'\\s+$'"
-TRUNCATION = f"""WITH {CASES}, t AS (SELECT *, CASE WHEN ord%3=0 THEN regexp_replace(string_split(full_case_text, chr(10) || 'THE COURT''S ASSESSMENT' || chr(10))[1],{_WS},'') WHEN ord%3=1 THEN text || '. Filler.' ELSE full_case_text END AS cut FROM cs)
-SELECT item_id, CASE ord%3 WHEN 0 THEN 'court_assessment_start' WHEN 1 THEN 'aggressive_fix: conclusory_pattern' ELSE 'no_truncation' END AS verdict_removal_method, length(full_case_text) AS original_length, length(cut) AS verdict_free_length, round(100.0::DOUBLE*length(cut)/length(full_case_text),6) AS retention_percentage, length(cut)<500 AS excluded, md5(cut) AS text_md5 FROM t"""
+TRUNCATION = f"""WITH {CASES}, t AS (SELECT item_id, full_case_text, u.text AS cut, u.method AS method FROM (SELECT *, {_cut("full_case_text")} AS u FROM cs))
+SELECT item_id, method AS verdict_removal_method, length(full_case_text) AS original_length, length(cut) AS verdict_free_length, round(100.0::DOUBLE*length(cut)/length(full_case_text),6) AS retention_percentage, length(cut)<500 AS excluded, md5(cut) AS text_md5 FROM t"""
 
 
 def truncation_stats(spark, sf_dir):
@@ -48,21 +69,43 @@ def truncation_stats(spark, sf_dir):
 TRUNCATION_STATS = f"WITH t AS ({TRUNCATION.replace('round(100.0::DOUBLE*length(cut)/length(full_case_text),6)', '100.0::DOUBLE*length(cut)/length(full_case_text)')}) SELECT verdict_removal_method, count(*) AS n, round(avg(retention_percentage),6) AS mean_retention, count(*) FILTER (excluded) AS excluded, count(*) FILTER (NOT excluded AND verdict_removal_method='no_truncation') AS to_verify FROM t GROUP BY ALL"
 
 
+#: What a verifier quotes in another case than the text has it: its beginning is found, the rest isn't.
+_QUOTED_FROM, _QUOTED = 300, 70
+_CASES = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def repair(spark, sf_dir):
-    """Two verifiers' sentences removed from untouched texts: the first line where it occurs, or a cut before it."""
+    """Two verifiers' sentences removed from texts that nothing truncated: the first line where it stands, a misquoted one by a cut before it, conclusions that are left cut behind it."""
     out = corpus.truncated(fixtures.cases(spark, sf_dir)).where("verdict_removal_method = 'no_truncation'")
     line = F.split("full_case_text", "\n", 2)[0]
-    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct((F.col("ord") % 2 == 0).alias("leaks_verdict"), F.array(line).alias("leaking_sentences"))), F.lit("\n```"))
+    quoted = F.concat(F.translate(F.substring("full_case_text", _QUOTED_FROM, _QUOTED), *_CASES), F.lit(" and so on"))
+    turn = F.floor(F.col("ord") / 3) % 3
+    sentence = F.when(turn == 1, quoted).otherwise(line)
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct((F.col("ord") % 7 != 0).alias("leaks_verdict"), F.array(sentence).alias("leaking_sentences"))), F.lit("\n```"))
     responses = out.select("item_id", F.lit("a").alias("verifier"), answer.alias("response")).unionByName(out.select("item_id", F.lit("b").alias("verifier"), F.lit("no json").alias("response")))
     leaks = corpus.verdicts(responses, ["item_id"]).where("leaks")
     done = corpus.repaired(out.join(leaks, "item_id"))
     return rounded(done.select("item_id", "verdict_removal_method", "verdict_free_length", "retention_percentage", "excluded", "exclusion_reason", F.md5("full_case_text_no_verdict").alias("text_md5")))
 
 
-REPAIR = f"""WITH {CASES}, u AS (SELECT item_id, full_case_text AS t, length(full_case_text) AS n, regexp_replace(regexp_replace(string_split(full_case_text,chr(10))[1],'^\\s+',''),'\\s+$','') AS line FROM cs WHERE ord%3=2 AND ord%2=0),
-r AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN line='' THEN t ELSE substr(t,1,strpos(t,line)-1) || substr(t,strpos(t,line)+length(line)) END,'^\\s+',''),'\\s+$','') AS cut FROM u)
-SELECT item_id, CASE WHEN line='' THEN 'no_truncation' ELSE 'no_truncation; surgical_fix: removed leaking sentence' END AS verdict_removal_method, CASE WHEN length(cut)<500 THEN n ELSE length(cut) END AS verdict_free_length, round(CASE WHEN length(cut)<500 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE*length(cut)/n END,6) AS retention_percentage,
-n<500 OR length(cut)<500 AS excluded, CASE WHEN length(cut)<500 THEN 'too_short_after_repair' WHEN n<500 THEN 'too_short' ELSE '' END AS exclusion_reason, md5(CASE WHEN length(cut)<500 THEN t ELSE cut END) AS text_md5 FROM r"""
+def _cleaned() -> str:
+    """SQL: tables c0 to c13, in each of which one pattern has cut what the ones before have left."""
+    out = []
+    for k, p in enumerate(X.CONCLUSORY):
+        kept = _before("t", p)
+        out.append(f"c{k + 1} AS (SELECT * EXCLUDE (k), coalesce(regexp_replace(k,'\\s+$',''),t) AS t, method || CASE WHEN k IS NULL THEN '' ELSE '{X.CLEANED}' END AS method FROM (SELECT * EXCLUDE (t, method), t, method, {kept} AS k FROM c{k}) x)".replace("SELECT * EXCLUDE (k), coalesce", "SELECT * EXCLUDE (k, t, method), coalesce"))
+    return ", ".join(out)
+
+
+_STRIPPED = "regexp_replace(regexp_replace({},'^\\s+',''),'\\s+$','')"
+REPAIR = f"""WITH {CASES}, u AS (SELECT item_id, ord, full_case_text AS t0, length(full_case_text) AS n, CASE WHEN (ord//3)%3=1 THEN translate(substr(full_case_text,{_QUOTED_FROM},{_QUOTED}),'{_CASES[0]}','{_CASES[1]}') || ' and so on' ELSE string_split(full_case_text,chr(10))[1] END AS s FROM cs WHERE ord%7<>0 AND ({_cut("full_case_text")}).method = '{X.NO_TRUNCATION}'),
+w AS (SELECT *, {_STRIPPED.format("s")} AS p, strpos(lower(t0), substr(lower(s),1,50)) AS f FROM u),
+x AS (SELECT *, s<>'' AND p<>'' AND strpos(t0,p)>0 AS exact, regexp_extract(substr(t0,1,f-1),'(?s)\\A(.+\\.)',1) AS kept FROM w),
+c0 AS (SELECT item_id, n, t0, CASE WHEN exact THEN substr(t0,1,strpos(t0,p)-1) || substr(t0,strpos(t0,p)+length(p)) WHEN s<>'' AND f>1 AND kept<>'' THEN regexp_replace(kept,'\\s+$','') ELSE t0 END AS t,
+'{X.NO_TRUNCATION}' || CASE WHEN exact THEN '{X.REMOVED}' WHEN s<>'' AND f>1 AND kept<>'' THEN '{X.CUT}' ELSE '' END AS method FROM x), {_cleaned()},
+r AS (SELECT *, {_STRIPPED.format("t")} AS cut FROM c{len(X.CONCLUSORY)})
+SELECT item_id, method AS verdict_removal_method, CASE WHEN length(cut)<500 THEN n ELSE length(cut) END AS verdict_free_length, round(CASE WHEN length(cut)<500 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE*length(cut)/n END,6) AS retention_percentage,
+n<500 OR length(cut)<500 AS excluded, CASE WHEN length(cut)<500 THEN 'too_short_after_repair' WHEN n<500 THEN 'too_short' ELSE '' END AS exclusion_reason, md5(CASE WHEN length(cut)<500 THEN t0 ELSE cut END) AS text_md5 FROM r"""
 
 
 def html_lines(spark, sf_dir):

@@ -38,18 +38,31 @@ def samples(spark: SparkSession, sf_dir: str, *framings: str) -> DataFrame:
     return rows.select("case_id", "art", "evaluator", "violation_label", "framing", "sample_idx", rating.alias("rating"))
 
 
+#: A line for each of the beginnings of an assessment, and a sentence for each of the patterns of a conclusion, in their order.
+ASSESSMENTS = (
+    "II. THE COURT'S ASSESSMENT", "III. MERITS", "IV. THE MERITS", "THE COURT’S ASSESSMENT", "MERITS", "FOR THESE REASONS", "OPERATIVE PROVISIONS", "V. APPLICATION OF ARTICLE 41", "APPLICATION OF ARTICLE 41", "ARTICLE 41",
+    "Next: the Court will now assess it", "The Court will first examine it", "The Court must therefore determine it", "The Court will examine the merits", "The Court notes at the outset that", "The Court observes that the parties", "Turning to the merits", "As to the merits",
+)
+CONCLUSIONS = (
+    "The Court finds that there has been a violation here", "It holds that there has not been a breach", "In sum there has been a violation of Article 3", "There has been a breach of Article 8", "There was no violation of Article 6", "The State violated Article 3", "Accordingly, the Court holds so",
+    "It follows that there has been none", "In the light of the above it finds so", "The Court therefore concludes so", "It dismisses the application", "Holds that it is so", "Decides that it is so",
+)
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case documents: texts with an injected assessment or conclusion, labels, dates, respondents."""
+    """Case documents: texts with an injected assessment or conclusion, labels, dates, respondents. Of the rest every third begins with a conclusion that nothing can be cut before."""
     docs = table(spark, sf_dir, "documents")
-    third = F.col("doc_id") % 3
-    marker = F.concat(F.lit("\nTHE COURT'S ASSESSMENT\n"), "text")
-    said = F.concat(F.lit(". Filler. The Court concludes that there has been a violation of Article 3. "), "text")
+    third, turn = F.col("doc_id") % 3, F.floor(F.col("doc_id") / 3)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (turn % len(values) + 1).cast("int"))
+    marker = F.concat(F.lit("\n"), of(ASSESSMENTS), F.lit("\n"), "text")
+    said = F.concat(F.lit(". Filler. "), of(CONCLUSIONS), F.lit(". "), "text")
+    twice = F.concat(F.lit("Holds that it leaks\n"), "text", F.lit(". Holds that there is more.\n"), "text")
     return docs.select(
         F.col("doc_id").alias("ord"),
         F.col("doc_id").cast("string").alias("item_id"),
         F.concat(F.lit("CASE OF "), "source", F.lit(" v. "), F.upper("lang")).alias("case_name"),
         F.when(third == 0, "No violation of Article 8; Violation of Article 3; Violation of Article P1-1").when(third == 1, "Violation of Article 6-1").otherwise("Struck out of the list").alias("conclusion"),
-        F.when(third == 0, F.concat("text", marker)).when(third == 1, F.concat("text", said)).otherwise(F.col("text")).alias("full_case_text"),
+        F.when(third == 0, F.concat("text", marker)).when(third == 1, F.concat("text", said)).when(turn % 3 == 2, twice).otherwise(F.col("text")).alias("full_case_text"),
         F.date_add(F.to_date(F.lit("2020-01-01")), F.col("doc_id").cast("int")).cast("string").alias("decision_date"),
         F.col("lang").alias("lang"),
         F.col("source").alias("source"),
