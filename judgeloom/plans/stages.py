@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ratings as R
 from ..functions import templates
+from ..functions import text as X
 from ..operators import corpus, pairing, reduce, tables
+from ..operators.steps import Run, Step
+from ..operators.store import Store
 from ..sources import responder, search
 from ..sources.readers import fresh
 
@@ -142,6 +145,48 @@ def without_verdicts(cases: DataFrame, verifiers: dict[str, Callable[[DataFrame]
     return cut.where(~corpus.needs_verification(cut)).unionByName(found.where(~leaking).drop("leaks", "sentences")).unionByName(mended.select(*cut.columns))
 
 
+#: Where a search begins that has nothing to go on from.
+EPOCH = "2020-01-01"
+
+
+def live_steps(spark, store: Store, find: search.Search, fetch: search.Fetch, verifiers: dict[str, Callable[[DataFrame], DataFrame]], today: str, since: str = "", country: str = "") -> dict[str, Step]:
+    """The steps of a refresh: plan, hits, new, cases, clean. The search begins a day before the latest date that the store has, and ends with nothing where that is today."""
+
+    def plan() -> DataFrame:
+        existing = store.read()
+        dates = existing.select("decision_date") if existing is not None else spark.createDataFrame([], "decision_date string")
+        day = F.date_sub(F.try_to_date("high_water", "yyyy-MM-dd"), 1).cast("string")
+        begin = F.lit(since) if since else F.coalesce(day, F.lit(EPOCH))
+        return tables.high_water(dates, "decision_date").select("high_water", begin.alias("since"), (begin >= F.lit(today)).alias("up_to_date"))
+
+    def hits(planned: DataFrame) -> DataFrame:
+        row = planned.first()
+        found = corpus.metadata(search.hits(spark, find, search.query(row["since"], country=country)).select(F.struct("columns.*").alias("columns")))
+        return found.limit(0) if row["up_to_date"] else tables.dedupe(found.withColumn("__ord", F.col("decision_date")), ["item_id"], "__ord", "first").drop("__ord")
+
+    def new(found: DataFrame) -> DataFrame:
+        existing = store.read()
+        return found if existing is None else tables.unseen(found, existing, ["item_id"])
+
+    def cases(rows: DataFrame) -> DataFrame:
+        got = search.documents(rows, fetch).where(F.length("full_case_text") >= X.MIN_LENGTH)
+        return corpus.pairs(got.select("item_id", "case_name", "decision_date", "respondent", "conclusion", "full_case_text")).drop("conclusion")
+
+    return {"plan": ([], plan), "hits": (["plan"], hits), "new": (["hits"], new), "cases": (["new"], cases), "clean": (["cases"], lambda rows: without_verdicts(rows, verifiers))}
+
+
+def live(spark, store: Store, folder: str, find: search.Search, fetch: search.Fetch, verifiers: dict[str, Callable[[DataFrame], DataFrame]], version: int, today: str, since: str = "", country: str = "") -> list[int]:
+    """One refresh of a store of cases (keys item_id and article, order ord): what the search has new, without verdicts, merged as a version.
+
+    folder keeps the steps, so a refresh that was stopped goes on where it was; a version that is there is left as it is. Returns the buckets that were rewritten; none, and no version, where nothing is new."""
+    if version in store.versions():
+        return []
+    clean = Run(spark, live_steps(spark, store, find, fetch, verifiers, today, since, country), folder).table("clean")
+    if clean.isEmpty():
+        return []
+    return store.upsert(clean.withColumn("ord", F.monotonically_increasing_id()), version)
+
+
 def refresh(existing: DataFrame, incoming: DataFrame, by_item: bool = True) -> DataFrame:
     """existing with the incoming rows that it lacks: by case, or by case and article with newer rows winning."""
     new = tables.unseen(incoming, existing, ["item_id"]) if by_item else incoming

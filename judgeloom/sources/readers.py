@@ -88,10 +88,25 @@ def filtered_cases(df: DataFrame, **bounds: str | None) -> DataFrame:
     return df
 
 
-def jdbc_cases(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, **bounds: str | None) -> DataFrame:
-    """A table of cases over JDBC: filters and columns are pushed to the database."""
+def date_parts(column: str, first: str, last: str, n: int) -> list[str]:
+    """n conditions that cut a text column of ISO dates into ranges; together they are met by every row once, null included."""
+    from datetime import date, timedelta
+
+    low, high = date.fromisoformat(first), date.fromisoformat(last)
+    cuts = sorted({(low + timedelta(days=(high - low).days * k // n)).isoformat() for k in range(1, n)})
+    if not cuts:
+        return ["1 = 1"]
+    return [f"{column} < '{cuts[0]}' OR {column} IS NULL", *(f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:], strict=False)), f"{column} >= '{cuts[-1]}'"]
+
+
+def jdbc_cases(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, parts: tuple[str, str, str, int] | None = None, **bounds: str | None) -> DataFrame:
+    """A table of cases over JDBC: filters and columns are pushed to the database. parts: a column of dates, its ends, and into how many reads they are cut."""
     columns = ["item_id", "doc_name", "conclusion", "full_text", "respondent", "kp_date", "language_iso"]
-    return filtered_cases(spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load().select(*columns), **bounds).orderBy("kp_date")
+    if parts:
+        rows = spark.read.jdbc(url, table, predicates=date_parts(*parts), properties=options or {})
+    else:
+        rows = spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load()
+    return filtered_cases(rows.select(*columns), **bounds).orderBy("kp_date")
 
 
 def fresh(df: DataFrame, path: str, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A paged search service as a Spark data source: one partition a page, documents fetched by id.
+"""Search expressions, hits through the ``paged_search`` source, documents fetched by id.
 
 The transport is a function (query, start, length) -> (total, hits), so that a service, a folder of saved
 pages or a test stands behind it alike.
@@ -6,17 +6,17 @@ pages or a test stands behind it alike.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import schema
+from . import paged
 
-PAGE, SHORTEST = 50, 100
-Search = Callable[[str, int, int], tuple[int, list[dict]]]
+PAGE, SHORTEST = paged.PAGE, 100
+Search = paged.Service
 Fetch = Callable[[str], str | None]
 
 
@@ -33,23 +33,9 @@ def query(since: str = "", until: str = "", country: str = "", language: str = "
 
 
 def hits(spark: SparkSession, search: Search, expression: str, page: int = PAGE) -> DataFrame:
-    """All hits of a search: the first answer gives the number, each further page is one task's request."""
-    total, first = search(expression, 0, page)
-    fields = schema("hit")
-    if not first:
-        return spark.createDataFrame([], fields)
-
-    def read(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for start in b["id"]:
-                got = search(expression, int(start), page)[1]
-                yield pd.DataFrame({"hit": [json.dumps(h) for h in got]})
-
-    pages = -(-total // page)
-    rows = spark.range(0, pages * page, page, max(1, min(pages, 64))).mapInPandas(read, "hit string")
-    return rows.select(F.from_json("hit", fields).alias("h")).select("h.*")
+    """All hits of a search, a page a partition of the ``paged_search`` source, with their places."""
+    rows = spark.read.format(paged.source(spark, search)).option("query", expression).option("page", page).load()
+    return rows.select(F.from_json("hit", schema("hit")).alias("h"), "place").select("h.*", "place")
 
 
 def documents(rows: DataFrame, fetch: Fetch, key: str = "item_id") -> DataFrame:

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from judgeloom.plans import corpus, ratings, staged
+from judgeloom.plans import acquired, corpus, paired, ratings, staged
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-OWN = ratings.QUERIES | corpus.QUERIES | staged.QUERIES
+OWN = ratings.QUERIES | paired.QUERIES | corpus.QUERIES | acquired.QUERIES | staged.QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no synthetic tables here")
 
 
