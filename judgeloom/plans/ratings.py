@@ -194,7 +194,7 @@ def directional_samples(spark, sf_dir):
     return rounded(pairing.directions(_sample_pairs(spark, sf_dir), ["evaluator"], F.col("before"), F.col("after"), False))
 
 
-_SP = "sp AS (SELECT b.evaluator, b.case_id, b.art, b.sample_idx, b.rating AS x, o.rating AS y FROM samples b JOIN samples o USING (evaluator,case_id,art,sample_idx) WHERE b.framing='predictive' AND o.framing='factual')"
+_SP = "sp AS (SELECT evaluator, case_id, art, sample_idx, max(rating) FILTER (framing='predictive') AS x, max(rating) FILTER (framing='factual') AS y FROM samples WHERE framing <> 'normative' GROUP BY evaluator, case_id, art, sample_idx)"
 DIRECTIONAL_SAMPLES = f"WITH {SAMPLES}, {_SP} " + _direction_sql("sp", "evaluator", "x", "y", "<", ">")
 
 

@@ -130,7 +130,11 @@ def scrape(spark, find: search.Search, fetch: search.Fetch, expression: str, exi
 
 def without_verdicts(cases: DataFrame, verifiers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Truncation, verification of what no pattern truncated, repair of what leaks. A verifier maps (item_id, article, text) to (item_id, article, response)."""
-    cut = corpus.truncated(cases)
+    return verified(corpus.truncated(cases), verifiers)
+
+
+def verified(cut: DataFrame, verifiers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The second half of it, for truncated cases (best a written table, for they are read for every verifier)."""
     check = cut.where(corpus.needs_verification(cut))
     asked = check.select(*KEY, F.col("full_case_text_no_verdict").alias("text"))
     answers = None
@@ -150,7 +154,7 @@ EPOCH = "2020-01-01"
 
 
 def live_steps(spark, store: Store, find: search.Search, fetch: search.Fetch, verifiers: dict[str, Callable[[DataFrame], DataFrame]], today: str, since: str = "", country: str = "") -> dict[str, Step]:
-    """The steps of a refresh: plan, hits, new, cases, clean. The search begins a day before the latest date that the store has, and ends with nothing where that is today."""
+    """The steps of a refresh: plan, hits, new, cases, cut, clean. The search begins a day before the latest date that the store has, and ends with nothing where that is today."""
 
     def plan() -> DataFrame:
         existing = store.read()
@@ -172,7 +176,7 @@ def live_steps(spark, store: Store, find: search.Search, fetch: search.Fetch, ve
         got = search.documents(rows, fetch).where(F.length("full_case_text") >= X.MIN_LENGTH)
         return corpus.pairs(got.select("item_id", "case_name", "decision_date", "respondent", "conclusion", "full_case_text")).drop("conclusion")
 
-    return {"plan": ([], plan), "hits": (["plan"], hits), "new": (["hits"], new), "cases": (["new"], cases), "clean": (["cases"], lambda rows: without_verdicts(rows, verifiers))}
+    return {"plan": ([], plan), "hits": (["plan"], hits), "new": (["hits"], new), "cases": (["new"], cases), "cut": (["cases"], corpus.truncated), "clean": (["cut"], lambda rows: verified(rows, verifiers))}
 
 
 def live(spark, store: Store, folder: str, find: search.Search, fetch: search.Fetch, verifiers: dict[str, Callable[[DataFrame], DataFrame]], version: int, today: str, since: str = "", country: str = "") -> list[int]:
