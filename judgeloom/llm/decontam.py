@@ -45,8 +45,9 @@ UNITS = frozenset(
     "pound pounds ounce ounces ton tons tonne tonnes liter liters litre litres second seconds minute minutes hour hours day days week weeks month months "
     "year years percent degree degrees dollar dollars euro euros cent cents".split()
 )
-_C1 = np.uint64(0x9E3779B97F4A7C15)
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED02)
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+_KINDS = mix(np.arange(4, dtype=np.uint64))
 # flags of a chunk between white space
 _CAP, _NUM, _UNIT, _ENDS, _EMPTY = 1, 2, 4, 8, 16
 _inner = re.compile(r"[^\w]+|_+")
@@ -82,55 +83,89 @@ class Chunks(dict):
 _chunks = Chunks()
 
 
-def template(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kinds and hashes of the template tokens, and the number of the first chunk of each."""
-    packed = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks))
-    at = np.flatnonzero((packed & np.uint64(_EMPTY)) == 0)
-    packed = packed[at]
-    flags = (packed & np.uint64(31)).astype(np.int64)
-    starts = np.ones(len(flags), bool)
-    starts[1:] = (flags[:-1] & _ENDS) != 0
-    kind = np.where((flags & _NUM) != 0, NUMBER, np.where(((flags & _CAP) != 0) & ~starts, NAME, LITERAL))
-    after = np.zeros(len(flags), bool)
-    after[1:] = kind[:-1] == NUMBER
-    kind[after & ((flags & _UNIT) != 0)] = UNIT
-    keep = np.ones(len(kind), bool)
-    keep[1:] = ~((kind[1:] == kind[:-1]) & (kind[1:] == NAME) & ~starts[1:])
-    value = np.where(kind == LITERAL, packed & ~np.uint64(31), kind.astype(np.uint64))
-    return kind[keep], value[keep], at[keep]
+def template(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds and hashes of the template tokens, the number of the first chunk of each, and what all chunks say (hashes)."""
+    every = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks))
+    said = every & ~np.uint64(31)
+    flags = (every & np.uint64(31)).astype(np.uint8)
+    at = np.flatnonzero((flags & _EMPTY) == 0)
+    if len(at) < len(flags):
+        flags = flags[at]
+    value = said[at]
+    kind = np.zeros(len(flags), np.int64)
+    if (flags & (_NUM | _CAP)).any():
+        starts = np.ones(len(flags), bool)
+        starts[1:] = (flags[:-1] & _ENDS) != 0
+        number, name = (flags & _NUM) != 0, ((flags & _CAP) != 0) & ~starts
+        name &= ~number
+        kind[number], kind[name] = NUMBER, NAME
+        if number.any():
+            unit = np.zeros(len(flags), bool)
+            unit[1:] = number[:-1] & ((flags[1:] & _UNIT) != 0)
+            kind[unit] = UNIT
+        value = np.where(kind == LITERAL, value, _KINDS[kind])
+        keep = np.ones(len(kind), bool)
+        keep[1:] = ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~starts[1:])
+        if not keep.all():
+            kind, value, at = kind[keep], value[keep], at[keep]
+    return kind, value, at, said
+
+
+_base, _inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of them."""
+    while len(_powers[0]) < n:
+        for k, b in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            have = _powers[k]
+            _powers[k] = np.concatenate([have, have * np.uint64(pow(b, len(have), 1 << 64))])
+    return _powers[0][:n], _powers[1][:n]
 
 
 def rolled(first: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the window that starts at each token: its first value is from first, the others from rest."""
+    """Hash of the window that starts at each token: its first value is from first, the others from rest. A polynomial, by running sums."""
     n = len(first) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(width))
-    for j in range(width):
-        h = (h ^ (rest if j else first)[j : j + n]) * _C1
-        h ^= h >> np.uint64(31)
-    return mix(h)
+    power, inverse = _grown(len(rest) + 1)
+    total = np.zeros(len(rest) + 1, np.uint64)
+    np.cumsum(rest * power[:-1], out=total[1:])
+    h = (total[width:] - total[:n]) * inverse[:n]
+    if first is not rest:
+        h += first[:n] - rest[:n]
+    return mix(h ^ np.uint64(width))
+
+
+def enough_literal(kind: np.ndarray, width: int) -> np.ndarray:
+    """Whether the window that starts at each token has enough literal words."""
+    n = max(0, len(kind) - width + 1)
+    literal = kind == LITERAL
+    if literal.all():
+        return np.ones(n, bool)
+    total = np.concatenate([[0], np.cumsum(literal)])
+    return total[len(total) - n :] - total[:n] >= min(MIN_LITERAL, width - 1)
 
 
 def windows(kind: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the template window that starts at each token, and whether it has enough literal words."""
-    h = rolled(value, value, width)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    return h, literal[len(literal) - len(h) :] - literal[: len(h)] >= min(MIN_LITERAL, width - 1) if len(h) else np.zeros(0, bool)
+    return rolled(value, value, width), enough_literal(kind, width)
 
 
-def exact_windows(chunks: list[str], at: np.ndarray, width: int) -> np.ndarray:
+def exact_windows(said: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Hash of the window of words, numbers and operators as they stand, from each template token on.
 
     What stands between two tokens (operators, the rest of a name) counts with the second; before the first and behind the last it doesn't."""
-    packed = np.fromiter(map(_chunks.__getitem__, chunks), np.uint64, len(chunks)) & ~np.uint64(31)
     if len(at) < width or not len(at):
         return np.zeros(0, np.uint64)
+    if len(at) == len(said):
+        return rolled(said, said, width) ^ _C1
     starts = np.concatenate([[0], at[:-1] + 1])
     behind = (np.repeat(at, at - starts + 1) - np.arange(at[-1] + 1)).astype(np.uint64)
-    inner = packed[: at[-1] + 1]
-    full = np.add.reduceat(np.where(inner != 0, mix(inner ^ behind * _C1), np.uint64(0)), starts)
-    return mix(rolled(packed[at], full, width) ^ _C1)
+    inner = said[: at[-1] + 1]
+    full = np.add.reduceat(inner * (_C2 * behind + np.uint64(1)), starts)
+    return rolled(said[at], full, width) ^ _C1
 
 
 def slots(kind: np.ndarray, at: np.ndarray, chunks: list[str], start: int, width: int) -> list[tuple[int, int]]:
@@ -175,14 +210,14 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
             for k, text in enumerate(b.column("text").to_pylist()):
                 row += 1
                 chunks = (text or "").split()
-                kind, value, at = template(chunks)
+                kind, value, at, said = template(chunks)
                 n = len(kind)
                 if not n:
                     continue
                 width = min(WIDTH, n)
                 plain, good = windows(kind, value, width)
                 good = good & (n >= MIN_WORDS)
-                stand = exact_windows(chunks, at, width)
+                stand = exact_windows(said, at, width)
                 whole = n < MIN_EXACT
                 shown = np.where(good, plain, mix(stand ^ ~_C1) if whole else stand)
                 family = _signed(mix(np.bitwise_xor.reduce(mix(plain + np.arange(len(plain), dtype=np.uint64) * _C1), keepdims=True) ^ np.uint64(n)))[0]
@@ -244,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 chunks = (text or "").split()
                 if not chunks:
                     continue
-                kind, value, at = template(chunks)
+                kind, value, at, said = template(chunks)
                 stands: dict[int, np.ndarray] = {}
                 for width in widths:
                     span = abs(width)
@@ -253,12 +288,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     if width > 0:
                         h, good = windows(kind, value, span)
                     else:
-                        stands[span] = exact_windows(chunks, at, span)
-                        h, good = mix(stands[span] ^ ~_C1) if span < MIN_EXACT else stands[span], True
+                        # an exact window has its item's template: it has too few literal words there as well
+                        poor = ~enough_literal(kind, span) if span >= MIN_WORDS else np.ones(len(kind) - span + 1, bool)
+                        if not poor.any():
+                            continue
+                        stands[span] = exact_windows(said, at, span)
+                        h, good = mix(stands[span] ^ ~_C1) if span < MIN_EXACT else stands[span], poor
                     bit = (h & mask).astype(np.int64)
-                    hit = np.flatnonzero(good & (((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) == 1))
+                    hit = np.flatnonzero(((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & good)
                     if len(hit) and span not in stands:
-                        stands[span] = exact_windows(chunks, at, span)
+                        stands[span] = exact_windows(said, at, span)
                     for p, w, e in zip(hit.tolist(), _signed(h[hit]), _signed(stands[span][hit]) if len(hit) else [], strict=True):
                         ids.append(k)
                         out.append(((part << 33) + row, p, w, e, [{"o": i - p, "v": v} for i, v in slots(kind, at, chunks, p, span)] if width > 0 else []))

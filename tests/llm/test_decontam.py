@@ -123,11 +123,20 @@ def test_a_quoted_part_keeps_its_slots(spark):
 
 
 def test_templates_by_hand():
-    kind, _, at = decontam.template("Then Ann Lee paid 3 dollars. Then she left".split())
+    kind, _, at, _ = decontam.template("Then Ann Lee paid 3 dollars. Then she left".split())
     assert kind.tolist() == [0, decontam.NAME, 0, decontam.NUMBER, decontam.UNIT, 0, 0, 0]
     assert at.tolist() == [0, 1, 3, 4, 5, 6, 7, 8]
 
 
+def test_window_hashes_tell_windows_apart():
+    rng = np.random.RandomState(9)
+    for width in (1, 3, 8):
+        value = rng.randint(0, 6, 3000).astype(np.uint64) * np.uint64(0x1234567812345660)
+        h = decontam.rolled(value, value, width).tolist()
+        plain = [tuple(value[k : k + width].tolist()) for k in range(len(value) - width + 1)]
+        assert len(h) == len(plain) and len(set(zip(h, plain, strict=True))) == len(set(h)) == len(set(plain))
+
+
 def test_against_literal_search(spark):
     """Where there is no slot, the hits are those of a plain window search."""
     plain = [(i, prose(20 + i, 20)) for i in range(5)]
