@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import giving_back, small_batches, written
 
@@ -53,7 +54,7 @@ def rebuilt(seqs: DataFrame) -> DataFrame:
     return met.select("conv_id", F.concat(F.slice(F.coalesce("head", none), F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def _running(words):
     """Running totals inside each list."""
     import numpy as np
