@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Article titles, one table for all stages.
+# Article titles, one table for all stages.
 ARTICLE_TITLES = {
     "1": "Protection of property", "2": "Right to life", "3": "Prohibition of torture", "5": "Right to liberty and security", "6": "Right to a fair trial",
     "7": "No punishment without law", "8": "Right to respect for private and family life", "9": "Freedom of thought, conscience and religion", "10": "Freedom of expression",
@@ -112,3 +112,19 @@ def replaced(text: Column, keys: list[str], strategies: dict) -> Column:
             subject = rule["subject"].capitalize() if placeholder[:1].isupper() else rule["subject"]
             text = F.replace(text, F.lit(placeholder), F.lit(subject))
     return text
+
+
+def percent_text(value: Column, signed: bool = False) -> Column:
+    """A share as percent with one place, rounded as its exact binary value says (ties to even); dashes for null and NaN.
+
+    Ten times a double is eight and two times it; what their sum loses is known exactly and settles a tie."""
+    x = F.abs(value.cast("double") * 100)
+    s = x * 8 + x * 2
+    lost = x * 2 - (s - x * 8)
+    whole = F.floor(s)
+    part = s - whole
+    up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    tenths = whole + up.cast("long")
+    minus = F.when(value < 0, "-").otherwise("+" if signed else "")
+    text = F.concat(minus, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "--").otherwise(text)

@@ -1,6 +1,6 @@
 """Paired bootstrap intervals of an accuracy difference: three generators of replicates.
 
-``portable`` draws by integer arithmetic, so that any SQL engine repeats it; ``multinomial`` draws the three counts
+``portable`` draws by integer arithmetic from counts, so that any SQL engine repeats it; ``multinomial`` draws the three counts
 that a replicate's mean depends on, in time that doesn't grow with the pairs; ``seeded`` repeats NumPy's legacy generator on
 ordered pairs, one group at a time.
 """
@@ -11,12 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def portable(diffs: DataFrame, by: list[str], position: str, diff: str, replicates: int, ci: float = 0.95) -> DataFrame:
-    """diffs: groups' differences (-1, 0, 1) with positions 0..n-1. The draws meet the differences in a join on position."""
-    sizes = diffs.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = diffs.select(*by, F.col(position).cast("long").alias("i")).join(sizes, by).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+#: Positions that one row of the plan draws for.
+BLOCK = 4096
+
+
+def portable(counts: DataFrame, by: list[str], replicates: int = 10_000, ci: float = 0.95) -> DataFrame:
+    """counts: groups with n, n01, n10. A replicate draws n positions of the group's differences in order (-1, 0, 1): what is drawn follows from the place alone, so no pair is joined.
+
+    A replicate is drawn whole in one task and is n integer operations; for very large groups ``multinomial`` has the same distribution in time that doesn't grow."""
+    spark = counts.sparkSession
+    long = lambda c: F.col(c).cast("long").alias(c)
+    reps = counts.where("n > 0").select(*by, long("n"), long("n01"), long("n10")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    dealt = reps.repartition(4 * spark.sparkContext.defaultParallelism, *by, "rep")
+    blocks = dealt.withColumn("b", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
+    draws = blocks.withColumn("i", F.explode(F.expr(f"sequence(b * {BLOCK}, least(n, (b + 1) * {BLOCK}) - 1)")))
     pick = F.expr("((rep * 1103515245L + i * 12345L * (rep + 7L) + 1013904223L) % 2147483647L) % n")
-    means = draws.withColumn("pick", pick).join(diffs.select(*by, F.col(position).cast("long").alias("pick"), F.col(diff).cast("double").alias("d")), [*by, "pick"]).groupBy(*by, "rep").agg(F.avg("d").alias("mean"))
+    drawn = draws.select(*by, "rep", "n", "n01", "n10", pick.alias("pick"))
+    means = drawn.groupBy(*by, "rep").agg((F.sum(F.when(F.col("pick") >= F.col("n") - F.col("n01"), 1).when(F.col("pick") < F.col("n10"), -1).otherwise(0)) / F.count("*")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return means.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import corpus
+from ..functions import ratings as R
+from ..functions import templates
+from ..operators import corpus, reduce, sinks
 from ..operators.steps import Run
 from ..operators.store import Store
 from ..schemas import schema
@@ -14,7 +16,7 @@ from ..sources import fixtures, json_split, paged, readers, saved, search
 from ..storage import scratch
 from . import stages
 from .corpus import CASES, CONCLUSION_PAIRS, _cut
-from .ratings import nudged, rounded
+from .ratings import SAMPLES, nudged, rounded
 
 
 def _server(spark: SparkSession, sf_dir: str) -> tuple[dict, int]:
@@ -155,6 +157,43 @@ def jdbc_pairs(spark, sf_dir):
 
 JDBC_PAIRS = f"WITH {CASES}, k AS ({CONCLUSION_PAIRS}) SELECT item_id, case_name AS doc_name, decision_date AS kp_date, article, violation_label, md5(full_case_text) AS text_md5 FROM cs JOIN k USING (item_id) WHERE length(full_case_text) > 500 AND decision_date >= '2020-01-15' AND lower(case_name) NOT LIKE '%translation%'"
 
-_NAMES = "paged_hits paged_stream json_elements upsert_versions gated_stages live_refresh jdbc_pairs".split()
+def csv_round_trip(spark, sf_dir):
+    """Evaluations written as CSV with their ratings as text, and read back as arrays."""
+    rows = reduce.cases(fixtures.samples(spark, sf_dir, "factual"), ["evaluator", "case_id", "art", "violation_label"])
+    folder = scratch(spark, "csv")
+    held = rows.select("evaluator", F.col("case_id").cast("string").alias("case_name"), F.col("art").cast("string").alias("article"), "violation_label", R.mean(F.col("ratings")).alias("avg_rating"), F.lit(True).alias("is_accurate"), F.lit(0).alias("num_abstentions"), F.size("ratings").alias("num_samples"), F.col("ratings").alias("sample_ratings"))
+    sinks.csv(held.drop("evaluator"), folder)
+    back = readers.evaluations(spark, folder)
+    return rounded(back.select("case_name", "article", "violation_label", "avg_rating", "num_samples", F.array_join(F.transform("sample_ratings", lambda r: r.cast("string")), ",").alias("ratings")))
+
+
+CSV_ROUND_TRIP = f"WITH {SAMPLES} SELECT case_id::VARCHAR AS case_name, art::VARCHAR AS article, violation_label, round(avg(rating::DOUBLE),6) AS avg_rating, count(*) AS num_samples, string_agg(rating::VARCHAR, ',' ORDER BY sample_idx) AS ratings FROM samples WHERE framing='factual' GROUP BY ALL"
+
+
+def resumed_lines(spark, sf_dir):
+    """Summaries written as lines of JSON in two runs: the second leaves out what the first has written, a cached table is read as it was."""
+    docs, folder = fixtures.table(spark, sf_dir, "documents"), scratch(spark, "lines")
+    rows = docs.select(F.col("doc_id").cast("string").alias("item_id"), F.lit("3").alias("article"), F.lit(0).alias("version"), F.col("text").alias("summary"))
+    first = readers.cached_or(spark, f"{folder}/cached", lambda: rows.where("item_id % 3 = 0"))
+    again = readers.cached_or(spark, f"{folder}/cached", lambda: rows)  # it is there: not computed
+    sinks.json_lines(first, f"{folder}/lines")
+    sinks.json_lines(readers.fresh(rows, f"{folder}/cached", "item_id").withColumn("version", F.lit(1)), f"{folder}/lines", "append")
+    back = readers.json_rows(spark, f"{folder}/lines", "summary").withColumn("cached", F.lit(again.count()))
+    return rounded(back.select("item_id", "article", "version", F.md5("summary").alias("summary_md5"), "cached"))
+
+
+RESUMED_LINES = "SELECT doc_id::VARCHAR AS item_id, '3' AS article, CASE WHEN doc_id%3=0 THEN 0 ELSE 1 END::BIGINT AS version, md5(text) AS summary_md5, (SELECT count(*) FROM documents WHERE doc_id%3=0) AS cached FROM documents"
+
+
+def percent_texts(spark, sf_dir):
+    """Discounts, taxes and their differences as percent texts, ties and signs included."""
+    l = fixtures.table(spark, sf_dir, "lineitem")  # noqa: E741
+    v = (F.col("l_discount").cast("double") - F.col("l_tax").cast("double")) * F.col("l_quantity").cast("double") / 16
+    return l.select("l_orderkey", "l_linenumber", v.alias("v")).groupBy("v").agg(F.count("*").alias("n")).select(templates.percent_text(F.col("v")).alias("plain"), templates.percent_text(F.col("v"), True).alias("signed"), "n").groupBy("plain", "signed").agg(F.sum("n").alias("n"))
+
+
+PERCENT_TEXTS = "WITH v AS (SELECT (l_discount::DOUBLE - l_tax::DOUBLE) * l_quantity::DOUBLE / 16 AS v FROM lineitem) SELECT CASE WHEN v<0 THEN '-' ELSE '' END || printf('%.1f', abs(v*100)) AS plain, CASE WHEN v<0 THEN '-' ELSE '+' END || printf('%.1f', abs(v*100)) AS signed, count(*) AS n FROM v GROUP BY ALL"
+
+_NAMES = "paged_hits paged_stream json_elements upsert_versions gated_stages live_refresh jdbc_pairs csv_round_trip resumed_lines percent_texts".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {name: nudged(globals()[name.upper()]) for name in _NAMES}

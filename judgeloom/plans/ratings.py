@@ -388,24 +388,17 @@ def running_accuracy(spark, sf_dir):
 
 RUNNING_ACCURACY = f"WITH {CASES} SELECT evaluator, art::BIGINT AS art, case_id, round(avg(is_accurate::INT::DOUBLE) OVER (PARTITION BY evaluator, art ORDER BY case_id ROWS UNBOUNDED PRECEDING),6) AS so_far FROM cases WHERE framing='predictive'"
 
-#: Replicates that both engines draw by a join; ``multinomial`` and ``seeded`` draw 10,000.
-REPLICATES = 200
-
-
-def _differences(spark, sf_dir) -> DataFrame:
-    rows = _versus(spark, sf_dir, "factual")
-    place = F.row_number().over(Window.partitionBy("evaluator").orderBy("case_id", "art")) - 1
-    return rows.select("evaluator", place.alias("i"), (F.col("is_accurate_other").cast("int") - F.col("is_accurate_base").cast("int")).alias("d"))
+REPLICATES = 10_000
 
 
 def bootstrap_portable(spark, sf_dir):
-    """Bootstrap interval of the accuracy difference with draws by integer arithmetic."""
-    return rounded(bootstrap.portable(_differences(spark, sf_dir), ["evaluator"], "i", "d", REPLICATES))
+    """Bootstrap interval of the accuracy difference with 10,000 replicates drawn by integer arithmetic."""
+    return rounded(bootstrap.portable(pairing.comparison(_versus(spark, sf_dir, "factual"), ["evaluator"]), ["evaluator"], REPLICATES))
 
 
-BOOTSTRAP_PORTABLE = f"""WITH {CASES}, d AS (SELECT b.evaluator, row_number() OVER (PARTITION BY b.evaluator ORDER BY b.case_id, b.art)-1 AS i, o.is_accurate::INT-b.is_accurate::INT AS d FROM cases b JOIN cases o USING (evaluator,case_id,art) WHERE b.framing='predictive' AND o.framing='factual'),
-s AS (SELECT evaluator, count(*) AS n FROM d GROUP BY ALL), k AS (SELECT d.evaluator, rep, ((rep*1103515245 + i*12345*(rep+7) + 1013904223) % 2147483647) % n AS pick FROM d JOIN s USING (evaluator), unnest(range(0,{REPLICATES})) t(rep)),
-m AS (SELECT k.evaluator, rep, avg(d.d::DOUBLE) AS mean FROM k JOIN d ON d.evaluator=k.evaluator AND d.i=k.pick GROUP BY ALL)
+BOOTSTRAP_PORTABLE = f"""WITH {CASES}, s AS (SELECT b.evaluator, count(*) AS n, count(*) FILTER (NOT b.is_accurate AND o.is_accurate) AS n01, count(*) FILTER (b.is_accurate AND NOT o.is_accurate) AS n10 FROM cases b JOIN cases o USING (evaluator,case_id,art) WHERE b.framing='predictive' AND o.framing='factual' GROUP BY 1),
+k AS (SELECT evaluator, rep, n, n01, n10, ((rep*1103515245 + i*12345*(rep+7) + 1013904223) % 2147483647) % n AS pick FROM s, range({REPLICATES}) t(rep), unnest(range(n)) u(i)),
+m AS (SELECT evaluator, rep, sum(CASE WHEN pick >= n-n01 THEN 1 WHEN pick < n10 THEN -1 ELSE 0 END)::DOUBLE/count(*) AS mean FROM k GROUP BY evaluator, rep)
 SELECT evaluator, round(quantile_cont(mean,0.025),6) AS low, round(quantile_cont(mean,0.975),6) AS high FROM m GROUP BY evaluator"""
 
 

@@ -140,6 +140,51 @@ x AS (SELECT summary, evaluator, sum((rating=3)::INT)::DOUBLE/count(*) AS absten
 SELECT summary, evaluator, round(avg((CASE WHEN violation_label='violation' THEN avg_rating<3 ELSE avg_rating>3 END)::INT::DOUBLE),6) AS accuracy, round(any_value(abstention_rate),6) AS abstention_rate FROM v_q JOIN x USING (summary, evaluator) GROUP BY summary, evaluator"""
 
 
-_NAMES = "stage_baseline stage_summaries stage_on_summaries stage_on_framings stage_reconsidered stage_matrix".split()
+def matrix_pivots(spark, sf_dir):
+    """The matrix with evaluators as columns, accuracies and abstentions side by side."""
+    texts = {"full": F.col("full_case_text"), "head": F.substring("full_case_text", 1, 5000), "none": F.lit("")}
+    right, silent = stages.pivots(stages.matrix(_cases(spark, sf_dir), texts, ["one", "two"], responder.scripted, SAMPLES), ["one", "two"])
+    tag = lambda df, name: df.select("summary", *(F.col(c).alias(f"{name}_{c}") for c in ("one", "two")))
+    return rounded(tag(right, "accuracy").join(tag(silent, "abstention"), "summary"))
+
+
+MATRIX_PIVOTS = "WITH c AS (" + STAGE_MATRIX.replace("round(avg(", "(avg(").replace(",6) AS accuracy", ") AS accuracy").replace("round(any_value(abstention_rate),6)", "any_value(abstention_rate)") + ") SELECT summary, " + ", ".join(f"round(max({c}) FILTER (evaluator='{e}'),6) AS {n}_{e}" for n, c in (("accuracy", "accuracy"), ("abstention", "abstention_rate")) for e in ("one", "two")) + " FROM c GROUP BY summary"
+
+
+def cross_model_summary(spark, sf_dir):
+    """Fifteen figures of four stages: one model has all stages, one only the first two and three samples, one none."""
+    cases = _cases(spark, sf_dir)
+    made, ask = stages.summaries(cases, responder.scripted, "m"), responder.scripted
+    base = {n: stages.baseline(cases, ask, "m", n) for n in (SAMPLES, 3)}
+    tag = lambda df, model: df.withColumn("model", F.lit(model))
+    both = lambda stage: tag(stage(SAMPLES), "one").unionByName(tag(stage(3), "two"))
+    models = spark.createDataFrame([("one",), ("two",), ("three",)], "model string")
+    out = stages.summary(
+        models, both(lambda n: base[n]), both(lambda n: stages.on_summaries(cases, made, base[n], ask, "m", n)),
+        tag(stages.on_framings(cases, made, base[SAMPLES], ask, "m", SAMPLES), "one"), tag(stages.reconsidered(cases, ask, "m", SAMPLES), "one"),
+    )
+    return rounded(out)
+
+
+def _few(name: str, of: str, keys: str) -> str:
+    """The tables of another with its first three samples."""
+    return f"r_{name} AS (SELECT * FROM r_{of} WHERE i < 3), " + _tally(name, keys)
+
+
+_RATE = "avg({}::INT::DOUBLE)"
+CROSS_MODEL_SUMMARY = f"""WITH {CASES}, {_MADE}, {_BASE}, {_few("b3", "b", KEY)}, {_voted("q", KEY + ", version", "concat_ws('_', item_id, article, version, 'sample', i)", _asked("predictive", "summary"), "made")}, {_few("q3", "q", KEY + ", version")},
+{_voted("f", KEY + ", framing", "concat_ws('_', item_id, article, framing, 'sample', i)", _BY_FRAMING, "(SELECT * FROM made WHERE version=0) made, (VALUES ('predictive'),('normative'),('factual')) f(framing)")},
+r_a AS (SELECT * REPLACE (CASE WHEN g%{responder.SILENT}=0 THEN rating WHEN g%{responder.FAILING}=0 THEN 3 ELSE g%5+1 END AS rating) FROM (SELECT *, {_AGAIN} AS g FROM r_b)), {_tally("a", KEY)},
+x AS (SELECT {KEY}, avg((a.rating<>b.rating)::INT::DOUBLE) AS change_rate FROM r_b b JOIN r_a a USING ({KEY}, i) GROUP BY ALL),
+base AS (SELECT 'one' AS model, * FROM v_b UNION ALL SELECT 'two', * FROM v_b3), one AS (SELECT 'one' AS model, q.accurate, q.prediction=b.prediction AS aligned FROM v_q q JOIN v_b b USING ({KEY}) UNION ALL SELECT 'two', q.accurate, q.prediction=b.prediction FROM v_q3 q JOIN v_b3 b USING ({KEY})),
+p1 AS (SELECT model, {_RATE.format("accurate")} AS a, {_RATE.format("(prediction='abstention')")} AS b, avg(avg_rating) AS c FROM base GROUP BY 1), p2 AS (SELECT model, {_RATE.format("accurate")} AS a, {_RATE.format("aligned")} AS b FROM one GROUP BY 1),
+p3 AS (SELECT 'one' AS model, {", ".join(f"{_RATE.format('f.accurate')} FILTER (framing='{f}') AS {f}_a, {_RATE.format('(f.prediction=b.prediction)')} FILTER (framing='{f}') AS {f}_b" for f in templates.FRAMINGS)} FROM v_f f JOIN v_b b USING ({KEY})),
+p4 AS (SELECT 'one' AS model, {_RATE.format("b.accurate")} AS a, {_RATE.format("a.accurate")} AS b, {_RATE.format("(b.prediction<>a.prediction)")} AS c, avg(change_rate) AS d FROM v_b b JOIN v_a a USING ({KEY}) JOIN x USING ({KEY}))
+SELECT model, round(p1.a,6) AS baseline_accuracy, round(p1.b,6) AS baseline_abstention, round(p1.c,6) AS baseline_avg_rating, round(p2.a,6) AS rq1_accuracy, round(p2.b,6) AS rq1_alignment, {", ".join(f"round({f}_a,6) AS rq2_{f}_accuracy, round({f}_b,6) AS rq2_{f}_alignment" for f in templates.FRAMINGS)},
+round(p4.a,6) AS rq3_orig_accuracy, round(p4.b,6) AS rq3_chal_accuracy, round(p4.c,6) AS rq3_change_rate, round(p4.d,6) AS rq3_avg_individual_change
+FROM (VALUES ('one'),('two'),('three')) m(model) LEFT JOIN p1 USING (model) LEFT JOIN p2 USING (model) LEFT JOIN p3 USING (model) LEFT JOIN p4 USING (model)"""
+
+
+_NAMES = "stage_baseline stage_summaries stage_on_summaries stage_on_framings stage_reconsidered stage_matrix matrix_pivots cross_model_summary".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {name: nudged(globals()[name.upper()]) for name in _NAMES}

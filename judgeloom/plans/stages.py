@@ -117,6 +117,39 @@ def matrix(cases: DataFrame, texts: dict[str, Column], evaluators: list[str], re
     return judged.groupBy("summary", "evaluator").agg(reduce.share(F.col("is_accurate")).alias("accuracy"), (F.sum("num_abstentions") / F.nullif(F.sum("num_samples"), F.lit(0))).alias("abstention_rate"))
 
 
+def pivots(cells: DataFrame, evaluators: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The matrix as two tables, a row a summary and a column an evaluator: accuracies and abstention rates."""
+    wide = lambda value: cells.groupBy("summary").pivot("evaluator", evaluators).agg(F.first(value, ignorenulls=True))
+    return wide("accuracy"), wide("abstention_rate")
+
+
+#: Figures of the stages in the summary of all models, in their order.
+SUMMARY = (
+    "baseline_accuracy", "baseline_abstention", "baseline_avg_rating", "rq1_accuracy", "rq1_alignment", "rq2_predictive_accuracy", "rq2_predictive_alignment", "rq2_normative_accuracy", "rq2_normative_alignment", "rq2_factual_accuracy", "rq2_factual_alignment",
+    "rq3_orig_accuracy", "rq3_chal_accuracy", "rq3_change_rate", "rq3_avg_individual_change",
+)
+
+
+def summary(models: DataFrame, base: DataFrame | None = None, rq1: DataFrame | None = None, rq2: DataFrame | None = None, rq3: DataFrame | None = None) -> DataFrame:
+    """One row a model with all figures of SUMMARY: models (a column model) and the rows of each stage with their model. A stage that nobody or a model lacks is null."""
+    rate = lambda c: reduce.share(F.col(c))
+    parts = []
+    if base is not None:
+        # an average over cases of their mean ratings, as the cases' ratings have it
+        parts.append(base.groupBy("model").agg(rate("accurate").alias("baseline_accuracy"), rate("abstained").alias("baseline_abstention"), F.avg("avg_rating").alias("baseline_avg_rating")))
+    if rq1 is not None:
+        parts.append(rq1.groupBy("model").agg(rate("accurate").alias("rq1_accuracy"), rate("aligned").alias("rq1_alignment")))
+    if rq2 is not None:
+        of = lambda f, c: F.avg(F.when(F.col("framing") == f, F.col(c).cast("double")))
+        parts.append(rq2.groupBy("model").agg(*(of(f, c).alias(f"rq2_{f}_{name}") for f in templates.FRAMINGS for c, name in (("accurate", "accuracy"), ("aligned_with_baseline", "alignment")))))
+    if rq3 is not None:
+        parts.append(rq3.groupBy("model").agg(rate("original_accurate").alias("rq3_orig_accuracy"), rate("challenged_accurate").alias("rq3_chal_accuracy"), rate("prediction_changed").alias("rq3_change_rate"), F.avg("change_rate").alias("rq3_avg_individual_change")))
+    out = models.select("model").distinct()
+    for part in parts:
+        out = out.join(part, "model", "left")
+    return out.select("model", *(F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in SUMMARY))
+
+
 def scrape(spark, find: search.Search, fetch: search.Fetch, expression: str, existing: str | None = None, dry_run: bool = False) -> DataFrame:
     """Search hits with their texts as a row a case and article; ids already in the output at existing are left out."""
     hits = corpus.metadata(search.hits(spark, find, expression))

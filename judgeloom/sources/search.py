@@ -20,6 +20,7 @@ Search = paged.Service
 Fetch = Callable[[str], str | None]
 
 
+# The clauses of the outside service's query language.
 def query(since: str = "", until: str = "", country: str = "", language: str = "ENG", collection: str = "JUDGMENTS", fixed: tuple[str, ...] = ()) -> str:
     """A search expression: the fixed clauses and one for each argument that isn't empty, joined by AND; an open end of a date range is *."""
     clauses = list(fixed)

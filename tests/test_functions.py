@@ -174,3 +174,29 @@ def test_mcnemar_of_very_many_pairs(spark):
             z = (k + 0.5 - n / 2) / math.sqrt(n / 4)  # the normal limit
             want = math.erfc(-z / math.sqrt(2))
         assert abs(r["p"] - want) < (1e-10 if n < 3000 else 1e-4), (r, want)
+
+
+def test_percent_text_rounds_as_the_exact_binary_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from judgeloom.functions import templates
+
+    rng = random.Random(8)
+    values = [0.0, 0.0025, 0.00125, 0.0035, 0.25, -0.0005, 1.0, 12.345, 0.99949999, None, float("nan"), *(rng.randint(-4000, 4000) / 800 for _ in range(600)), *(rng.uniform(-1, 1) for _ in range(600))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", templates.percent_text(F.col("v")).alias("p"), templates.percent_text(F.col("v"), True).alias("s")).collect()
+    for r in rows:
+        gone = r["v"] is None or r["v"] != r["v"]
+        assert r["p"] == ("--" if gone else f"{r['v'] * 100:.1f}") and r["s"] == ("--" if gone else f"{r['v'] * 100:+.1f}"), r["v"]
+
+
+def test_tokens_of_calls_and_no_samples(spark):
+    from pyspark.sql import functions as F
+
+    from judgeloom.operators import planning
+    from judgeloom.plans import stages
+
+    rows = spark.createDataFrame([("baseline",), ("rq1_summary",), ("else",), (None,)], "kind string").select("kind", *(t.alias(n) for n, t in zip("io", planning.tokens(F.col("kind")), strict=True))).collect()
+    assert [(r["i"], r["o"]) for r in rows] == [(16000, 10), (15000, 600), (5000, 50), (5000, 50)]
+    assert stages._sampled(spark.range(3), 0).count() == 0 and stages._sampled(spark.range(3), 2).count() == 6
