@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pairs of a group that are drawn from one after the other, at most.
+CURATED = 10_000_000
 #: Positions that one row of the plan draws for.
 BLOCK = 4096
 
@@ -59,7 +61,9 @@ def multinomial(counts: DataFrame, by: list[str], replicates: int = 10_000, ci:
 
 
 def seeded(pairs: DataFrame, by: list[str], order: list[str], replicates: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """pairs: is_accurate_base, is_accurate_other. For curated sets: a group's pairs are one task's work."""
+    """pairs: is_accurate_base, is_accurate_other. For curated sets: a group's pairs are one task's work, more than CURATED of them raise."""
+    if largest := pairs.groupBy(*by).count().where(F.col("count") > CURATED).first():
+        raise ValueError(f"{largest['count']} pairs are too many for a sequential draw: use multinomial")
     types = {c: pairs.schema[c].dataType.simpleString() for c in by}
 
     def one(key, f):

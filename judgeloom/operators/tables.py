@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ids of a sequential draw, at most.
+CURATED = 1_000_000
+
+
 def dedupe(df: DataFrame, keys: list[str], order: str, keep: str = "last") -> DataFrame:
     """One row per key: the first or last by order. Partial aggregation keeps a hot key from filling one task."""
     rest = [c for c in df.columns if c not in keys]
@@ -45,13 +49,15 @@ def stratified(df: DataFrame, stratum: str, case: str, order: str, top: int, per
 def seeded_cases(df: DataFrame, stratum: str, case: str, order: str, top: int, per_stratum: int, seed: int) -> DataFrame:
     """The same with one shared Mersenne Twister over the ranked strata, as a sequential sampler draws.
 
-    Only ids reach the driver, of the top strata alone: a sample design for curated sets. ``stratified`` is
+    Only ids reach the driver, of the top strata alone: a sample design for curated sets, more than CURATED ids raise. ``stratified`` is
     the one for large tables.
     """
     import random
 
     rng = random.Random(seed)
     ranked = [r[0] for r in df.groupBy(stratum).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(top).collect()]
+    if (n := df.where(F.col(stratum).isin(ranked)).agg(F.count_distinct(stratum, case)).first()[0]) > CURATED:
+        raise ValueError(f"{n} cases are too many for a sequential draw: use stratified")
     ids = {r[stratum]: r["ids"] for r in df.where(F.col(stratum).isin(ranked)).groupBy(stratum).agg(F.sort_array(F.collect_set(case)).alias("ids")).collect()}
     chosen = [(s, c) for s in ranked for c in sorted(rng.sample(ids[s], min(per_stratum, len(ids[s]))))]
     picked = df.sparkSession.createDataFrame(chosen, df.select(stratum, case).schema)

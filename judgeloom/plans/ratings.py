@@ -244,7 +244,7 @@ KEY_INTERSECTION = f"WITH {CASES} SELECT a.evaluator, count(*) AS n, count(*) FI
 def _by_country(spark, sf_dir) -> DataFrame:
     """Predictive cases with their country; customers of some nations have none."""
     orders = fixtures.pairs(spark, sf_dir).select("case_id", "custkey")
-    place = fixtures.table(spark, sf_dir, "customer").where("c_nationkey % 6 != 0").join(F.broadcast(fixtures.table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), F.col("n_name").alias("country"))
+    place = fixtures.table(spark, sf_dir, "customer").where("c_nationkey % 6 != 0").join(fixtures.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), F.col("n_name").alias("country"))
     known = orders.join(place, "custkey").select("case_id", "country")
     return judged(spark, sf_dir, "predictive").join(known, "case_id", "left").withColumn("country", F.coalesce("country", F.lit("UNKNOWN")))
 
@@ -310,7 +310,7 @@ def wide_summary(spark, sf_dir):
     names = every.select("evaluator").distinct()
     for f in fixtures.FRAMINGS:
         part = every.where(F.col("framing") == f).groupBy("evaluator").agg(reduce.share(F.col("is_accurate")).alias(f"{f}_accuracy"), F.sum(F.round(F.col("avg_rating") * F.col("num_samples")).cast("long")).alias(f"{f}_rating_sum"), F.count("*").alias(f"{f}_n"))
-        names = names.join(F.broadcast(part), "evaluator", "left")
+        names = names.join(part, "evaluator", "left")
     return rounded(names)
 
 
