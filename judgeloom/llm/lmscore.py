@@ -264,8 +264,10 @@ def fitted(path: str, words: list[str], counts: np.ndarray, documents: int) -> t
     return estimated(path, lambda model: model.expected(words, counts), documents, ROUNDS if len(words) else 0)
 
 
-def estimated(path: str, expected: Callable[[Lattice], tuple[np.ndarray, float]], documents: int, rounds: int) -> tuple[Lattice, float]:
-    """The same, with the expected uses of pieces and of byte pieces under a model from a function."""
+def estimated(path: str, expected: Callable[[Lattice], tuple[np.ndarray, float]], documents: int, rounds: int, weight: float = PRIOR) -> tuple[Lattice, float]:
+    """The same, with the expected uses of pieces and of byte pieces under a model from a function.
+
+    weight: pseudo-counts of the vocabulary's own scores, as a share of all uses. Without rounds these scores alone weight the segmentations."""
     names, logp, byte_logp = pieces(path)
     prior, byte_prior = np.exp(logp), np.exp(byte_logp)
     model = Lattice(names, logp, byte_logp)
@@ -273,9 +275,11 @@ def estimated(path: str, expected: Callable[[Lattice], tuple[np.ndarray, float]]
     for _ in range(rounds):
         uses, spelled = expected(model)
         mass = uses.sum() + spelled
-        uses, byte_uses = uses + PRIOR * mass * prior, spelled / 256 + PRIOR * mass * byte_prior
+        uses, byte_uses = uses + weight * mass * prior, spelled / 256 + weight * mass * byte_prior
         whole = uses.sum() + byte_uses.sum() + documents
         model.logp, model.bytes, end = np.log(uses / whole), np.log(byte_uses / whole), np.log(max(documents, 1) / whole)
+    if not rounds:
+        model.logp, model.bytes = logp + math.log(0.99), byte_logp + math.log(0.99)
     return model, float(end)
 
 
@@ -369,8 +373,10 @@ def _in_head(counts: DataFrame) -> Column:
     return F.lit(False) if least is None else short & (level >= least)
 
 
-def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, rounds: int = ROUNDS, weight: float = PRIOR) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    rounds and weight choose between the vocabulary's own scores (no rounds, or a large weight) and scores fitted to the training documents."""
     spark = docs.sparkSession
     small_batches(spark)
     held_out = crc_of(f"`{id_col}`") % folds == held_fold
@@ -384,7 +390,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     floor = -np.log10(tokens + distinct + 1)
     words = [bytes(r["word"]).decode("utf-8", "surrogateescape") for r in head]
     trained = counts.where("trained > 0")
-    model, end = estimated(vocabulary_path, lambda m: expected_uses(trained, m), documents, ROUNDS if sums["n"] else 0)
+    model, end = estimated(vocabulary_path, lambda m: expected_uses(trained, m), documents, rounds if sums["n"] else 0, weight)
     to10 = 1 / np.log(10)
     shipped = {bytes(r["word"]): (float(np.log10(r["trained"] + 1) + floor), s) for r, s in zip(head, (model.forward(words) * to10).tolist(), strict=True)}
     parts = (model.names, model.logp, model.bytes)

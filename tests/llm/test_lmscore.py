@@ -99,3 +99,18 @@ def test_long_words_count_as_short_ones_do(monkeypatch):
 
 def test_no_rows(spark):
     assert lmscore.score(spark.createDataFrame([], "doc_id long, text string"), WHERE).count() == 0
+
+
+def test_the_vocabulary_alone_or_fitted(spark):
+    """Without rounds the vocabulary's own scores weight the segmentations; a large weight keeps near them; fitting raises the likelihood of held-out texts."""
+    rng = np.random.RandomState(4)
+    words = [f"{a}{b}" for a in ("thero", "ansha", "ingle", "ertio") for b in ("n", "ts", "ble", "ou")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 30))) for i in range(300)], "doc_id long, text string")
+    total = lambda **form: {r["held_out"]: r["s"] for r in lmscore.score(docs, WHERE, **form).groupBy("held_out").agg({"score": "sum"}).withColumnRenamed("sum(score)", "s").collect()}
+    alone, heavy, fitted = total(rounds=0), total(weight=1000.0), total()
+    names, logp, byte_logp = lmscore.pieces(WHERE)
+    model = lmscore.Lattice(names, logp + math.log(0.99), byte_logp + math.log(0.99))
+    text = docs.where("doc_id = 0").first()["text"].split()
+    one = {r["doc_id"]: r["score"] for r in lmscore.score(docs, WHERE, rounds=0).where("doc_id = 0").collect()}[0]
+    assert one == pytest.approx((sum(all_ways(model, w) for w in text) + math.log(0.01)) / math.log(10), rel=1e-9)
+    assert fitted[True] > heavy[True] and fitted[False] > heavy[False] and abs(heavy[True] - alone[True]) < 0.05 * abs(alone[True])
