@@ -6,7 +6,7 @@ bounds what is shipped to the workers.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged by the model's
 prior, which allows it; very long urls are judged whole; repeated rows are judged alike; ties between
-rules of one length go to the first in text order; other input columns are ignored.
+rules of one length go to the first in text order; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,27 +24,26 @@ ORDERS = (3, 4, 5)
 #: (verdict, host, path prefix); the longest that fits a url decides.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: The small labelled URL table: hosts and paths of unwanted and wanted kinds.
+#: The small labelled URL table: hosts and paths of unwanted kinds (gambling, drugs, sex, link farms, trackers, loans, counterfeits, malware) and of wanted ones.
 BLOCKED_URLS = """
-http://casino-royal.test/slots  http://best-casino.test/win/big  http://win-casino.test/en/1  http://online-casino-bonus.test/
-http://cheap-meds.test/pills  http://pills-online.test/en/12  http://cheap-pills-shop.test/de/4  http://buy-cheap-viagra.test/
-http://free-bets-now.test/  http://bets-free.test/en/9  http://sports-bets.test/fr/77  http://poker-bets.test/win
-http://adult-videos.test/  http://adult-cams.test/x  http://xxx-adult.test/en/3  http://hot-adult-x.test/es/8
-http://spam-links.test/farm  http://link-farm.test/spam  http://spamfarm.test/en/5  http://farm-of-spam.test/
-http://ads-server.test/track  http://ad-track.test/click  http://tracking-ads.test/en/6  http://ads.trackers.test/pixel
-http://payday-loans-fast.test/  http://free-money-win.test/  http://replica-watches-cheap.test/  http://lottery-winner.test/claim
-http://m.ads-tracker.test/en/7  http://ads-track-pixel.test/de/3  http://m.casino.test/de/11  http://blog.spam-site.test/en/41  http://www.free-pills.test/  http://m.adult.test/es/9
+http://grand-casino-games.test/roulette  http://royalcasino.test/jackpot  http://casinos-online.test/register  http://livecasino24.test/blackjack  http://slots-jackpot.test/spin  http://poker-room.test/tournament
+http://sportsbets.test/odds  http://bets-today.test/tips  http://betting-bonus.test/deposit  http://freespins.test/bonus  http://bingo-lottery.test/tickets  http://winner-lottery.test/claim-prize
+http://pills-pharmacy.test/order  http://genericpills.test/viagra  http://cheapmeds.test/cialis  http://pharmacy-without-prescription.test/tramadol  http://diet-pills.test/buy-now  http://steroids-shop.test/cart
+http://adult-dating.test/join  http://adultvideos.test/free  http://xxx-cams.test/live  http://porn-tube.test/watch  http://sexchat.test/adult  http://escorts-adult.test/photos
+http://spam-mailer.test/bulk  http://backlinks-spam.test/order  http://linkfarm.test/exchange  http://seo-linkfarm.test/directory  http://bulk-spam-lists.test/emails  http://doorway-farm.test/keywords
+http://adserver.test/banner  http://ads-network.test/impression  http://popup-ads.test/serve  http://tracker-pixel.test/collect  http://clicktracking.test/redirect  http://ad-tracking.test/beacon  http://adtrack.test/event
+http://payday-loan.test/apply  http://instant-cash-loans.test/approved  http://free-money.test/survey  http://free-giftcards.test/claim  http://replica-watches.test/rolex  http://fake-handbags.test/sale
+http://warez-downloads.test/crack  http://keygen-serials.test/download  http://free-iphone.test/winner  http://download-codec.test/setup.exe  http://miracle-weightloss.test/trial  http://work-from-home-cash.test/signup
 """
 ALLOWED_URLS = """
-http://news.test/politics/today  http://www.library.test/en/100  http://university.test/research  http://blog.gardening.test/2020/tomatoes
-http://m.weather.test/de/20  http://museum.test/fr/9  http://docs.software.test/api/index.html  http://www.recipes.test/es/soup
-http://wiki.test/en/History  http://school.test/classes/9  http://www.theatre.test/en/44.html  http://blog.thinker.test/fr/8?page=2
-http://m.reader.test/en/9931  http://city-council.test/minutes  http://www.railway.test/en/timetable  http://hospital.test/departments/heart
-http://blog.woodwork.test/de/30  http://www.bookshop.test/es/455  http://m.radio.test/fr/12/  http://parliament.test/en/77.html
-http://science-journal.test/articles/1  http://health.test/heart  http://www.travel-notes.test/rome  http://astronomy.test/stars
-http://m.maps.test/en/81  http://blog.language.test/en/51  http://orchestra.test/de/5  http://mountain-hut.test/es/6  http://www.bakery.test/fr/3
-http://book-club.test/authors  http://music-school.test/piano  http://www.farmers-market.test/en/apples  http://track-and-field.test/results
-http://archive.test/1998/letters  http://forum.cycling.test/en/thread/12  http://www.chemistry.test/elements  http://history.test/de/romans  http://dictionary.test/word
+http://news.test/politics/today  http://www.library.test/catalogue  http://university.test/research  http://gardening.test/2020/tomatoes  http://daily-press.test/opinion/column  http://www.observer.test/world
+http://weather.test/forecast  http://museum.test/exhibitions  http://docs.software.test/api/index.html  http://www.recipes.test/soup  http://cooking.test/bread  http://www.restaurant-guide.test/review
+http://wiki.test/History  http://school.test/classes/9  http://www.theatre.test/programme.html  http://thinking.test/essays?page=2  http://blog.letters.test/2019/notes  http://the-reader.test/books
+http://city-council.test/minutes  http://www.railway.test/timetable  http://hospital.test/departments/heart  http://parliament.test/debates/77.html  http://www.court.test/decisions  http://ministry.test/press
+http://woodwork.test/joints  http://www.bookshop.test/poetry  http://radio.test/stations/12/  http://m.concerts.test/spring  http://www.gallery.test/painters  http://orchestra.test/season
+http://science-journal.test/articles/1  http://health.test/heart  http://www.travel-notes.test/rome  http://astronomy.test/stars  http://mathematics.test/theorems  http://www.biology.test/cells
+http://maps.test/valley  http://language.test/grammar  http://mountain-hut.test/route  http://www.bakery.test/opening-hours  http://farmers-market.test/apples  http://track-and-field.test/results
+http://book-club.test/authors  http://music-school.test/piano  http://forum.cycling.test/thread/12  http://www.chemistry.test/elements  http://history.test/romans  http://dictionary.test/word  http://archive.test/1998/letters
 """
 LABELLED = [(u, 1) for u in BLOCKED_URLS.split()] + [(u, 0) for u in ALLOWED_URLS.split()]
 
