@@ -32,7 +32,7 @@ FRAME, HOP, MELS = 256, 128, 32
 TENSOR_FRAMES = 32
 #: Hysteresis: a segment opens HIGH above the recording's median frame energy (natural log) and closes below LOW.
 HIGH, LOW = 0.35, 0.1
-FLOOR = 1e-6
+FLOOR, PLACES = 1e-6, 4
 
 
 def payload_of(text: bytes) -> bytes:
@@ -65,22 +65,22 @@ def _design() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     n = np.arange(UP * TAPS) - (UP * TAPS - 1) / 2
     cut = 1 / max(UP, DOWN)
     low = UP * cut * np.sinc(n * cut) * np.hamming(UP * TAPS)
-    phases = [np.ascontiguousarray(low[p::UP][::-1], dtype=np.float32) for p in range(UP)]
+    phases = [np.ascontiguousarray(low[p::UP][::-1]) for p in range(UP)]
     rate = RATE * UP / DOWN
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), MELS + 2) / 2595) - 1)
     bins = np.arange(FRAME // 2 + 1) * rate / FRAME
     up = (bins[:, None] - edges[None, :-2]) / np.diff(edges)[None, :-1]
     down = (edges[None, 2:] - bins[:, None]) / np.diff(edges)[None, 1:]
-    return phases, np.hanning(FRAME).astype(np.float32), np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return phases, np.hanning(FRAME), np.maximum(0, np.minimum(up, down))
 
 
 def resample(x: np.ndarray) -> np.ndarray:
     """x at UP / DOWN times its rate: every output sample is one phase of the filter over its input window."""
     phases, _, _ = _design()
     n_out = -(-len(x) * UP // DOWN)
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(TAPS, np.float32)]), TAPS)
-    out = np.empty(n_out, np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1), x, np.zeros(TAPS)]), TAPS)
+    out = np.empty(n_out)
     for first in range(UP):
         place = out[first::UP]
         if len(place):
@@ -90,17 +90,19 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(samples: bytes) -> np.ndarray:
-    """Frames by MELS of natural-log mel energies of 8-bit samples."""
+    """Frames by MELS of natural-log mel energies of 8-bit samples.
+
+    Computed in doubles and rounded to PLACES, so that equal samples have equal values whatever order a machine adds in."""
     _, window, weights = _design()
-    y = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
+    y = resample((np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128)
     if len(y) < FRAME:
         y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for at in range(0, len(frames), 4096):
         spectrum = np.fft.rfft(frames[at : at + 4096] * window, axis=1)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out[at : at + 4096] = np.log(power @ weights + FLOOR)
+        power = spectrum.real**2 + spectrum.imag**2
+        out[at : at + 4096] = np.round(np.log(power @ weights + FLOOR), PLACES)
     return out
 
 
