@@ -6,6 +6,7 @@ written after the rows, so a run that is stopped anywhere repeats only what wasn
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -17,10 +18,12 @@ Step = tuple[list[str], Callable[..., DataFrame]]
 
 
 class Run:
-    """steps: name -> (needed steps, a function of their tables). folder: in a store that all executors reach; a new one without."""
+    """steps: name -> (needed steps, a function of their tables). folder: in a store that all executors reach; a new one without.
 
-    def __init__(self, spark: SparkSession, steps: dict[str, Step], folder: str | None = None):
-        self.spark, self.steps, self.folder = spark, steps, folder or scratch(spark, "run")
+    tell is called with an event (began, failed, done, kept, reset), a step and what is known of it (seconds, the error): a tracking service hangs on there."""
+
+    def __init__(self, spark: SparkSession, steps: dict[str, Step], folder: str | None = None, tell: Callable[[str, str, dict], None] = lambda event, step, about: None):
+        self.spark, self.steps, self.folder, self.tell = spark, steps, folder or scratch(spark, "run"), tell
         self.computed: list[str] = []
 
     def _mark(self, name: str) -> str:
@@ -39,16 +42,26 @@ class Run:
         for x in gone:
             if listed(self.spark, self._mark(x)):
                 delete(self.spark, self._mark(x))
+                self.tell("reset", x, {})
         return gone
 
     def table(self, name: str) -> DataFrame:
         """A step's rows: kept ones, or computed after what it needs."""
         needs, compute = self.steps[name]
         path = f"{self.folder}/{name}"
-        if not self.done(name):
-            compute(*(self.table(n) for n in needs)).write.mode("overwrite").parquet(path)
+        if at := self.done(name):
+            self.tell("kept", name, {"done_at": at})
+        else:
+            tables, began = [self.table(n) for n in needs], time.monotonic()
+            self.tell("began", name, {"needs": needs})
+            try:
+                compute(*tables).write.mode("overwrite").parquet(path)
+            except BaseException as e:
+                self.tell("failed", name, {"seconds": time.monotonic() - began, "error": repr(e)})
+                raise
             put(self.spark, self._mark(name), datetime.now(UTC).isoformat())
             self.computed.append(name)
+            self.tell("done", name, {"seconds": time.monotonic() - began})
         return self.spark.read.parquet(path)
 
     def all(self) -> dict[str, DataFrame]:

@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ratings as R
 from ..functions import templates
+from ..functions import text as X
 
 TRIES, RETRIED = 3, (429, 500, 502, 503, 504)
 
@@ -57,6 +59,17 @@ def respond(asked: DataFrame, answer: Callable[[dict], str], workers: int = 50,
     return asked.mapInArrow(run, "custom_id string, response string")
 
 
+def parsed(responses: DataFrame, fields: str) -> DataFrame:
+    """responses with ``answer``: the struct of fields in each response's JSON, fenced or not, null where there is none."""
+    return responses.withColumn("answer", F.from_json(X.unfenced(F.col("response")), fields))
+
+
+def ratings(responses: DataFrame, by: list[str]) -> DataFrame:
+    """by, mean, ratings of repeated responses (custom_id orders them): what one case's samples come to."""
+    held = responses.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("custom_id", R.extract(F.coalesce("response", F.lit(""))).alias("rating")))).alias("s"))
+    return held.select(*by, R.mean(F.col("s.rating")).alias("mean"), F.col("s.rating").alias("ratings"))
+
+
 #: The scripted responder gives no answer to one request in SILENT, and an error to one in FAILING.
 SILENT, FAILING = 23, 19
 

@@ -36,6 +36,24 @@ def test_an_interrupted_run_repeats_only_unfinished_steps(spark, tmp_path):
     assert {r["step"] for r in third.progress().where("done_at IS NOT NULL").collect()} == set("abcd")
 
 
+def test_a_listener_hears_of_every_step(spark, tmp_path):
+    heard, broken = [], [True]
+
+    def second(first):
+        if broken[0]:
+            raise RuntimeError("no")
+        return first
+
+    run = Run(spark, {"a": ([], lambda: spark.range(2)), "b": (["a"], second)}, f"{tmp_path}/run", lambda event, step, about: heard.append((event, step, sorted(about))))
+    with pytest.raises(RuntimeError):
+        run.all()
+    broken[0] = False
+    run.all()
+    run.reset("a")
+    assert [h[:2] for h in heard] == [("began", "a"), ("done", "a"), ("kept", "a"), ("began", "b"), ("failed", "b"), ("kept", "a"), ("kept", "a"), ("began", "b"), ("done", "b"), ("reset", "b"), ("reset", "a")]
+    assert heard[4][2] == ["error", "seconds"]
+
+
 def test_an_upsert_rewrites_the_partitions_of_its_keys(spark, tmp_path):
     fields = "k string, a string, v long, ord long"
     store = Store(spark, f"{tmp_path}/t", ["k", "a"], "ord", 8)

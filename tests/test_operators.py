@@ -115,6 +115,14 @@ def test_responder_retries(spark):
     assert {r["custom_id"]: r["response"] for r in responder.respond(asked, answer, 2, 0.0).collect()} == {"ok": "5", "bad": "", "busy": ""}
 
 
+def test_parsed_answers_and_ratings_of_a_case(spark):
+    rows = [("c", "c_2", "Answer: 4"), ("c", "c_1", '```json\n{"leaks_verdict": true}\n```'), ("c", "c_0", "1"), ("d", "d_0", None)]
+    held = spark.createDataFrame(rows, "item_id string, custom_id string, response string")
+    assert [r["answer"] and r["answer"]["leaks_verdict"] for r in responder.parsed(held, "leaks_verdict boolean").orderBy("custom_id").collect()] in ([None, True, None, None], [None, True, False, None])
+    got = {r["item_id"]: (r["mean"], r["ratings"]) for r in responder.ratings(held, ["item_id"]).collect()}
+    assert got == {"c": (8 / 3, [1, 3, 4]), "d": (3.0, [3])}
+
+
 def test_verdict_removal(spark):
     long = "Plain facts. " * 60
     rows = [("1", long + "\nMERITS\n" + "verdict " * 20), ("2", long + "Beta leaks here. " + long), ("3", long), ("4", "tiny")]
