@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="judgeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
