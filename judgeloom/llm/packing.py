@@ -4,10 +4,10 @@ Each document's hashed token vector is projected to DIMS dimensions; the Hilbert
 documents so that neighbours on the curve are alike. Documents are dealt to key ranges and packed one
 after the other, cut wherever a sequence is full. The rest of a range is cut into sequences whose lengths
 are powers of two, so that nothing is padded. Ranges come from a sample of keys and only balance the
-work; equal keys (copies) are spread by a hash of the id, so a hot group splits over ranges.
+work; equal keys (copies, repeated rows) are spread by a hash of the row's place in its task, so a hot group splits over ranges.
 
 Cases: a null text is empty and packs as its end token alone; very long texts are cut into as many
-pieces as they need; equal keys are ordered by hash and id; repeated rows are packed each; an empty table gives no
+pieces as they need; equal keys are ordered by the hash of their place, then by id; repeated rows are packed each; an empty table gives no
 piece; other columns are ignored.
 """
 
@@ -17,7 +17,6 @@ import re
 import string
 import sys
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of, giving_back, mix, partitions, small_batches
+from .common import giving_back, mix, partitions, small_batches
 
 LENGTH = 2048
 END = 1
@@ -249,8 +248,8 @@ def hilbert(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def keys(ids: np.ndarray, ends: np.ndarray, spread: list[int]) -> np.ndarray:
-    """Sort keys: the Hilbert key of each document's projected vector, then 16 bits of a hash of its id."""
+def keys(ids: np.ndarray, ends: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Sort keys: the Hilbert key of each document's projected vector, then 16 bits of spread."""
     if not len(ends):
         return np.zeros(0, np.int64)
     table = _projection()
@@ -261,11 +260,25 @@ def keys(ids: np.ndarray, ends: np.ndarray, spread: list[int]) -> np.ndarray:
         sums[i:j] = np.add.reduceat(table[ids[starts[i] : starts[j]]], starts[i:j] - starts[i], axis=0, dtype=np.float64)
     unit = 0.5 + 0.5 * np.tanh(4 * sums / np.diff(starts)[:, None])
     points = np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-    return (hilbert(points) << 16) | (np.array(spread, np.int64) & 0xFFFF)
+    return (hilbert(points) << 16) | (spread.astype(np.int64) & 0xFFFF)
 
 
-def _rows(b) -> tuple[list[str], list[int]]:
-    return [t or "" for t in b.column("text").to_pylist()], [zlib.crc32(str(c).encode()) for c in b.column("crc").to_pylist()]
+class Places:
+    """Hashes of the places of a task's rows, batch by batch."""
+
+    def __init__(self):
+        from pyspark import TaskContext
+
+        self.next = TaskContext.get().partitionId() << 33
+
+    def of(self, n: int) -> np.ndarray:
+        places = np.arange(self.next, self.next + n, dtype=np.uint64)
+        self.next += n
+        return mix(places * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _texts(b) -> list[str]:
+    return [t or "" for t in b.column("text").to_pylist()]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,21 +286,21 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark, BATCH_ROWS, BATCH_BYTES)
     n = partitions(spark)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), crc_of(f"`{id_col}`").alias("crc"))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     @giving_back
     def key_only(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        places = Places()
         for b in batches:
-            text, crc = _rows(b)
-            ids, ends = tokens_of(tokenizer_path).encode(text)
-            yield pa.record_batch([pa.array(keys(ids, ends, crc), pa.int64()), pa.array(np.diff(ends, prepend=0))], ["key", "n"])
+            ids, ends = tokens_of(tokenizer_path).encode(_texts(b))
+            yield pa.record_batch([pa.array(keys(ids, ends, places.of(b.num_rows)), pa.int64()), pa.array(np.diff(ends, prepend=0))], ["key", "n"])
 
     total = max(1, source.count())
-    share = min(1_000_000, -(-1_000_000 * SAMPLE * n // total))
-    sample = source.where(F.crc32(F.concat(F.lit("range"), F.col("crc").cast("string"))) % 1_000_000 < share)
+    # rows are sampled, not ids or texts: of a hot group its share comes
+    sample = source.select("text").where(F.rand(SAMPLE) < SAMPLE * n / total)
     seen = np.array([(r["key"], r["n"]) for r in sample.mapInArrow(key_only, "key long, n long").collect()], np.int64).reshape(-1, 2)
     seen = seen[np.argsort(seen[:, 0], kind="stable")]
     weight = np.cumsum(seen[:, 1])
@@ -298,10 +311,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def tokenize(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        places = Places()
         for b in batches:
-            text, crc = _rows(b)
-            ids, ends = tokens_of(tokenizer_path).encode(text)
-            k = keys(ids, ends, crc)
+            ids, ends = tokens_of(tokenizer_path).encode(_texts(b))
+            k = keys(ids, ends, places.of(b.num_rows))
             offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
             yield pa.record_batch([pa.array(np.searchsorted(bounds, k, side="right").astype(np.int32)), pa.array(k), b.column("doc_id"), raw], ["part", "key", "doc_id", "ids"])

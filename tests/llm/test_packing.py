@@ -69,3 +69,14 @@ def test_every_id_lies_in_exactly_one_piece(spark, rows):
                 assert p["ids_crc32"] == zlib.crc32(w[4 * at : 4 * (at + p["length"])])
                 at += p["length"]
             assert at == len(w) // 4
+
+
+def test_equal_rows_spread_over_all_ranges(spark):
+    """Rows of one id and text are a hot key: they are sampled as rows and dealt to every range alike."""
+    rows = [(7, "the same words in every row of the group")] * 6000 + [(100 + k, f"others {k} say {k % 7} things") for k in range(200)]
+    pieces = packing.digests(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WHERE)).collect()
+    parts = {}
+    for p in pieces:
+        if p["doc_id"] == 7 and p["start"] == 0:
+            parts[p["sequence_id"] >> 40] = parts.get(p["sequence_id"] >> 40, 0) + 1
+    assert sum(parts.values()) == 6000 and len(parts) == 4 and max(parts.values()) < 2400
