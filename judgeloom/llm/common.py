@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,22 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Rows in one Arrow batch. Documents differ in length by orders of magnitude, so batches stay small.
 BATCH_ROWS = 400
 
 _written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="judgeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        _written.append((spark, found))
-    return found.rstrip("/")
-
-
 _PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 

@@ -50,8 +50,8 @@ SKETCH = 8  # words of 64 bits
 SPREAD = 2 * (1 - THRESHOLD) / (1 + THRESHOLD) + 1e-9
 #: Texts of a cell that tell its support and how frequent differences are.
 SAMPLE = 64
-#: Parts of a cell's rows, so that no task takes a hot cell alone.
-SALTS = 16
+#: Texts of one part of a cell: a cell has as many parts as that takes, so that no task takes a hot cell alone.
+PART = 4096
 
 _word = re.compile(r"\w+")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -271,8 +271,9 @@ def _differences(open_: DataFrame, cut: DataFrame) -> DataFrame:
     edges = open_.join(hub, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     nodes = written(open_.select("node", "label").distinct(), "open-nodes", few=True)
     cells = merged(nodes.select("node", F.col("node").alias("label")), edges, "cells").withColumnRenamed("label", "cell")
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")
-    dealt = written(nodes.join(cells, "node").join(cut, "node").select("node", "label", "cell", salt, "hashes", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("total")), "cells-dealt", few=True)
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("parts")).alias("salt")
+    dealt = written(nodes.join(cells, "node").join(parts, "cell").join(cut, "node").select("node", "label", "cell", salt, "hashes", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("total")), "cells-dealt", few=True)
     place = F.row_number().over(Window.partitionBy("cell").orderBy(F.md5("node")))
     sample = dealt.select("cell", "node").withColumn("place", place).where(F.col("place") <= SAMPLE).select("node")
     seen = dealt.join(sample, "node").select("cell", F.explode("hashes").alias("hash")).groupBy("cell", "hash").agg(F.count("*").cast("int").alias("times"))
@@ -329,11 +330,11 @@ def _close(differences: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that are so short together that they need not share an element."""
     short = differences.where(F.col("size") <= SPREAD * F.col("top")).select("node", "label", "cell", "size", "total")
     sizes = short.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("cell", F.col("main.label").alias("main"))
+    main = sizes.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.ceil(F.sum("n") / PART).cast("long").alias("parts")).where("kinds > 1").select("cell", F.col("main.label").alias("main"), "parts")
     rows = short.join(main, "cell").join(sketched, "node").withColumn("minor", F.col("label") != F.col("main")).drop("main")
     # one of the two is outside the component that most texts of the cell are in
-    x = rows.where("minor").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).alias("x")
-    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))).alias("y")
+    x = rows.where("minor").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
     room = F.lit(SPREAD) * F.greatest("x.total", "y.total")
     both = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") + F.col("y.size") <= room)
     once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
@@ -387,11 +388,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, kept of every document: class_id is the least doc_id of its class, kept marks that document."""
-    found, _ = classes(docs, id_col, text_col)
+    """doc_id, class_id, kept, links of every document: class_id is the least doc_id of its class, kept marks that document.
+
+    links: how many different texts its text was compared with exactly and found alike; these links hold the classes together (`classes` has them with their similarities)."""
+    found, linked = classes(docs, id_col, text_col)
+    ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("links"))
+    found = found.join(degrees, "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), node_of(F.col(f"`{text_col}`").cast("string")).alias("node"))
-    own = rows.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    placed = rows.join(found.select("node", "class_id"), "node").select("doc_id", "class_id")
+    own = rows.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    placed = rows.join(found.select("node", "class_id", "links"), "node").select("doc_id", "class_id", "links")
     return placed.unionByName(own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
