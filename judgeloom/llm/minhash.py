@@ -333,8 +333,9 @@ def _close(differences: DataFrame, sketched: DataFrame) -> DataFrame:
     main = sizes.groupBy("cell").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), F.ceil(F.sum("n") / PART).cast("long").alias("parts")).where("kinds > 1").select("cell", F.col("main.label").alias("main"), "parts")
     rows = short.join(main, "cell").join(sketched, "node").withColumn("minor", F.col("label") != F.col("main")).drop("main")
     # one of the two is outside the component that most texts of the cell are in
-    x = rows.where("minor").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("x")
-    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    # these few are sent to every part of their cell, and all are dealt to one
+    x = rows.where("minor").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("x")
+    y = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("y")
     room = F.lit(SPREAD) * F.greatest("x.total", "y.total")
     both = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") + F.col("y.size") <= room)
     once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
