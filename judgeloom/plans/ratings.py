@@ -431,7 +431,8 @@ def response_join(spark, sf_dir):
     asked = s.where("framing = 'predictive'").select("evaluator", "case_id", "art", "sample_idx")
     text = F.when(F.col("case_id") % 11 == 0, F.concat(F.lit("ERROR: "), F.lit(429).cast("string"))).when(F.col("case_id") % 13 == 0, F.lit("none")).otherwise(F.concat(F.lit("Answer: "), "rating"))
     keys = ["evaluator", "case_id", "art", "sample_idx"]
-    of = lambda f, name, gone: s.where(F.col("framing") == f).where(gone).select(*keys, text.alias(name))
+    # a plan's size doesn't count what explodes: without the hint millions of responses pass for a small table and go through the driver
+    of = lambda f, name, gone: s.where(F.col("framing") == f).where(gone).select(*keys, text.alias(name)).hint("merge")
     met = asked.join(of("predictive", "first", "case_id % 17 != 0"), keys, "left").join(of("factual", "second", "case_id % 19 != 0"), keys, "left")
     initial = F.when(F.col("first").isNull(), R.ABSTAIN).otherwise(R.extract(F.col("first")))
     rated = met.withColumn("initial", initial).withColumn("challenged", F.when(F.col("second").isNull(), F.col("initial")).otherwise(R.extract(F.col("second"))))
