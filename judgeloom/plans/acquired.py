@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,17 +61,24 @@ def paged_stream(spark, sf_dir):
 PAGED_STREAM = f"WITH {CASES} SELECT item_id, case_name, decision_date FROM cs"
 
 
+#: Elements of one written array, at most: a file is one task's work.
+ARRAY = 5000
+
+
 def json_elements(spark, sf_dir):
-    """Cases written as one JSON array a file, without line breaks, read back in splits."""
+    """Cases written as JSON arrays without line breaks, read back in splits."""
     rows = fixtures.cases(spark, sf_dir).select("item_id", "case_name", "full_case_text", F.struct(F.col("source").alias("braces"), F.lit('a "{" and }, \\').alias("odd")).alias("nested"), "ord")
-    # an array a file: its elements, with the marks before and between them
-    parts = rows.withColumn("file", F.col("ord") % 3).select("file", "ord", F.to_json(F.struct("item_id", "case_name", "full_case_text", "nested")).alias("value"))
-    first = parts.groupBy("file").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
-    value = F.concat(F.when(F.col("ord") == F.col("least"), "[").otherwise(", "), "value", F.when(F.col("ord") == F.col("most"), "]").otherwise(""))
+    place = F.floor(F.col("ord") / 3)
+    parts = rows.select((F.col("ord") % 3).alias("file"), F.floor(place / ARRAY).alias("part"), "ord", F.to_json(F.struct("item_id", "case_name", "full_case_text", "nested")).alias("value"))
+    # an array a file: its elements, with the marks before and between them. A window keeps a file's rows in one task, a join would let them be dealt to several
+    inside = Window.partitionBy("file", "part").orderBy("ord")
+    value = F.concat(F.when(F.row_number().over(inside) == 1, "[").otherwise(", "), "value", F.when(F.lead("ord").over(inside).isNull(), "]").otherwise(""))
     folder = scratch(spark, "arrays")
-    parts.join(first, "file").select("file", "ord", value.alias("value")).repartition("file").sortWithinPartitions("file", "ord").drop("ord").write.option("lineSep", " ").partitionBy("file").text(folder)
+    parts.select("file", "part", value.alias("value")).write.option("lineSep", " ").partitionBy("file", "part").text(folder)
     fields = "item_id string, case_name string, full_case_text string, nested struct<braces: string, odd: string>"
-    return rounded(json_split.json_array(spark, folder, T.StructType.fromDDL(fields)).select("item_id", "case_name", F.md5("full_case_text").alias("text_md5"), "nested.braces", "nested.odd", "ord"))
+    back = json_split.json_array(spark, folder, T.StructType.fromDDL(fields), "path")
+    before = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long") * ARRAY
+    return rounded(back.select("item_id", "case_name", F.md5("full_case_text").alias("text_md5"), "nested.braces", "nested.odd", (before + F.col("ord")).alias("ord")))
 
 
 JSON_ELEMENTS = f"""WITH {CASES} SELECT item_id, case_name, md5(full_case_text) AS text_md5, source AS braces, 'a "{{" and }}, \\' AS odd, ord//3 AS ord FROM cs"""

@@ -47,7 +47,8 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", "ord", F.regexp_extract(text, r"(?s)\A(.*\})", 1).alias("value"))
 
 
-def json_array(spark: SparkSession, path: str, kind: str | T.StructType) -> DataFrame:
-    """The objects of the arrays in path with their order as ord: the same rows as readers.json_array, in as many tasks as there are splits."""
+def json_array(spark: SparkSession, path: str, kind: str | T.StructType, file: str = "") -> DataFrame:
+    """The objects of the arrays in path with their order as ord: the same rows as readers.json_array, in as many tasks as there are splits. file: a column for the file they are in."""
     fields = schema(kind) if isinstance(kind, str) else kind
-    return elements(spark, path).select("file", "ord", F.from_json("value", fields).alias("row")).select("row.*", F.col("ord").cast("int").alias("ord"))
+    rows = elements(spark, path).select("file", "ord", F.from_json("value", fields).alias("row"))
+    return rows.select("row.*", F.col("ord").cast("int").alias("ord"), *([F.col("file").alias(file)] if file else []))
