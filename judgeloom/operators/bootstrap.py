@@ -13,23 +13,78 @@ from pyspark.sql import functions as F
 
 #: Pairs of a group that are drawn from one after the other, at most.
 CURATED = 10_000_000
-#: Positions that one row of the plan draws for.
-BLOCK = 4096
-
-
-def portable(counts: DataFrame, by: list[str], replicates: int = 10_000, ci: float = 0.95) -> DataFrame:
+#: Replicates that one row of the plan draws.
+BLOCK = 50
+#: The generator of ``portable``: a replicate's positions are (rep * STEP + i * TURN * (rep + 7) + START) % MODULUS % n.
+STEP, TURN, START, MODULUS = 1103515245, 12345, 1013904223, 2147483647
+#: Pairs of a group up to which positions are drawn one by one; beyond, they are counted in whole residue ranges, of which there are the fewer the more pairs there are.
+DRAWN = 650_000
+
+
+def drawn_sum(rep: int, n: int, n01: int, n10: int) -> int:
+    """The sum of a replicate's differences, position by position."""
+    import numpy as np
+
+    first, turn, out = rep * STEP + START, TURN * (rep + 7), 0
+    for low in range(0, n, 1 << 16):
+        x = np.arange(low, min(n, low + (1 << 16)), dtype=np.int64) * turn + first
+        x -= x // MODULUS * MODULUS
+        x -= x // n * n
+        out += int(np.count_nonzero(x >= n - n01)) - int(np.count_nonzero(x < n10))
+    return out
+
+
+def counted_sum(rep: int, n: int, n01: int, n10: int) -> int:
+    """The same sum without drawing: positions are an arithmetic progression modulo MODULUS, so how many of them fall into a range is a difference of sums of floors, which
+    Euclid's algorithm has in logarithmic time. A difference of 1 or -1 is a range in each of the MODULUS / n stretches of residues."""
+    import numpy as np
+
+    first, turn = (rep * STEP + START) % MODULUS, TURN * (rep + 7) % MODULUS
+    base = np.arange(0, MODULUS, n, dtype=np.int64)
+    ends = (base + n, base + (n - n01), base + n10, base)
+    floors = _floor_sums(n, MODULUS, turn, np.concatenate([first + MODULUS - np.minimum(e, MODULUS) for e in ends])).reshape(4, -1)
+    # positions below an end are a constant less its floors
+    return int((floors[1] - floors[0] - floors[3] + floors[2]).sum())
+
+
+def _floor_sums(n: int, m: int, a: int, b):
+    """sum of (a * i + b) // m over i in 0..n-1 for every b."""
+    import numpy as np
+
+    n, out = np.full(len(b), n, np.int64), np.zeros(len(b), np.int64)
+    while True:
+        out += n * (n - 1) // 2 * (a // m)
+        a %= m
+        over = b // m
+        out += n * over
+        b = b - over * m
+        most = a * n + b
+        n = most // m
+        if not n.any():
+            return out
+        b = most - n * m
+        m, a = a, m
+
+
+def portable(counts: DataFrame, by: list[str], replicates: int = 10_000, ci: float = 0.95, drawn: int = DRAWN) -> DataFrame:
     """counts: groups with n, n01, n10. A replicate draws n positions of the group's differences in order (-1, 0, 1): what is drawn follows from the place alone, so no pair is joined.
 
-    A replicate is drawn whole in one task and is n integer operations; for very large groups ``multinomial`` has the same distribution in time that doesn't grow."""
+    A replicate takes time with n up to drawn pairs and with MODULUS / n beyond, so a group's time is bounded whatever its size; the result is the same either way."""
     spark = counts.sparkSession
+    types = {c: counts.schema[c].dataType.simpleString() for c in by}
     long = lambda c: F.col(c).cast("long").alias(c)
-    reps = counts.where("n > 0").select(*by, long("n"), long("n01"), long("n10")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    dealt = reps.repartition(4 * spark.sparkContext.defaultParallelism, *by, "rep")
-    blocks = dealt.withColumn("b", F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK})")))
-    draws = blocks.withColumn("i", F.explode(F.expr(f"sequence(b * {BLOCK}, least(n, (b + 1) * {BLOCK}) - 1)")))
-    pick = F.expr("((rep * 1103515245L + i * 12345L * (rep + 7L) + 1013904223L) % 2147483647L) % n")
-    drawn = draws.select(*by, "rep", "n", "n01", "n10", pick.alias("pick"))
-    means = drawn.groupBy(*by, "rep").agg((F.sum(F.when(F.col("pick") >= F.col("n") - F.col("n01"), 1).when(F.col("pick") < F.col("n10"), -1).otherwise(0)) / F.count("*")).alias("mean"))
+    blocks = counts.where("n > 0").select(*by, long("n"), long("n01"), long("n10")).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"), F.lit(BLOCK).cast("long"))))
+
+    def draw(frames):
+        import pandas as pd
+
+        for f in frames:
+            for k, (n, n01, n10, low) in enumerate(zip(f["n"].tolist(), f["n01"].tolist(), f["n10"].tolist(), f["rep"].tolist(), strict=True)):
+                total = drawn_sum if n <= drawn else counted_sum
+                means = [total(rep, n, n01, n10) / n for rep in range(low, min(replicates, low + BLOCK))]
+                yield pd.concat([f[by].iloc[[k] * len(means)].reset_index(drop=True), pd.DataFrame({"mean": means})], axis=1)
+
+    means = blocks.repartition(4 * spark.sparkContext.defaultParallelism, *by, "rep").mapInPandas(draw, ", ".join([*(f"`{c}` {t}" for c, t in types.items()), "mean double"]))
     q = F.percentile("mean", F.array(F.lit((1 - ci) / 2), F.lit((1 + ci) / 2)))
     return means.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
