@@ -67,8 +67,14 @@ def before_sentence(text: Column, pattern: str) -> Column:
     return let(F.split(text, _FLAGS + pattern, 2), lambda parts: F.when(F.size(parts) > 1, F.nullif(F.regexp_extract(parts[0], r"(?s)^(.+\.)", 1), F.lit(""))))
 
 
+#: How conclusory patterns, and markers that stand anywhere, begin (with all letters that match i or s in any case): most places of a text are passed over at these two letters.
+_I = "[iI\u0130\u0131]"
+_CONCLUSION_BEGINS = f"(?=(?-iuU:[fF]{_I}|[cC][oO]|[hH][oO]|[tT][hH]|[nN][oO]|[vV]{_I}|[aA][cC]|{_I}[tTnN]|[dD][iI\u0130\u0131eE]))"
+_MARKER_BEGINS = "(?=(?-iuU:[tT][hHuU]|[aA][sS\u017f]))"
 #: Any conclusory pattern: one search tells whether they need to be tried in turn.
-_ANY_CONCLUSION = _FLAGS + "(?:" + "|".join(CONCLUSORY) + ")"
+_ANY_CONCLUSION = _FLAGS + _CONCLUSION_BEGINS + "(?:" + "|".join(CONCLUSORY) + ")"
+#: Any marker: only where the first one begins counts, so their order doesn't.
+_ANY_MARKER = "(?dimuU)(?:^(?:" + "|".join(m[1:] for m in MARKERS if m[0] == "^") + ")|" + _MARKER_BEGINS + "(?:" + "|".join(m for m in MARKERS if m[0] != "^") + "))"
 
 
 def without_conclusions(text: Column, method: Column) -> Column:
@@ -92,7 +98,7 @@ def truncate(text: Column) -> Column:
 
     plain = found(text, NO_TRUNCATION)
     fallback = let(F.coalesce(*(before_sentence(text, p) for p in CONCLUSORY)), lambda cut: F.when(cut.isNotNull(), found(rstrip(cut), CONCLUDED)).otherwise(plain))
-    markers = F.split(text, "(?dimuU)(?:" + "|".join(MARKERS) + ")", 2)
+    markers = F.split(text, _ANY_MARKER, 2)
     return let(markers, lambda parts: F.when(F.size(parts) > 1, found(rstrip(parts[0]), MARKED)).when(text.rlike(_ANY_CONCLUSION), fallback).otherwise(plain))
 
 

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import corpus, planning, tables
 from ..schemas import schema
 from ..sources import fixtures
+from ..storage import written
 from .ratings import nudged, rounded
 
 def _list(values: tuple[str, ...], at: str) -> str:
@@ -76,7 +77,8 @@ _CASES = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def repair(spark, sf_dir):
     """Two verifiers' sentences removed from texts that nothing truncated: the first line where it stands, a misquoted one by a cut before it, conclusions that are left cut behind it."""
-    out = corpus.truncated(fixtures.cases(spark, sf_dir)).where("verdict_removal_method = 'no_truncation'")
+    # read for both verifiers and for the repair: patterns are searched for once
+    out = written(corpus.truncated(fixtures.cases(spark, sf_dir)).where("verdict_removal_method = 'no_truncation'"), "truncated")
     line = F.split("full_case_text", "\n", 2)[0]
     quoted = F.concat(F.translate(F.substring("full_case_text", _QUOTED_FROM, _QUOTED), *_CASES), F.lit(" and so on"))
     turn = F.floor(F.col("ord") / 3) % 3
