@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .binding import let
+
 Z95 = 1.959963984540054
 
 
@@ -43,15 +45,21 @@ def mcnemar(n01: Column, n10: Column) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for z of 0 or more: the series of the distribution function, whose terms fall from the square of z on; 0 beyond 8."""
-    x = F.least(z.cast("double"), F.lit(8.0))
-    start = F.struct(x.alias("t"), x.alias("s"))
 
-    def add(a: Column, k: Column) -> Column:
-        t = a["t"] * x * x / (2 * k + 1)
-        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+    def tail(x: Column) -> Column:
+        start = F.struct(x.alias("t"), x.alias("s"))
+
+        def add(a: Column, k: Column) -> Column:
+            t = a["t"] * x * x / (2 * k + 1)
+            return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+        # further terms are below the last place of the sum
+        terms = F.least(F.lit(150), (2 * F.ceil(x * x) + 25).cast("int"))
+        series = F.aggregate(F.sequence(F.lit(1), terms), start, add, lambda a: a["s"])
+        return F.when(x > 8, 0.0).otherwise(F.greatest(F.lit(0.0), 0.5 - series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, add, lambda a: a["s"])
-    return F.when(z > 8, 0.0).otherwise(F.greatest(F.lit(0.0), 0.5 - series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)))
+    # bound once: an expression inside the series would be computed for each of its terms
+    return let(z.cast("double"), tail)
 
 
 def wilson(k: Column, n: Column, ci: float = 0.95) -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..storage import written
 from . import running
 
 #: The exact distribution of signed ranks is used up to so many pairs without ties and zeros.
@@ -43,19 +44,15 @@ def wilcoxon(diffs: DataFrame, by: list[str], diff: str) -> DataFrame:
     """by, n, w_plus, w_minus, p_value: the signed-rank test with zeros left out and mean ranks for ties.
 
     Exact for up to EXACT pairs without ties or zeros, else by the normal tail with the correction for ties; p is 1 without a difference."""
-    sizes = counts(diffs, by, diff).withColumn("__at", F.col("size").cast("double")).withColumn("tied", F.col("up") + F.col("down"))
-    ranked = running.totals(sizes.where("size <> 0"), by, "__at", {"upto": F.col("tied")})
-    # the ranks of a size are those behind the smaller ones: their mean
+    # the ranges of the running totals, their offsets and the ranks all read the sizes: they are counted once
+    sizes = written(counts(diffs, by, diff).select(*by, "up", "down", "zero", F.col("size").cast("double").alias("__at"), (F.col("up") + F.col("down")).alias("tied")), "sizes")
+    ranked = running.totals(sizes, by, "__at", {"upto": F.col("tied")})
+    # the ranks of a size are those behind the smaller ones: their mean. The size 0 has no rank and none is tied in it
     rank = F.col("upto") - F.col("tied") + (F.col("tied") + 1) / 2
-    sums = ranked.groupBy(*by).agg(
+    met = ranked.groupBy(*by).agg(
         F.sum("tied").alias("n"), F.sum(F.col("up") * rank).alias("w_plus"), F.sum(F.col("down") * rank).alias("w_minus"),
-        F.sum(F.pow(F.col("tied").cast("double"), 3) - F.col("tied")).alias("ties"),
+        F.sum(F.pow(F.col("tied").cast("double"), 3) - F.col("tied")).alias("ties"), F.sum("zero").alias("zeros"),
     )
-    zeros = sizes.groupBy(*by).agg(F.sum("zero").alias("zeros"))
-    held = zeros.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(by)), "zeros")
-    met = held.join(sums, [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(by)], "left")
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    met = met.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(by)), n.alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("w_minus", F.lit(0.0)).alias("w_minus"), F.coalesce("ties", F.lit(0.0)).alias("ties"), "zeros")
     n, least = F.col("n"), F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     normal = 2 * stats.normal_tail(F.abs((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))))

@@ -25,8 +25,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str, *framings: str) -> DataFrame:
-    """Ratings of every pair, framing and sample: the grid is two explodes, no join."""
+def samples(spark: SparkSession, sf_dir: str, *framings: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Ratings of every pair, framing and sample: the grid is two explodes, no join. also: further columns of the pairs."""
     wanted = [(k, f) for k, f in enumerate(FRAMINGS) if not framings or f in framings]
     grid = F.array(*(F.struct(F.lit(k).alias("fid"), F.lit(f).alias("framing")) for k, f in wanted))
     rows = pairs(spark, sf_dir).withColumn("f", F.explode(grid)).select("*", "f.*").drop("f").withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))))
@@ -35,7 +35,7 @@ def samples(spark: SparkSession, sf_dir: str, *framings: str) -> DataFrame:
                 WHEN h % 10 < 7 THEN CASE WHEN violation_label = 'violation' THEN 1 + (h + sample_idx) % 3 ELSE 3 + (h + sample_idx) % 3 END
                 ELSE 1 + (h + sample_idx * 3) % 5 END"""
     ).cast("int")
-    return rows.select("case_id", "art", "evaluator", "violation_label", "framing", "sample_idx", rating.alias("rating"))
+    return rows.select("case_id", "art", "evaluator", "violation_label", "framing", "sample_idx", rating.alias("rating"), *also)
 
 
 #: A line for each of the beginnings of an assessment, and a sentence for each of the patterns of a conclusion, in their order.
