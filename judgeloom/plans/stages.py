@@ -40,7 +40,8 @@ def rated(grid: DataFrame, prompt: Column, respond: Respond, model: str | Column
     """grid with a rating a row; a row without an answer abstains."""
     held = grid.withColumn("custom_id", templates.custom_id(*(F.col(c) for c in by), "sample", F.col("sample_idx")))
     got = respond(responder.requests(held, model if isinstance(model, Column) else F.lit(model), prompt, F.col("custom_id")))
-    return held.join(got, "custom_id", "left").withColumn("rating", R.extract(F.coalesce("response", F.lit("")))).drop("response")
+    # a plan's size doesn't count exploded rows: they are never sent through the driver
+    return held.join(got.hint("merge"), "custom_id", "left").withColumn("rating", R.extract(F.coalesce("response", F.lit("")))).drop("response")
 
 
 def _judged(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -63,7 +64,7 @@ def summaries(cases: DataFrame, respond: Respond, model: str, versions: int = SU
     grid = cases.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1)))).withColumn("custom_id", templates.custom_id(F.col("item_id"), F.col("article"), "summary", F.col("version")))
     prompt = F.concat(F.lit("Summarise:\n\n"), text_of("full_case_text_no_verdict", "full_case_text"))
     got = respond(responder.requests(grid, F.lit(model), prompt, F.col("custom_id"), max_tokens=600))
-    return grid.join(got, "custom_id", "left").select(*KEY, "version", F.when(templates.is_error(F.col("response")), "").otherwise(F.col("response")).alias("summary"))
+    return grid.join(got.hint("merge"), "custom_id", "left").select(*KEY, "version", F.when(templates.is_error(F.col("response")), "").otherwise(F.col("response")).alias("summary"))
 
 
 def on_summaries(cases: DataFrame, made: DataFrame, base: DataFrame, respond: Respond, model: str, samples: int = 10) -> DataFrame:
@@ -91,7 +92,7 @@ def reconsidered(cases: DataFrame, respond: Respond, model: str, samples: int =
     turns = F.array(*(F.struct(F.lit(r).alias("role"), t.alias("content")) for r, t in (("user", prompt), ("assistant", F.col("rating").cast("string")), ("user", F.lit(CHALLENGE)))))
     again = first.withColumn("custom_id", F.concat("custom_id", F.lit("_followup")))
     asked = again.select("custom_id", F.lit(model).alias("model"), templates.conversation(F.lit(templates.SYSTEM), turns, F.lit(model)).alias("messages"))
-    both = again.join(respond(asked), "custom_id", "left").withColumn("second", F.when(F.coalesce(F.col("response"), F.lit("")) == "", F.col("rating")).otherwise(R.extract(F.col("response"))))
+    both = again.join(respond(asked).hint("merge"), "custom_id", "left").withColumn("second", F.when(F.coalesce(F.col("response"), F.lit("")) == "", F.col("rating")).otherwise(R.extract(F.col("response"))))
     held = both.groupBy(*KEY, "case_name", "violation_label").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "rating", "second"))).alias("s"))
     a, b = F.col("s.rating"), F.col("s.second")
     rows = held.select(*KEY, "case_name", "violation_label", a.alias("original_ratings"), b.alias("challenged_ratings"))

@@ -78,7 +78,8 @@ def scripted(asked: DataFrame) -> DataFrame:
     """Answers from what is asked, without Python: a rating from 1 to 5 by the MD5 of all messages and the id, some errors, some requests unanswered."""
     said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
     h = F.conv(F.substring(F.md5(F.concat(said, F.lit("#"), "custom_id")), 1, 6), 16, 10).cast("long")
-    held = asked.select("custom_id", h.alias("h")).where(F.col("h") % SILENT != 0)
+    # a row of its own, so that the filter and the answer don't each hash the whole messages
+    held = asked.select("custom_id", F.explode(F.array(h)).alias("h")).where(F.col("h") % SILENT != 0)
     return held.select("custom_id", F.when(F.col("h") % FAILING == 0, "ERROR: 429").otherwise(F.concat(F.lit("Answer: "), (F.col("h") % 5 + 1).cast("string"))).alias("response"))
 
 
