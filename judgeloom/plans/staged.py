@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import templates
 from ..sources import fixtures, responder
+from ..storage import written
 from . import stages
 from .ratings import nudged, rounded
 
@@ -154,8 +155,9 @@ MATRIX_PIVOTS = "WITH c AS (" + STAGE_MATRIX.replace("round(avg(", "(avg(").repl
 def cross_model_summary(spark, sf_dir):
     """Fifteen figures of four stages: one model has all stages, one only the first two and three samples, one none."""
     cases = _cases(spark, sf_dir)
-    made, ask = stages.summaries(cases, responder.scripted, "m"), responder.scripted
-    base = {n: stages.baseline(cases, ask, "m", n) for n in (SAMPLES, 3)}
+    # three stages read the summaries and the baselines: they are asked for once
+    made, ask = written(stages.summaries(cases, responder.scripted, "m"), "summaries"), responder.scripted
+    base = {n: written(stages.baseline(cases, ask, "m", n), "baseline") for n in (SAMPLES, 3)}
     tag = lambda df, model: df.withColumn("model", F.lit(model))
     both = lambda stage: tag(stage(SAMPLES), "one").unionByName(tag(stage(3), "two"))
     models = spark.createDataFrame([("one",), ("two",), ("three",)], "model string")
