@@ -12,7 +12,7 @@ from ..operators import corpus, reduce, sinks
 from ..operators.steps import Run
 from ..operators.store import Store
 from ..schemas import schema
-from ..sources import fixtures, json_split, paged, readers, saved, search
+from ..sources import database, fixtures, json_split, paged, readers, saved, search
 from ..storage import scratch
 from . import stages
 from .corpus import CASES, CONCLUSION_PAIRS, _cut
@@ -154,11 +154,10 @@ SELECT item_id, article, violation_label, decision_date, respondent, u.method AS
 def jdbc_pairs(spark, sf_dir):
     """Cases in an embedded database, read in bounded partitions with the filters pushed, a row an article and outcome."""
     rows = fixtures.cases(spark, sf_dir).select("item_id", F.col("case_name").alias("doc_name"), "conclusion", F.col("full_case_text").alias("full_text"), F.upper("lang").alias("respondent"), F.col("decision_date").alias("kp_date"), F.lit("ENG").alias("language_iso"))
-    url = "jdbc:derby:memory:cases;create=true"
-    kinds = "item_id VARCHAR(40), doc_name VARCHAR(400), conclusion VARCHAR(400), respondent VARCHAR(20), kp_date VARCHAR(10), language_iso VARCHAR(5)"
-    rows.write.jdbc(url, "cases", "overwrite", {"createTableColumnTypes": kinds, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    kinds = '"item_id" VARCHAR(40), "doc_name" VARCHAR(400), "conclusion" VARCHAR(400), "full_text" CLOB, "respondent" VARCHAR(20), "kp_date" VARCHAR(16), "language_iso" VARCHAR(5)'
+    urls = database.load(rows, "cases", kinds)
     last = rows.agg(F.max("kp_date")).first()[0] or stages.EPOCH
-    cases = readers.jdbc_cases(spark, url, "cases", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, parts=('"kp_date"', stages.EPOCH, last, 4), since="2020-01-15", language="ENG")
+    cases = readers.jdbc_cases(spark, urls, "cases", database.DRIVER, parts=('"kp_date"', stages.EPOCH, last, 4), since="2020-01-15", language="ENG")
     return corpus.pairs(cases.withColumnRenamed("full_text", "full_case_text")).select("item_id", "doc_name", "kp_date", "article", "violation_label", F.md5("full_case_text").alias("text_md5"))
 
 

@@ -99,13 +99,17 @@ def date_parts(column: str, first: str, last: str, n: int) -> list[str]:
     return [f"{column} < '{cuts[0]}' OR {column} IS NULL", *(f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(cuts, cuts[1:], strict=False)), f"{column} >= '{cuts[-1]}'"]
 
 
-def jdbc_cases(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None, parts: tuple[str, str, str, int] | None = None, **bounds: str | None) -> DataFrame:
-    """A table of cases over JDBC: filters and columns are pushed to the database. parts: a column of dates, its ends, and into how many reads they are cut."""
+def jdbc_cases(spark: SparkSession, url: str | list[str], table: str, options: dict[str, str] | None = None, parts: tuple[str, str, str, int] | None = None, **bounds: str | None) -> DataFrame:
+    """A table of cases over JDBC: filters and columns are pushed to the database. url: of the database or of its parts, which have each some of the rows.
+    parts: a column of dates, its ends, and into how many reads they are cut."""
     columns = ["item_id", "doc_name", "conclusion", "full_text", "respondent", "kp_date", "language_iso"]
-    if parts:
-        rows = spark.read.jdbc(url, table, predicates=date_parts(*parts), properties=options or {})
-    else:
-        rows = spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load()
+    rows = None
+    for one in [url] if isinstance(url, str) else url:
+        if parts:
+            some = spark.read.jdbc(one, table, predicates=date_parts(*parts), properties=options or {})
+        else:
+            some = spark.read.format("jdbc").options(url=one, dbtable=table, **(options or {})).load()
+        rows = some if rows is None else rows.unionAll(some)
     return filtered_cases(rows.select(*columns), **bounds).orderBy("kp_date")
 
 
