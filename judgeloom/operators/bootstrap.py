@@ -2,17 +2,19 @@
 
 ``portable`` draws by integer arithmetic from counts, so that any SQL engine repeats it; ``multinomial`` draws the three counts
 that a replicate's mean depends on, in time that doesn't grow with the pairs; ``seeded`` repeats NumPy's legacy generator on
-ordered pairs, one group at a time.
+ordered pairs, many tasks reading one stream of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from . import twister
 
-#: Pairs of a group that are drawn from one after the other, at most.
-CURATED = 10_000_000
+#: Numbers of the generator that a stretch of ``seeded`` is a multiple of, and that are looked at together.
+STRIDE, SLICE = 1 << 24, 1 << 17
 #: Replicates that one row of the plan draws.
 BLOCK = 50
 #: The generator of ``portable``: a replicate's positions are (rep * STEP + i * TURN * (rep + 7) + START) % MODULUS % n.
@@ -115,21 +117,106 @@ def multinomial(counts: DataFrame, by: list[str], replicates: int = 10_000, ci:
     return counts.select(*by, "n", "n01", "n10").mapInPandas(draw, ", ".join([*(f"{c} {t}" for c, t in types.items()), "low double", "high double"]))
 
 
-def seeded(pairs: DataFrame, by: list[str], order: list[str], replicates: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """pairs: is_accurate_base, is_accurate_other. For curated sets: a group's pairs are one task's work, more than CURATED of them raise."""
-    if largest := pairs.groupBy(*by).count().where(F.col("count") > CURATED).first():
-        raise ValueError(f"{largest['count']} pairs are too many for a sequential draw: use multinomial")
-    types = {c: pairs.schema[c].dataType.simpleString() for c in by}
+def _accepted(seed: int, sizes: list[int], low: int, high: int, steps: tuple[int, ...]) -> list[int]:
+    """How many of the generator's numbers from low to high are positions below each of sizes, which have equally many bits."""
+    import numpy as np
+
+    rng, mask, out = twister.at(seed, low, steps), np.uint32((1 << (sizes[0] - 1).bit_length()) - 1), [0] * len(sizes)
+    for at in range(low, high, SLICE):
+        numbers = rng.randint(0, 1 << 32, min(SLICE, high - at), dtype=np.uint32)
+        numbers &= mask
+        out = [k + int(np.count_nonzero(numbers < n)) for k, n in zip(out, sizes, strict=True)]
+    return out
+
+
+def _summed(differences, n: int):
+    """A function of positions: the sum of the differences there. Many are held in two bits each, which caches hold longer."""
+    import numpy as np
+
+    if n <= 1 << 22:
+        return lambda picks: int(differences[picks].sum())
+    fours = np.zeros(-(-n // 4) * 4, np.uint8)
+    fours[:n] = differences + 1
+    fours = fours.reshape(-1, 4)
+    held = fours[:, 0] | fours[:, 1] << 2 | fours[:, 2] << 4 | fours[:, 3] << 6
+
+    def look(picks):
+        x = held[picks >> 2]
+        x >>= ((picks & 3) << 1).astype(np.uint8)
+        x &= 3
+        return int(x.sum()) - len(picks)
+
+    return look
+
+
+def seeded(pairs: DataFrame, by: list[str], order: list[str], replicates: int = 10_000, ci: float = 0.95, seed: int = 42, stride: int = STRIDE) -> DataFrame:
+    """pairs: is_accurate_base, is_accurate_other. The draws of NumPy's RandomState(seed), replicate after replicate, over a group's pairs in order.
+
+    A draw takes the generator's next number below the pairs' count, so where a replicate begins follows from all draws before. A group's stream is cut into stretches, a multiple of stride numbers
+    each and a few times as many as there are cores: a first pass counts the numbers that each stretch draws, a second sums the differences drawn. Its tasks hold a group's differences in two bits a pair."""
+    spark = pairs.sparkSession
+    hands, steps = 4 * spark.sparkContext.defaultParallelism, twister.powers(64)
+    places, group = [F.col(c).asc_nulls_last() for c in order], [f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by]
+    d = F.col("is_accurate_other").cast("int") - F.col("is_accurate_base").cast("int")
+    rows = written(pairs.select(*by, *order, F.coalesce(d, F.raise_error(F.lit("a pair without accuracy"))).cast("tinyint").alias("__d")), "pairs")
+
+    def pack(frames):
+        import numpy as np
+
+        seq = 0
+        for f in frames:
+            for _, g in f.groupby(by, dropna=False, sort=False):
+                x, seq = g["__d"].to_numpy(np.int8), seq + 1
+                yield g.iloc[[0]].drop(columns="__d").assign(__seq=seq, __size=len(x), __up=[np.packbits(x > 0).tobytes()], __down=[np.packbits(x < 0).tobytes()])
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__d").schema), "__seq long, __size long, __up binary, __down binary"])
+    blocks = rows.repartitionByRange(*by, *places).sortWithinPartitions(*by, *places).mapInPandas(pack, kinds)
+    of_group = Window.partitionBy(*by)
+    blocks = written(blocks.select(*by, F.row_number().over(of_group.orderBy(*places, "__seq")).alias("__place"), "__size", "__up", "__down", F.sum("__size").over(of_group).alias("__n")), "blocks")
+
+    # numbers that a stream is read for: replicates times the next power of two on average, and far more than their number varies by
+    bits = F.when(F.col("__n") > 1, F.length(F.bin(F.col("__n") - 1))).otherwise(0)
+    mean = F.expr("shiftleft(1L, `__bits`)") * replicates
+    far = F.ceil((mean + 40 * F.sqrt(mean)) / stride)
+    sizes = blocks.select("__n").distinct().withColumn("__bits", bits).groupBy("__bits").agg(F.sort_array(F.collect_list("__n")).alias("__sizes")).withColumn("__stretch", F.ceil(far / hands) * stride)
+    stretches = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(far * stride / F.col("__stretch")) - 1)).alias("__hand"), (far * stride).alias("__end"))
+
+    def count(frames):
+        import pandas as pd
+
+        for f in frames:
+            for hand, width, end, ns in zip(*(f[c].tolist() for c in ("__hand", "__stretch", "__end", "__sizes")), strict=True):
+                ns, low = [int(n) for n in ns], hand * width
+                got = _accepted(seed, ns, low, min(end, low + width), steps) if ns[0] > 1 else [replicates]  # a single pair takes no numbers
+                yield pd.DataFrame({"__n": ns, "__hand": hand, "__low": low, "__accepted": got})
+
+    counted = written(stretches.repartition(4 * hands, "__bits", "__hand").mapInPandas(count, "__n long, __hand long, __low long, __accepted long"), "stretches")
+    before = Window.partitionBy("__n").orderBy("__hand").rowsBetween(Window.unboundedPreceding, -1)
+    enough = F.sum("__accepted").over(Window.partitionBy("__n")) >= F.col("__n") * replicates
+    starts = counted.withColumn("__before", F.coalesce(F.sum("__accepted").over(before), F.lit(0))).withColumn("__before", F.when(enough, F.col("__before")).otherwise(F.raise_error(F.lit("a stream was too short"))))
+
+    def draw(key, f):
+        import numpy as np
+        import pandas as pd
 
-    def one(key, f):
+        f = f.sort_values("__place")
+        n, at, left, low = (int(f[c].iloc[0]) for c in ("__n", "__before", "__accepted", "__low"))
+        bit = lambda c: np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in zip(f[c], f["__size"], strict=True)]).view(np.int8)
+        look, rng, left, out = _summed(bit("__up") - bit("__down"), n), twister.at(seed, low, steps), min(left, replicates * n - at), []
+        while left > 0:
+            some = min(left, n - at % n)
+            out.append((at // n, sum(look(rng.randint(0, n, min(SLICE, some - k))) for k in range(0, some, SLICE))))
+            at, left = at + some, left - some
+        return pd.DataFrame([[*key[: len(by)], *x, n] for x in out], columns=[*by, "__rep", "__total", "__n"])
+
+    dealt = blocks.join(starts, "__n").repartition(4 * hands, *by, "__hand")
+    parts = dealt.groupBy(*by, "__hand").applyInPandas(draw, ", ".join([*group, "__rep long, __total long, __n long"]))
+    means = parts.groupBy(*by, "__rep").agg((F.sum("__total") / F.first("__n")).alias("mean"))
+
+    def ends(key, f):
         import numpy as np
         import pandas as pd
 
-        f = f.sort_values(order)
-        d = f["is_accurate_other"].to_numpy(int) - f["is_accurate_base"].to_numpy(int)
-        rng = np.random.RandomState(seed)
-        means = [d[rng.choice(len(d), size=len(d), replace=True)].mean() for _ in range(replicates)]
-        low, high = np.percentile(means, [50 * (1 - ci), 50 * (1 + ci)])
-        return pd.DataFrame([[*key, low, high]], columns=[*by, "low", "high"])
+        return pd.DataFrame([[*key, *np.percentile(f["mean"].to_numpy(), [50 * (1 - ci), 50 * (1 + ci)])]], columns=[*by, "low", "high"])
 
-    return pairs.groupBy(*by).applyInPandas(one, ", ".join([*(f"{c} {t}" for c, t in types.items()), "low double", "high double"]))
+    return means.groupBy(*by).applyInPandas(ends, ", ".join([*group, "low double, high double"]))
