@@ -55,7 +55,7 @@ class Run:
             tables, began = [self.table(n) for n in needs], time.monotonic()
             self.tell("began", name, {"needs": needs})
             try:
-                compute(*tables).write.mode("overwrite").parquet(path)
+                compute(*tables).write.mode("overwrite").option("compression", "zstd").parquet(path)
             except BaseException as e:
                 self.tell("failed", name, {"seconds": time.monotonic() - began, "error": repr(e)})
                 raise

@@ -22,7 +22,7 @@ SAVED, FIRST_DAY = 200, date(2020, 1, 1)
 def save(hits: DataFrame, folder: str, place: str, page: int = SAVED) -> int:
     """Write hits (a struct columns, html) in pages by place (0, 1, ... in the order of their dates); returns how many places there are."""
     rows = hits.select((F.col(place) / page).cast("long").alias("page"), F.col(place).alias("place"), F.to_json(F.struct(F.col(place).alias("place"), "columns", "html")).alias("value"))
-    rows.repartition("page").sortWithinPartitions("page", "place").select("page", "value").write.mode("overwrite").partitionBy("page").text(folder)
+    rows.repartition("page").sortWithinPartitions("page", "place").select("page", "value").write.mode("overwrite").option("compression", "gzip").partitionBy("page").text(folder)
     return (hits.agg(F.max(place)).first()[0] or -1) + 1 if not hits.isEmpty() else 0
 
 

@@ -48,4 +48,5 @@ def documents(rows: DataFrame, fetch: Fetch, key: str = "item_id") -> DataFrame:
 
         return pa.array([X.plain_text(fetch(i)) for i in ids.to_pylist()], pa.string())
 
-    return rows.withColumn("full_case_text", load(F.col(key))).where(F.length("full_case_text") > SHORTEST)
+    # a fetch is not a function of its id: it is never pushed below a shuffle or done again for a filter
+    return rows.withColumn("full_case_text", load.asNondeterministic()(F.col(key))).where(F.length("full_case_text") > SHORTEST)
