@@ -16,7 +16,7 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..storage import mounted, scratch
 
 DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 #: Rows of a part, about.
@@ -66,10 +66,9 @@ def load(rows: DataFrame, table: str, columns: str, size: int = ROWS) -> list[st
     """Write rows as a table of a database in parts of about size rows; their URLs. columns: as in CREATE TABLE, in the order of the rows'.
 
     The database needs files: a shared folder that isn't mounted raises."""
-    folder = scratch(rows.sparkSession, "database")
-    if not folder.startswith("file:"):
-        raise ValueError(f"an embedded database can't be read from {folder}: set spark.checkpoint.dir to a mounted folder (file:)")
-    folder = "/" + folder.removeprefix("file:").lstrip("/")
+    folder = mounted(rows.sparkSession, scratch(rows.sparkSession, "database"))
+    if folder is None:
+        raise ValueError("an embedded database needs files: set spark.checkpoint.dir to a mounted folder")
 
     def part(batches):
         import pyarrow as pa

@@ -31,6 +31,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path in the machines' own file system of a folder, which is made; None where it is in another store. A path without a scheme is where the default store has it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    uri = fs.resolvePath(target).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
