@@ -54,8 +54,12 @@ REMOVED, CUT, CLEANED = "; surgical_fix: removed leaking sentence", "; surgical_
 _FLAGS = "(?diuU)"
 
 
+#: What (?U)\s matches.
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
+    return F.rtrim(text, F.lit(_SPACE))
 
 
 def strip(text: Column) -> Column:
@@ -77,6 +81,33 @@ _ANY_CONCLUSION = _FLAGS + _CONCLUSION_BEGINS + "(?:" + "|".join(CONCLUSORY) + "
 _ANY_MARKER = "(?dimuU)(?:^(?:" + "|".join(m[1:] for m in MARKERS if m[0] == "^") + ")|" + _MARKER_BEGINS + "(?:" + "|".join(m for m in MARKERS if m[0] != "^") + "))"
 
 
+#: A word that every text has which the pattern matches, in the patterns' order: where it is missing, the search is left out.
+_CONCLUSION_HAS = ("violation", "breach", "violation", "breach", "violation", "violate", "accordingly", "follows", "light", "therefore", "dismiss", "holds", "decides")
+#: One of these is in every text that a marker matches.
+_MARKER_HAS = (
+    "s assessment", "merits", "for these reasons", "operative provisions", "article 41", "the court will now assess", "the court will first examine", "the court must therefore determine",
+    "the court notes at the outset that", "the court observes that the parties",
+)
+#: Letters outside ASCII that a pattern's i, s or k matches, too.
+_ODD = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
+def _seen(text: Column) -> Column:
+    """struct<lower, odd>: what _has looks at."""
+    odd = F.contains(text, F.lit(_ODD[0]))
+    for letter in _ODD[1:]:
+        odd = odd | F.contains(text, F.lit(letter))
+    return F.struct(F.lower(text).alias("lower"), odd.alias("odd"))
+
+
+def _has(seen: Column, *words: str) -> Column:
+    """Whether a text may hold one of words in any case, as patterns see it: false only where none is there."""
+    out = seen["odd"]
+    for w in words:
+        out = out | F.contains(seen["lower"], F.lit(w))
+    return out
+
+
 def without_conclusions(text: Column, method: Column) -> Column:
     """struct<text, method>: every conclusory pattern in turn cuts what the ones before have left."""
 
@@ -91,15 +122,20 @@ def without_conclusions(text: Column, method: Column) -> Column:
 
 
 def truncate(text: Column) -> Column:
-    """struct<text, method>: the text before its assessment, and how that was found. Patterns are tried only where one matches."""
+    """struct<text, method>: the text before its assessment, and how that was found. A pattern is tried only where its words are."""
 
     def found(kept: Column, method: str) -> Column:
         return F.struct(kept.alias("text"), F.lit(method).alias("method"))
 
     plain = found(text, NO_TRUNCATION)
-    fallback = let(F.coalesce(*(before_sentence(text, p) for p in CONCLUSORY)), lambda cut: F.when(cut.isNotNull(), found(rstrip(cut), CONCLUDED)).otherwise(plain))
-    markers = F.split(text, _ANY_MARKER, 2)
-    return let(markers, lambda parts: F.when(F.size(parts) > 1, found(rstrip(parts[0]), MARKED)).when(text.rlike(_ANY_CONCLUSION), fallback).otherwise(plain))
+
+    def searched(seen: Column) -> Column:
+        cuts = (F.when(_has(seen, word), before_sentence(text, p)) for p, word in zip(CONCLUSORY, _CONCLUSION_HAS, strict=True))
+        fallback = let(F.coalesce(*cuts), lambda cut: F.when(cut.isNotNull(), found(rstrip(cut), CONCLUDED)).otherwise(plain))
+        markers = F.when(_has(seen, *_MARKER_HAS), F.split(text, _ANY_MARKER, 2))
+        return let(markers, lambda parts: F.when(F.size(parts) > 1, found(rstrip(parts[0]), MARKED)).otherwise(fallback))
+
+    return let(_seen(text), searched)
 
 
 def without_sentences(text: Column, method: Column, sentences: Column) -> Column:

@@ -1,8 +1,8 @@
-"""A paged search service as a Spark data source: a partition a page, and a stream of new hits.
+"""A paged search service as a Spark data source, and a stream of new hits: a partition is a page, or a stretch of pages where there are very many.
 
 The service is a function (query, start, length) -> (total, hits). It is either named by the option ``service`` ("module:name"; a function of the
 other options that returns the service), or given to ``source`` as it is. A page that fails is asked for again, alone, with growing
-pauses; a task that fails asks for its page again. A stream's offset is the number of hits seen, so a service whose hits only grow at the end is read once.
+pauses; a task that fails asks for its pages again. A stream's offset is the number of hits seen, so a service whose hits only grow at the end is read once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 PAGE, TRIES, PAUSE = 50, 4, 0.5
+#: Partitions of a search, at most: beyond as many pages each has several, so that tasks don't grow in number with the hits.
+TASKS = 100
 Service = Callable[[str, int, int], tuple[int, list[dict]]]
 
 
@@ -44,18 +46,23 @@ class _Reading:
             service = getattr(importlib.import_module(module), name)(self.options)
         self.service, self.query = service, options.get("query", "")
         self.page, self.tries, self.pause = int(options.get("page", PAGE)), int(options.get("tries", TRIES)), float(options.get("pause", PAUSE))
+        self.tasks = int(options.get("tasks", TASKS))
 
     def total(self) -> int:
         return asked(self.service, self.query, 0, 1, self.tries, self.pause)[0]
 
     def pages(self, start: int, end: int) -> list[Page]:
-        return [Page(s, min(self.page, end - s)) for s in range(start, end, self.page)]
+        stretch = self.page * max(1, -(-(end - start) // (self.page * self.tasks)))
+        return [Page(s, min(stretch, end - s)) for s in range(start, end, stretch)]
 
     def read(self, partition: Page) -> Iterator:
         import pyarrow as pa
 
-        hits = asked(self.service, self.query, partition.start, partition.length, self.tries, self.pause)[1][: partition.length]
-        yield pa.RecordBatch.from_arrays([pa.array(range(partition.start, partition.start + len(hits)), pa.int64()), pa.array([json.dumps(h) for h in hits], pa.string())], ["place", "hit"])
+        end = partition.start + partition.length
+        for start in range(partition.start, end, self.page):
+            length = min(self.page, end - start)
+            hits = asked(self.service, self.query, start, length, self.tries, self.pause)[1][:length]
+            yield pa.RecordBatch.from_arrays([pa.array(range(start, start + len(hits)), pa.int64()), pa.array([json.dumps(h) for h in hits], pa.string())], ["place", "hit"])
 
 
 class Reader(_Reading, DataSourceReader):
@@ -82,7 +89,7 @@ class StreamReader(_Reading, DataSourceStreamReader):
 
 
 class PagedSearch(DataSource):
-    """Options: service, query, page (hits of a partition), tries, pause; from (hits that a stream skips)."""
+    """Options: service, query, page (hits asked for at once), tasks (partitions, at most), tries, pause; from (hits that a stream skips)."""
 
     service: Service | None = None
 
